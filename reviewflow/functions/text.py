@@ -54,11 +54,17 @@ def json_part(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def is_json_object(part: Column) -> Column:
+    """Whether the text is one whole JSON object, with nothing after it."""
+    listed = F.from_json(F.concat(F.lit("["), part, F.lit("]")), "ARRAY<MAP<STRING, STRING>>")
+    return F.coalesce(F.size(listed) == 1, F.lit(False))
+
+
 def extract_json(text: Column, schema: str) -> Column:
     """Struct of the parsed object and a status: NULL when read, else why it was not."""
     part = json_part(text)
     parsed = F.from_json(part, schema)
-    valid = F.try_parse_json(part).isNotNull()
+    valid = is_json_object(part)
     return F.struct(
         F.when(valid, parsed).alias("value"),
         F.when(part.isNull(), NO_JSON).when(~valid, BAD_JSON).alias("status"))
@@ -74,7 +80,7 @@ def rejection_parse(text: Column) -> Column:
     """Rejection type and angles from the object between the last ``{`` and the last ``}``."""
     start, end = _last(text, "{"), _last(text, "}")
     part = F.when(start > 0, F.substring(text, start, F.greatest(end - start + 1, F.lit(0))))
-    parsed = F.from_json(F.when(F.try_parse_json(part).isNotNull(), part),
+    parsed = F.from_json(F.when(is_json_object(part), part),
                          "rejection_type STRING, angles ARRAY<STRING>")
     return F.struct(
         F.coalesce(parsed["rejection_type"], F.lit(DEFAULT_REJECTION)).alias("rejection_type"),

@@ -1,4 +1,4 @@
 """The query catalogue; importing it registers every query."""
 
-from reviewflow.plans import dashboard, review  # noqa: F401
+from reviewflow.plans import dashboard, ingest, retrieval, review, text  # noqa: F401
 from reviewflow.plans.registry import oracle_sql, queries  # noqa: F401
