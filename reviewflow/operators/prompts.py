@@ -81,17 +81,23 @@ def prompt_stats(t) -> DataFrame:
 
 
 def activate(versions: DataFrame, picks: DataFrame) -> DataFrame:
-    """Make the picked version (prompt_name, version) the only active one of its prompt.
+    """Make the picked version the only active one of its prompt.
 
-    All versions of a prompt that has a pick go inactive, also when the picked number does not
-    exist. Other prompts stay as they are.
+    ``picks``: prompt_name and version, or prompt_name and version_id. A number that the prompt
+    does not have changes nothing; an id that it does not have leaves it without active version.
+    Prompts without a pick stay as they are.
     """
-    wanted = picks.groupBy(F.col("prompt_name").alias("_name")) \
-                  .agg(F.max("version").alias("_pick"))
-    chosen = F.col("version") == F.col("_pick")
-    return versions.join(wanted, F.col("prompt_name") == F.col("_name"), "left").select(*[
-        F.when(F.col("_pick").isNull(), F.col(c)).otherwise(chosen).alias(c)
-        if c == "is_active" else F.col(c) for c in versions.columns])
+    by_id = "version_id" in picks.columns
+    key = "version_id" if by_id else "version"
+    wanted = picks.groupBy(F.col("prompt_name").alias("_name")).agg(F.max(key).alias("_pick"))
+    target = versions["id"] if by_id else versions["version"]
+    if not by_id:
+        held = versions.select("prompt_name", "version").distinct()
+        wanted = wanted.join(held, (F.col("_name") == F.col("prompt_name"))
+                             & (F.col("_pick") == F.col("version")), "left_semi")
+    return versions.join(wanted, versions["prompt_name"] == F.col("_name"), "left").select(*[
+        F.when(F.col("_pick").isNull(), versions[c]).otherwise(target == F.col("_pick")).alias(c)
+        if c == "is_active" else versions[c] for c in versions.columns])
 
 
 def seed_prompts(t, defaults: DataFrame) -> tuple[DataFrame, DataFrame]:

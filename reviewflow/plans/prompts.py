@@ -54,16 +54,25 @@ query("w7_version_history", """
 
 
 def picks(t):
-    """Pick the number of the largest size of each brand's parts; some do not exist."""
-    return t["part"].filter("p_type <> 'SMALL'").groupBy(F.col("p_brand").alias("prompt_name")) \
-        .agg(F.max("p_size").alias("version"))
+    """Pick a number by how many promo parts a brand has; brands that end in 5 pick a missing one."""
+    return t["part"].groupBy(F.col("p_brand").alias("prompt_name")).agg(
+        (F.count_if(F.col("p_type") == "PROMO") + 1).alias("_n")).select(
+            "prompt_name", F.when(F.col("prompt_name").endswith("5"), 10_000_000)
+            .otherwise(F.col("_n")).cast("int").alias("version"))
 
 
 query("l10_activate", """
-    SELECT pv.* REPLACE (CASE WHEN pick IS NULL THEN is_active ELSE version = pick END AS is_active)
-    FROM prompt_versions pv LEFT JOIN (SELECT p_brand, max(p_size) AS pick FROM part
-        WHERE p_type <> 'SMALL' GROUP BY p_brand) ON prompt_name = p_brand""")(
+    SELECT pv.* REPLACE (CASE WHEN ends_with(prompt_name, '5') THEN is_active
+        ELSE version = pick END AS is_active)
+    FROM prompt_versions pv JOIN (SELECT p_brand, count(*) FILTER (p_type = 'PROMO') + 1 AS pick
+        FROM part GROUP BY p_brand) ON prompt_name = p_brand""")(
     lambda t: p.activate(t["prompt_versions"], picks(t)))
+query("l10_activate_by_id", """
+    SELECT pv.* REPLACE (id = pick AS is_active) FROM prompt_versions pv
+    JOIN (SELECT p_brand, max(p_partkey) AS pick FROM part GROUP BY p_brand)
+        ON prompt_name = p_brand""")(
+    lambda t: p.activate(t["prompt_versions"], t["part"].groupBy(
+        F.col("p_brand").alias("prompt_name")).agg(F.max("p_partkey").alias("version_id"))))
 
 
 def defaults(t):

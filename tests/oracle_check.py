@@ -53,10 +53,10 @@ KINDS = {"long": "bigint", "int": "integer", "integer": "integer", "string": "va
 
 
 def compare(spark, con, sf_dir, fn, sql):
+    start = time.time()
     df = fn(spark, sf_dir)
     cols = sorted(df.columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    start = time.time()
     rows = df.select(*[df[c] for c in cols]).collect()
     took = time.time() - start
     if sql is None:
