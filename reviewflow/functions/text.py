@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewflow.functions.binding import let
+
 # Outcome when a model reply cannot be read.
 DEFAULT_REJECTION = "Hard Rejection"
 NO_JSON = "no_json"
@@ -54,46 +56,42 @@ def json_part(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def is_json_object(part: Column) -> Column:
-    """Whether the text is one whole JSON object, with nothing after it."""
-    listed = F.from_json(F.concat(F.lit("["), part, F.lit("]")), "ARRAY<MAP<STRING, STRING>>")
-    return F.coalesce(F.size(listed) == 1, F.lit(False))
+def _whole_object(part: Column, schema: str) -> Column:
+    """The parsed object, NULL unless the text is one whole JSON object and nothing else."""
+    listed = F.from_json(F.concat(F.lit("["), part, F.lit("]")), f"ARRAY<{schema}>")
+    return let(listed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def extract_json(text: Column, schema: str) -> Column:
     """Struct of the parsed object and a status: NULL when read, else why it was not."""
-    part = json_part(text)
-    parsed = F.from_json(part, schema)
-    valid = is_json_object(part)
-    return F.struct(
-        F.when(valid, parsed).alias("value"),
-        F.when(part.isNull(), NO_JSON).when(~valid, BAD_JSON).alias("status"))
-
+    def parse(part):
+        return let(_whole_object(part, f"STRUCT<{schema}>"), lambda value: F.struct(
+            value.alias("value"),
+            F.when(part.isNull(), NO_JSON).when(value.isNull(), BAD_JSON).alias("status")))
 
-def _last(text: Column, char: str) -> Column:
-    """1-based place of the last ``char``, 0 when absent."""
-    back = F.instr(F.reverse(text), char)
-    return F.when(back > 0, F.length(text) - back + 1).otherwise(F.lit(0))
+    return let(json_part(text), parse)
 
 
 def rejection_parse(text: Column) -> Column:
     """Rejection type and angles from the object between the last ``{`` and the last ``}``."""
-    start, end = _last(text, "{"), _last(text, "}")
-    part = F.when(start > 0, F.substring(text, start, F.greatest(end - start + 1, F.lit(0))))
-    parsed = F.from_json(F.when(is_json_object(part), part),
-                         "rejection_type STRING, angles ARRAY<STRING>")
-    return F.struct(
-        F.coalesce(parsed["rejection_type"], F.lit(DEFAULT_REJECTION)).alias("rejection_type"),
-        F.coalesce(parsed["angles"], F.array().cast("array<string>")).alias("angles"))
+    part = F.regexp_extract(text, r"(\{[^{]*\})[^{}]*\z", 1)
+    parsed = _whole_object(part, "STRUCT<rejection_type: STRING, angles: ARRAY<STRING>>")
+    return let(parsed, lambda found: F.struct(
+        F.coalesce(found["rejection_type"], F.lit(DEFAULT_REJECTION)).alias("rejection_type"),
+        F.coalesce(found["angles"], F.array().cast("array<string>")).alias("angles")))
 
 
 def tagged_body(text: Column, tag: str = "response") -> Column:
     """Trimmed text between the tags when both are there, else the text unchanged."""
     opening, closing = f"<{tag}>", f"</{tag}>"
-    start = F.instr(text, opening) + len(opening)
-    inner = F.substring(text, start, F.greatest(F.instr(text, closing) - start, F.lit(0)))
-    trimmed = F.regexp_replace(inner, r"^\s+|\s+$", "")
-    return F.when(text.contains(opening) & text.contains(closing), trimmed).otherwise(text)
+
+    def inner(whole):
+        start = F.instr(whole, opening) + len(opening)
+        body = F.substring(whole, start, F.greatest(F.instr(whole, closing) - start, F.lit(0)))
+        return F.when(whole.contains(opening) & whole.contains(closing),
+                      F.regexp_replace(body, r"^\s+|\s+$", "")).otherwise(whole)
+
+    return let(text, inner)
 
 
 def label_from_notice(message: Column) -> Column:

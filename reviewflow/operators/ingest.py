@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +39,10 @@ def filter_spam(df: DataFrame, keywords: list[str] | None = None,
     keep = F.coalesce(sender, F.lit("")) != ""
     if ignore:
         keep = keep & ~F.lower(sender).isin([s.lower() for s in ignore])
-    for field in ("subject", "body"):
-        text = F.lower(F.coalesce(field, F.lit("")))
-        for word in keywords:
-            keep = keep & ~text.contains(word)
+    if keywords:
+        texts = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("subject", "body")])
+        holds = lambda text: reduce(or_, [text.contains(word) for word in keywords])
+        keep = keep & ~F.exists(texts, holds)
     return df.filter(keep)
 
 
@@ -92,28 +95,41 @@ def dedupe_messages(df: DataFrame) -> DataFrame:
              .select("message_id", "_mail.*").select(*df.columns)
 
 
-def admit(mails: DataFrame, sessions: DataFrame) -> DataFrame:
-    """What to do with each distinct mail: new, skip or retry.
+def first_copies(mails: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """One row per mail hash: its earliest mail, with the ``carry`` columns, and the copies.
 
-    Mails are reduced to one row per hash before the shuffle, so a mail copied very often is a
-    single row. A hash not seen is new; one seen in a completed session is skipped; any other is
-    retried under its session id, back in processing with a new start.
+    Copies are combined before the shuffle, so a mail copied very often is a single row.
     """
     hashed = mails.withColumn("email_hash", email_hash(F.col("body"), F.col("sender_email")))
-    first = F.min(F.struct("received_at", "message_id")).alias("_first")
-    batch = hashed.groupBy("email_hash").agg(first, F.count(F.lit(1)).alias("copies"))
+    order = F.struct("received_at", "message_id")
+    first = F.min_by(F.struct("received_at", "message_id", *carry), order) if carry \
+        else F.min(order)
+    return hashed.groupBy("email_hash").agg(
+        first.alias("_first"), F.count(F.lit(1)).alias("copies")) \
+        .select("email_hash", "copies", "_first.*")
+
+
+def decide(batch: DataFrame, sessions: DataFrame) -> DataFrame:
+    """New, skip or retry for each hash of ``batch``, from the session that has the hash."""
     known = sessions.select(F.col("email_hash").alias("_hash"), F.col("id").alias("session_id"),
                             F.col("status").alias("_status"))
     seen = F.col("session_id").isNotNull()
     done = F.coalesce(F.col("_status") == "completed", F.lit(False))
-    decision = F.when(~seen, "new").when(done, "skip").otherwise("retry")
     return batch.join(known, F.col("email_hash") == F.col("_hash"), "left").select(
-        "email_hash", F.col("_first.message_id").alias("message_id"),
-        F.col("_first.received_at").alias("received_at"), "copies", "session_id",
-        decision.alias("decision"),
+        *batch.columns, "session_id",
+        F.when(~seen, "new").when(done, "skip").otherwise("retry").alias("decision"),
         F.when(seen & done, F.col("_status")).otherwise("processing").alias("status"))
 
 
+def admit(mails: DataFrame, sessions: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """What to do with each distinct mail: new, skip or retry.
+
+    A hash not seen is new; one seen in a completed session is skipped; any other is retried under
+    its session id, back in processing with a new start.
+    """
+    return decide(first_copies(mails, carry), sessions)
+
+
 def route(df: DataFrame) -> DataFrame:
     """Branch of each mail from the continuation answer and the label."""
     stop = F.lower(F.regexp_replace("decision", r"^\s+|\s+$", "")) == "no"

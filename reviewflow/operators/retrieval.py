@@ -14,7 +14,6 @@ BROADCAST_ROWS, BROADCAST_BYTES = 16_384, 64 * 1024 * 1024
 VECTOR_BLOCK = 4096
 # Similarities that agree to this many digits are a tie, which the lower id wins.
 TIE_DIGITS = 9
-FOLDER_BLOCK = 256
 
 THREAD_FIELDS = ("sender", "client", "email_thread", "description", "$vector")
 
@@ -140,41 +139,73 @@ def name_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
+class _FolderIndex:
+    """Folders in the order of their ids, and for each word the folders whose name holds it."""
+
+    def __init__(self, folders: pd.DataFrame):
+        folders = folders.sort_values("folder_id", kind="stable")
+        self.ids, self.names = folders["folder_id"].to_numpy(), folders["name"].to_numpy()
+        held: dict[str, list[int]] = {}
+        for place, words in enumerate(folders["_folder_words"]):
+            for word in words:
+                held.setdefault(word, []).append(place)
+        self.held = {word: np.array(places) for word, places in held.items()}
+
+    def best(self, words) -> tuple:
+        """Id, name and shared words of the best folder; the first of equals is the lowest id."""
+        lists = [self.held[w] for w in words if w in self.held]
+        if not lists:
+            return None, None, 0
+        counts = np.bincount(np.concatenate(lists))
+        place = int(counts.argmax())
+        return self.ids[place], self.names[place], int(counts[place])
+
+
 def match_client(mails: DataFrame, folders: DataFrame, mail_id: str = "message_id",
-                 text_col: str = "body", blocks: int | None = None) -> DataFrame:
+                 text_col: str = "body", broadcast_rows: int = BROADCAST_ROWS,
+                 block: int = VECTOR_BLOCK) -> DataFrame:
     """The folder whose name shares most words with the mail; NULL when none is shared.
 
     A fixed stand-in for a choice made by a model. Equal counts go to the lower folder id.
-    ``folders``: folder_id, name. Folders are packed into lists of bounded size; a mail is held
-    against one list at a time inside an expression, so no pair of mail and folder becomes a row.
+    ``folders``: folder_id, name. A folder list small enough to send (rows and bytes are checked)
+    goes to every executor and mails are neither shuffled nor paired; a longer list is compared
+    block by block and the best of each block meet at the end.
     """
-    if blocks is None:
-        blocks = block_count(folders, FOLDER_BLOCK)
-    packed = folders.select(
-        F.pmod(F.xxhash64("folder_id"), F.lit(blocks)).cast("int").alias("_block"),
-        F.struct("folder_id", "name", name_tokens(F.col("name")).alias("words")).alias("_f")) \
-        .groupBy("_block").agg(F.collect_list("_f").alias("_folders"))
-    score = F.transform("_folders", lambda f: F.struct(
-        F.size(F.array_intersect(F.col("_words"), f["words"])).alias("shared"),
-        f["folder_id"].alias("folder_id"), f["name"].alias("name")))
-    better = lambda a, b: F.when(
-        b["shared"] > a["shared"], b).when(
-        (b["shared"] == a["shared"]) & (b["folder_id"] < a["folder_id"]), b).otherwise(a)
-    held = mails.select(mail_id, name_tokens(F.col(text_col)).alias("_words")) \
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
-        .join(packed, "_block", "left") \
-        .withColumn("_scores", F.filter(score, lambda s: s["shared"] > 0)) \
-        .select(mail_id, F.when(F.size("_scores") > 0, F.aggregate(
-            "_scores", F.element_at("_scores", 1), better)).alias("_best"))
-    if blocks > 1:
-        order = F.min(F.when(F.col("_best").isNotNull(), F.struct(
-            (-F.col("_best.shared")).alias("least"), F.col("_best.folder_id"),
-            F.col("_best.name"), F.col("_best.shared"))))
-        held = held.groupBy(mail_id).agg(order.alias("_best"))
-    return held.select(
-        mail_id, F.col("_best.folder_id").alias("client_folder_id"),
-        F.col("_best.name").alias("client_name"), F.col("_best.shared").alias("shared_words"),
-        F.col("_best").isNotNull().alias("client_matched"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = (f"{mail_id} {kind(mails, mail_id)}, client_folder_id {kind(folders, 'folder_id')}, "
+              "client_name string, shared_words int")
+    named = folders.select("folder_id", "name", name_tokens(F.col("name")).alias("_folder_words"))
+    worded = mails.select(mail_id, name_tokens(F.col(text_col)).alias("_words"))
+    head = named.limit(broadcast_rows + 1).toPandas() if broadcast_rows else None
+
+    def score(ids, word_lists, index):
+        found = [index.best(words) for words in word_lists]
+        return pd.DataFrame({mail_id: ids, **{
+            c: pd.Series([f[i] for f in found], dtype=object, index=ids.index)
+            for i, c in enumerate(("client_folder_id", "client_name", "shared_words"))}})
+
+    if head is not None and len(head) <= broadcast_rows \
+            and head["name"].str.len().sum() <= BROADCAST_BYTES:
+        sent = mails.sparkSession.sparkContext.broadcast(_FolderIndex(head))
+
+        def partition(batches):
+            for pdf in batches:
+                yield score(pdf[mail_id], pdf["_words"], sent.value)
+
+        best = worded.mapInPandas(partition, schema)
+    else:
+        blocks = (block_count(mails, block), block_count(folders, block))
+        found = blocked_pairs(worded, named, F.col(mail_id), F.col("folder_id"), blocks,
+                              lambda m, f: score(m[mail_id], m["_words"], _FolderIndex(f)), schema)
+        order = F.min(F.when(F.col("shared_words") > 0, F.struct(
+            -F.col("shared_words"), F.col("client_folder_id"), F.col("client_name"),
+            F.col("shared_words"))))
+        best = found.groupBy(mail_id).agg(order.alias("_b")).select(
+            mail_id, "_b.client_folder_id", "_b.client_name",
+            F.coalesce("_b.shared_words", F.lit(0)).alias("shared_words"))
+    matched = F.col("shared_words") > 0
+    return best.withColumn("client_matched", matched) \
+               .withColumn("shared_words", F.when(matched, F.col("shared_words")))
 
 
 # How document names are ranked and what asks for the special kinds.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewflow.functions.binding import let
 from reviewflow.functions.period import as_of_column, hours_between, within
 from reviewflow.functions.scores import edit_type, quality_score
 from reviewflow.functions.text import before_underscore, session_from_action
@@ -123,48 +124,63 @@ CLICK_PAYLOAD = """
                          selected_option: STRUCT<value: STRING>>>"""
 
 
+def _first_actions(col: str) -> Column:
+    """List of the payload and its first action; empty when it has none."""
+    opened = F.transform(F.array(F.from_json(F.col(col), CLICK_PAYLOAD)), lambda b: F.struct(
+        b.alias("body"), F.get(b["actions"], F.lit(0)).alias("act")))
+    return F.filter(opened, lambda p: p["act"].isNotNull())
+
+
+def _rows_of(clicks: DataFrame, found: Column, *dropped: str) -> DataFrame:
+    """Click columns with one row per entry of ``found``; the payload is parsed once."""
+    return clicks.select(*[c for c in clicks.columns if c not in dropped], F.inline(found))
+
+
 def parse_interactions(clicks: DataFrame, col: str = "payload") -> DataFrame:
     """One interaction row per click payload; payloads without action or session give none."""
-    body = F.from_json(F.col(col), CLICK_PAYLOAD)
-    first = F.get(F.col("_body.actions"), F.lit(0))
     text = lambda c: F.coalesce(c, F.lit(""))
-    value = text(F.coalesce(F.col("_act.value"), F.col("_act.selected_option.value")))
-    return clicks.withColumn("_body", body).withColumn("_act", first) \
-        .filter(F.col("_act").isNotNull()).withColumn("_value", value) \
-        .withColumn("session_id", session_from_action(text(F.col("_act.action_id")), F.col("_value"))) \
-        .filter(F.col("session_id").isNotNull()).select(
-            *[c for c in clicks.columns if c not in (col, "session_id")], "session_id",
-            F.when(F.col("_act.type") == "button", "button_click").otherwise("selection")
+
+    def row(p):
+        act, body = p["act"], p["body"]
+        value = text(F.coalesce(act["value"], act["selected_option"]["value"]))
+        return let(value, lambda v: F.struct(
+            session_from_action(text(act["action_id"]), v).alias("session_id"),
+            F.when(act["type"] == "button", "button_click").otherwise("selection")
              .alias("interaction_type"),
-            before_underscore(F.col("_value")).alias("action_value"),
-            text(F.col("_body.user.id")).alias("user_id"),
-            text(F.col("_body.user.name")).alias("user_name"),
-            text(F.col("_body.channel.id")).alias("channel_id"),
-            text(F.col("_body.message.ts")).alias("message_ts"),
-            text(F.col("_body.trigger_id")).alias("trigger_id"), F.col(col))
+            before_underscore(v).alias("action_value"),
+            text(body["user"]["id"]).alias("user_id"),
+            text(body["user"]["name"]).alias("user_name"),
+            text(body["channel"]["id"]).alias("channel_id"),
+            text(body["message"]["ts"]).alias("message_ts"),
+            text(body["trigger_id"]).alias("trigger_id")))
+
+    found = F.filter(F.transform(_first_actions(col), row), lambda r: r["session_id"].isNotNull())
+    return _rows_of(clicks, found, "session_id")
 
 
 def feedback_from_clicks(clicks: DataFrame, col: str = "payload") -> DataFrame:
     """Feedback rows from clicks whose value is JSON: action, rating, score and edit class."""
-    body = F.from_json(F.col(col), CLICK_PAYLOAD)
-    act = F.col("_act.action_id")
-    value = F.from_json(F.col("_act.value"), "session_id STRING, rating INT, action STRING")
-    action = F.when(act.startswith("rate_"), "rated").when(act == "approve_draft", "approved") \
-              .when(act == "edit_draft", "edited").when(act == "reject_draft", "rejected")
-    rating = F.when(F.col("human_action") == "rated", F.col("_value.rating")) \
-              .when(F.col("human_action") == "approved", APPROVAL_RATING) \
-              .when(F.col("human_action") == "rejected", REJECTION_RATING)
-    return clicks.withColumn("_body", body) \
-        .withColumn("_act", F.get(F.col("_body.actions"), F.lit(0))) \
-        .withColumn("_value", value).withColumn("human_action", action) \
-        .filter((F.coalesce("_value.session_id", F.lit("")) != "")
-                & F.col("human_action").isNotNull()) \
-        .withColumn("human_rating", rating).withColumn("edit_distance", F.lit(0)).select(
-            *[c for c in clicks.columns if c not in (col, "session_id")],
-            F.col("_value.session_id").alias("session_id"), "human_action", "human_rating",
-            "edit_distance", edit_type(F.col("edit_distance")).alias("edit_type"),
-            quality_score(F.col("human_action"), F.col("human_rating"), F.col("edit_distance"))
-            .alias("final_quality_score"),
-            F.substring("_value.session_id", 1, 8).alias("slack_message_id"),
-            F.col("_body.user.id").alias("slack_user_id"),
-            F.col("_body.user.name").alias("slack_user_name"))
+    def read(p):
+        act = p["act"]["action_id"]
+        return F.struct(
+            F.from_json(p["act"]["value"], "session_id STRING, rating INT").alias("value"),
+            F.when(act.startswith("rate_"), "rated").when(act == "approve_draft", "approved")
+             .when(act == "edit_draft", "edited").when(act == "reject_draft", "rejected")
+             .alias("action"), p["body"]["user"].alias("user"))
+
+    def row(c):
+        rating = F.when(c["action"] == "rated", c["value"]["rating"]) \
+            .when(c["action"] == "approved", APPROVAL_RATING) \
+            .when(c["action"] == "rejected", REJECTION_RATING)
+        distance = F.lit(0)
+        return F.struct(
+            c["value"]["session_id"].alias("session_id"), c["action"].alias("human_action"),
+            rating.alias("human_rating"), distance.alias("edit_distance"),
+            edit_type(distance).alias("edit_type"),
+            quality_score(c["action"], rating, distance).alias("final_quality_score"),
+            F.substring(c["value"]["session_id"], 1, 8).alias("slack_message_id"),
+            c["user"]["id"].alias("slack_user_id"), c["user"]["name"].alias("slack_user_name"))
+
+    kept = F.filter(F.transform(_first_actions(col), read), lambda c: c["action"].isNotNull()
+                    & (F.coalesce(c["value"]["session_id"], F.lit("")) != ""))
+    return _rows_of(clicks, F.transform(kept, row), col, "session_id")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewflow.functions.binding import let
+
 # What a stored secret looks like (matched without case).
 SECRET_PATTERNS = {
     "password": r"""password\s*=\s*["'][^"']+["']""",
@@ -16,6 +21,12 @@ SECRET_PATTERNS = {
     "openai_key": r"sk-[a-zA-Z0-9]{48}",
     "slack_token": r"xoxb-[0-9]+-[0-9]+-[a-zA-Z0-9]+",
 }
+# A text without the word cannot match the pattern; looking for the word is much cheaper.
+SECRET_WORDS = {
+    "password": "password", "api_key": "api_key", "secret_key": "secret_key", "token": "token",
+    "webhook_url": "webhook_url", "database_url": "database_url", "openai_key": "sk-",
+    "slack_token": "xoxb-",
+}
 # Words that mark a match as a placeholder.
 PLACEHOLDERS = ("your_", "example", "placeholder", "xxx", "secret_here", "token_here")
 # Query texts put together in unsafe ways (matched without case).
@@ -64,19 +75,26 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
 
 def scan_patterns(docs: DataFrame, patterns: dict[str, str] | None = None, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """Every match of every pattern: id, type, line, match."""
+                  text_col: str = "text", words: dict[str, str] | None = None) -> DataFrame:
+    """Every match of every pattern: id, type, line, match.
+
+    ``words`` names for a pattern a lower-case word that each of its matches holds; texts without
+    it are not searched for that pattern.
+    """
     patterns = UNSAFE_QUERY_PATTERNS if patterns is None else patterns
-    text = F.col(text_col)
-    hit = F.lit(False)
-    for pattern in patterns.values():
-        hit = hit | text.rlike(f"(?i){pattern}")
-    found = F.concat(*[
-        F.when(text.rlike(f"(?i){pattern}"), _matches(text, kind, pattern))
-         .otherwise(F.array().cast("array<struct<type:string,line:int,match:string>>"))
-        for kind, pattern in patterns.items()])
-    return docs.select(id_col, text_col).filter(hit) \
-        .select(id_col, F.explode(found).alias("_m")).select(id_col, "_m.*")
+    words = words or {}
+    none = F.array().cast("array<struct<type:string,line:int,match:string>>")
+
+    def search(text, low):
+        return F.concat(*[
+            F.when(low.contains(words[kind]) if kind in words else text.rlike(f"(?i){pattern}"),
+                   _matches(text, kind, pattern)).otherwise(none)
+            for kind, pattern in patterns.items()])
+
+    low = F.lower(text_col) if words else F.lit("")
+    found = let(F.struct(F.col(text_col).alias("text"), low.alias("low")),
+                lambda v: search(v["text"], v["low"]))
+    return docs.filter(F.col(text_col).isNotNull()).select(id_col, F.inline(found))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +106,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shown = F.when(F.length("match") > REPORT_CHARS,
                    F.concat(F.substring("match", 1, REPORT_CHARS), F.lit("..."))) \
              .otherwise(F.col("match"))
-    return scan_patterns(docs, SECRET_PATTERNS, id_col, text_col).filter(real) \
+    return scan_patterns(docs, SECRET_PATTERNS, id_col, text_col, SECRET_WORDS).filter(real) \
         .select(id_col, "type", "line", shown.alias("text"))
 
 
@@ -99,11 +117,11 @@ def classify_rules(df: DataFrame, rules=LABEL_RULES, text_col: str = "text",
     A fixed stand-in for a label given by a model. The rules are a short list in the program, so
     they become one expression and need no join.
     """
-    low = F.lower(F.coalesce(text_col, F.lit("")))
-    label = None
-    for name, phrases in rules:
-        hit = F.lit(False)
-        for phrase in phrases:
-            hit = hit | low.contains(phrase)
-        label = F.when(hit, name) if label is None else label.when(hit, name)
-    return df.withColumn(out, F.lit(OTHER_LABEL) if label is None else label.otherwise(OTHER_LABEL))
+    def choose(low):
+        label = None
+        for name, phrases in rules:
+            hit = reduce(or_, [low.contains(phrase) for phrase in phrases])
+            label = F.when(hit, name) if label is None else label.when(hit, name)
+        return F.lit(OTHER_LABEL) if label is None else label.otherwise(OTHER_LABEL)
+
+    return df.withColumn(out, let(F.lower(F.coalesce(text_col, F.lit(""))), choose))

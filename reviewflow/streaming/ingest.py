@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reviewflow.functions.text import email_hash
-from reviewflow.operators.ingest import admit, intake
+from reviewflow.operators.ingest import decide, first_copies, intake
 from reviewflow.streaming.runs import POLL, to_batches
 
 MEMORY = "1 hour"
 
-# Log of session states: one row per change, in a folder per micro-batch.
-SESSION_LOG = """
+# Log of session states: one row per change, in a folder per poll and step.
+_OPENED = """
     id STRING, email_hash STRING, message_id STRING, sender_name STRING, sender_email STRING,
-    subject STRING, decision STRING, status STRING, classification STRING, error_message STRING,
-    received_at TIMESTAMP, step INT, batch_id BIGINT"""
+    subject STRING, email_content STRING, decision STRING, status STRING, received_at TIMESTAMP"""
+SESSION_LOG = _OPENED + """,
+    classification STRING, error_message STRING, batch_id BIGINT, step INT"""
 
 
 def session_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SESSION_LOG).option("recursiveFileLookup", "false") \
-                .parquet(f"{path}/log")
+    return spark.read.schema(SESSION_LOG).parquet(f"{path}/log")
 
 
 def _newest(log: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def current_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def compact_sessions(spark: SparkSession, path: str, out: str) -> None:
     """Write the log anew with one row per session, as the start of a fresh log under ``out``."""
-    current_sessions(spark, path).drop("batch_id").write.mode("errorifexists") \
-        .parquet(f"{out}/log/batch_id=-1")
+    current_sessions(spark, path).drop("batch_id", "step").write.mode("errorifexists") \
+        .parquet(f"{out}/log/batch_id=-1/step=0")
 
 
 def run_ingest(mails: DataFrame, path: str, process: Callable[[DataFrame], DataFrame] | None = None,
@@ -58,50 +58,37 @@ def run_ingest(mails: DataFrame, path: str, process: Callable[[DataFrame], DataF
 
     def poll(raw: DataFrame, batch_id: int) -> None:
         mail = intake(raw, keywords, ignore)
-        hashed = mail.withColumn("email_hash", email_hash(F.col("body"), F.col("sender_email")))
-        seen = _known(raw.sparkSession, path, batch_id)
-        wanted = hashed.select("email_hash").distinct()
-        known = _newest(seen.join(wanted, "email_hash", "left_semi")) \
-            .select("id", "email_hash", "status")
-        admitted = admit(mail, known).filter(F.col("decision") != "skip") \
-            .withColumn("id", F.coalesce("session_id", "email_hash"))
-        chosen = admitted.select("message_id", "received_at", "id", "decision", "email_hash",
-                                 F.lit("processing").alias("status"))
-        rows = mail.drop("received_at").dropDuplicates(["message_id"]).join(chosen, "message_id")
+        batch = first_copies(mail, ["sender_name", "sender_email", "subject", "body"]).persist()
+        seen = session_log(raw.sparkSession, path).filter(F.col("batch_id") < batch_id)
+        known = _newest(seen.select("id", "email_hash", "status", "batch_id", "step")
+                        .join(batch.select("email_hash"), "email_hash", "left_semi"))
         target = f"{path}/log/batch_id={batch_id}"
-        _write(rows.withColumn("step", F.lit(0)), f"{target}/step=0")
+        opened = decide(batch, known).filter(F.col("decision") != "skip") \
+            .withColumn("id", F.coalesce("session_id", "email_hash")) \
+            .withColumnRenamed("body", "email_content")
+        _write(opened, f"{target}/step=0")
+        batch.unpersist()
         if process is not None:
-            opened = raw.sparkSession.read.schema(_STEP_SCHEMA).parquet(f"{target}/step=0")
-            work = opened.join(mail.select("message_id", "body").dropDuplicates(["message_id"]),
-                               "message_id")
-            done = process(work.withColumnRenamed("id", "session_id"))
-            closed = opened.drop("status").join(
+            opened = raw.sparkSession.read.schema(_OPENED).parquet(f"{target}/step=0")
+            done = process(opened.withColumnRenamed("id", "session_id")
+                           .withColumnRenamed("email_content", "body"))
+            closed = opened.drop("status", "email_content").join(
                 done.select(F.col("session_id").alias("id"), F.col("label").alias("classification"),
                             F.col("error").alias("error_message")), "id") \
                 .withColumn("status", F.when(F.coalesce("error_message", F.lit("")) == "",
                                              "completed").otherwise("failed"))
             _write(closed, f"{target}/step=1")
 
-    _write(spark.createDataFrame([], _STEP_SCHEMA), f"{path}/log/batch_id=-2/step=0")
+    _write(spark.createDataFrame([], _OPENED).coalesce(1), f"{path}/log/batch_id=-2/step=0")
     return to_batches(mails, poll, path, trigger)
 
 
-_STEP_SCHEMA = """id STRING, email_hash STRING, message_id STRING, sender_name STRING,
-    sender_email STRING, subject STRING, decision STRING, status STRING, received_at TIMESTAMP"""
-_CLOSE_SCHEMA = _STEP_SCHEMA + ", classification STRING, error_message STRING"
-
-
 def _write(rows: DataFrame, target: str) -> None:
-    kept = [c for c in ("id", "email_hash", "message_id", "sender_name", "sender_email", "subject",
-                        "decision", "status", "classification", "error_message", "received_at")
-            if c in rows.columns]
+    names = [c.strip().split(" ")[0] for c in SESSION_LOG.split(",")]
+    kept = [c for c in names if c in rows.columns and c not in ("batch_id", "step")]
     rows.select(*kept).write.mode("overwrite").parquet(target)
 
 
-def _known(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return session_log(spark, path).filter(F.col("batch_id") < batch_id)
-
-
 def dedupe_stream(mails: DataFrame, memory: str = MEMORY) -> DataFrame:
     """Each message id once; ids are forgotten after ``memory`` of event time."""
     return mails.withWatermark("received_at", memory) \
@@ -117,17 +104,12 @@ def _fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
     status = state.get[0] if state.exists else None
     first, copies, closing = None, 0, None
     for rows in chunks:
-        mails = rows[rows["closed_as"].isna()]
-        copies += len(mails)
-        if len(mails):
-            head = mails.sort_values(["received_at", "message_id"]).iloc[0]
-            if first is None or (head["received_at"], head["message_id"]) < first:
-                first = (head["received_at"], head["message_id"])
-        closes = rows[rows["closed_as"].notna()]
-        if len(closes):
-            last = closes.sort_values("received_at").iloc[-1]
-            if closing is None or last["received_at"] >= closing[0]:
-                closing = (last["received_at"], last["closed_as"])
+        for at, mail, closed in zip(rows["received_at"], rows["message_id"], rows["closed_as"]):
+            if closed is None:
+                copies += 1
+                first = (at, mail) if first is None else min(first, (at, mail))
+            elif closing is None or (at, closed) > closing:
+                closing = (at, closed)
     if first is not None:
         decision = "new" if status is None else "skip" if status == "completed" else "retry"
         status = "completed" if decision == "skip" else "processing"
