@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewflow.functions.period import as_of_column, interval, rate, within
@@ -49,12 +49,12 @@ def timeline_summary(t, hours: int = 24, as_of=None) -> DataFrame:
 
 
 def classification_dist(t, days: int = 30, as_of=None) -> DataFrame:
-    """Rows per label with the grand total; the labels of one grouping are few."""
-    labels = in_period(t["classification_results"], t["email_sessions"], as_of, days) \
+    """Rows per label with the grand total; the window runs over the few grouped rows."""
+    total = F.sum("count").over(Window.partitionBy())
+    return in_period(t["classification_results"], t["email_sessions"], as_of, days) \
         .groupBy("predicted_label") \
-        .agg(rows().alias("count"), F.avg("confidence_score").alias("avg_confidence"))
-    total = labels.select(F.sum("count")).scalar()
-    return labels.withColumn("total_classifications", total).orderBy(F.desc("count"))
+        .agg(rows().alias("count"), F.avg("confidence_score").alias("avg_confidence")) \
+        .withColumn("total_classifications", total).orderBy(F.desc("count"))
 
 
 def classification_trend(t, days: int = 30, as_of=None) -> DataFrame:

@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take on the many side of a left join.
 HOT_ROWS = 1_000_000
+# Ids that may be sent to every executor: 16 bytes each, 64 MB in all.
+SENT_IDS = 4_000_000
 # Rows per side of one block in a blocked all-against-all comparison.
 BLOCK_ROWS = 4096
 
 
+def send_if_small(ids: DataFrame, rows: int = SENT_IDS) -> DataFrame:
+    """Mark a frame of ids for broadcast when a count shows that it is small enough.
+
+    Without the mark the planner knows only the size of the unfiltered table, and would shuffle
+    the large table on the other side before it finds out. Beyond the limit the frame stays
+    unmarked: both sides shuffle and the adaptive skew join splits hot keys.
+    """
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def left_join_many(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join to a 1:N table in which one key may own most rows.
@@ -22,12 +34,14 @@ def left_join_many(left: DataFrame, right: DataFrame, left_key: str, right_key:
     numbered parts by a hash of the whole row, and the left row is repeated once per part. Every
     part of a hot key that stays empty would add an unmatched row, so those are dropped: a hot key
     always has matches. Other keys keep part 0, where an unmatched left row stays.
-    Columns of ``right`` other than the key are appended.
+    Columns of ``right`` other than the key are appended. There are at most ``rows / hot_rows``
+    hot keys, a million for 10^12 rows, so their list is broadcast.
     """
     hot = right.groupBy(right_key).agg(F.count(F.lit(1)).alias("_rows")) \
         .filter(F.col("_rows") > hot_rows) \
         .select(F.col(right_key).alias("_hot"),
                 F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)
     kept = [c for c in right.columns if c != right_key]
     row_hash = F.xxhash64(*[F.col(c) for c in right.columns])
     many = right.join(hot, F.col(right_key) == F.col("_hot"), "left").select(

@@ -88,18 +88,24 @@ def check_unique(t) -> DataFrame:
         for table, keys in UNIQUE_KEYS.items() if table in t])
 
 
-def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows that name a parent which does not exist."""
-    known = parent.select(F.col(key).alias("_known")).distinct()
+def _without(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
+    known = parent.select(F.col(key).alias("_known"))
     return child.filter(F.col(column).isNotNull()) \
                 .join(known, F.col(column) == F.col("_known"), "left_anti")
 
 
+def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
+    """Child rows that name a parent which does not exist."""
+    return _without(child, column, parent, key)
+
+
 def check_orphans(t) -> DataFrame:
+    """Number of orphans per reference; children are counted per key before they are joined."""
     return _union([
-        orphans(t[child], column, t[parent], key).agg(rows().alias("violations")).select(
-            F.lit(child).alias("table_name"), F.lit(f"{column} -> {parent}").alias("rule"),
-            "violations")
+        _without(t[child].groupBy(column).agg(rows().alias("_rows")), column, t[parent], key)
+        .agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations"))
+        .select(F.lit(child).alias("table_name"), F.lit(f"{column} -> {parent}").alias("rule"),
+                "violations")
         for child, column, parent, key in REFERENCES
         if child in t and parent in t and column in t[child].columns])
 

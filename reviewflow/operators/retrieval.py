@@ -229,33 +229,32 @@ def pick_document(docs: DataFrame, mails: DataFrame, folder_col: str = "client_f
 
     Final briefs and drafts come first, then a bio or angles paper when the mail asks for one,
     then the highest version; the lower id breaks a tie. ``docs``: document_id, folder_id, name.
-    Whether a mail asks for bio or angles leaves four cases, so the best document is found once per
-    folder and case and mails look it up; no mail meets all documents of its folder.
+    Whether a mail asks for bio or angles leaves four cases, so the best document of each case is
+    found once per folder and a mail looks its case up; no mail meets all documents of its folder.
     """
     version = F.coalesce(
         F.regexp_extract(F.lower("name"), r"\bv(\d+)", 1).try_cast("int"), F.lit(0))
-    cases = F.explode(F.array(*[
-        F.struct(F.lit(bio).alias("bio"), F.lit(angles).alias("angles"))
-        for bio in (False, True) for angles in (False, True)]))
-    asked = (F.col("_c.bio") & _mentions(F.col("name"), BIO_WORDS)) | \
-            (F.col("_c.angles") & _mentions(F.col("name"), ANGLE_WORDS))
-    tier = F.when(_mentions(F.col("name"), FINAL_NAMES), 0).when(asked, 1).otherwise(2)
-    rank = F.struct(tier.alias("tier"), (-version).alias("v"), F.col("document_id"),
-                    F.col("name").alias("document_name"))
-    best = docs.select("document_id", "folder_id", "name", cases.alias("_c")) \
-        .groupBy(F.col("folder_id").alias("_folder"), F.col("_c.bio").alias("_bio"),
-                 F.col("_c.angles").alias("_angles")) \
-        .agg(F.min(rank).alias("_best"), F.count(F.lit(1)).cast("int").alias("documents_found"))
-    asks = mails.withColumn("_wants_bio", _mentions(F.col(text_col), BIO_WORDS)) \
-                .withColumn("_wants_angles", _mentions(F.col(text_col), ANGLE_WORDS))
-    joined = asks.join(best, (F.col(folder_col) == F.col("_folder"))
-                       & (F.col("_wants_bio") == F.col("_bio"))
-                       & (F.col("_wants_angles") == F.col("_angles")), "left")
-    return joined.select(
-        *mails.columns, F.col("_best.document_id").alias("selected_document_id"),
-        F.col("_best.document_name").alias("selected_document_name"),
+    final, bio, angles = (_mentions(F.col("name"), words)
+                          for words in (FINAL_NAMES, BIO_WORDS, ANGLE_WORDS))
+
+    def best(asks_bio: bool, asks_angles: bool) -> Column:
+        asked = (bio & F.lit(asks_bio)) | (angles & F.lit(asks_angles))
+        tier = F.when(final, 0).when(asked, 1).otherwise(2)
+        return F.min(F.struct(tier.alias("tier"), (-version).alias("v"), F.col("document_id"),
+                              F.col("name").alias("document_name")))
+
+    folders = docs.groupBy(F.col("folder_id").alias("_folder")).agg(
+        best(False, False).alias("_plain"), best(True, False).alias("_bio"),
+        best(False, True).alias("_angles"), best(True, True).alias("_both"),
+        F.count(F.lit(1)).cast("int").alias("documents_found"))
+    wants_bio, wants_angles = (_mentions(F.col(text_col), w) for w in (BIO_WORDS, ANGLE_WORDS))
+    asks = mails.withColumn("_wants", wants_bio.cast("int") + 2 * wants_angles.cast("int"))
+    chosen = F.get(F.array("_plain", "_bio", "_angles", "_both"), F.col("_wants"))
+    return asks.join(folders, F.col(folder_col) == F.col("_folder"), "left").select(
+        *mails.columns, chosen["document_id"].alias("selected_document_id"),
+        chosen["document_name"].alias("selected_document_name"),
         F.coalesce("documents_found", F.lit(0)).alias("documents_found"),
-        F.when(F.col(folder_col).isNull(), NO_FOLDER).when(F.col("_best").isNull(), NO_DOCUMENT)
+        F.when(F.col(folder_col).isNull(), NO_FOLDER).when(F.col("_folder").isNull(), NO_DOCUMENT)
          .otherwise(PICKED).alias("extraction_status"))
 
 

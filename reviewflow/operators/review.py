@@ -10,7 +10,8 @@ from reviewflow.functions.period import as_of_column, hours_between, within
 from reviewflow.functions.scores import edit_type, quality_score
 from reviewflow.functions.text import before_underscore, session_from_action
 from reviewflow.operators.dashboard import rows
-from reviewflow.operators.sessions import COMPLETED, STARTED, _pick
+from reviewflow.operators.joins import send_if_small
+from reviewflow.operators.sessions import COMPLETED, STARTED, _pick, _wanted
 
 # Ratings an approval and a rejection stand for.
 APPROVAL_RATING, REJECTION_RATING = 5, 1
@@ -48,14 +49,18 @@ def _percent(part: Column, whole: Column) -> Column:
 def approval_rates(t, days: int = 30, as_of=None) -> DataFrame:
     """Review outcome per label; a session counts once per feedback row, or once if it has none.
 
-    Feedback is counted per session before the join, so a session with very many rows is one row.
+    Feedback is cut to the sessions of the window and counted per session before the join, so a
+    session with very many rows is one row.
     """
     acted = lambda a: F.count_if(F.col("human_action") == a).alias(a)
-    counts = t["quality_feedback"].groupBy(F.col("session_id").alias("_session")).agg(
-        rows().alias("_rows"), acted("approved"), acted("rejected"), acted("edited"))
+    recent = within(t["email_sessions"], COMPLETED, as_of, days, closed=True, as_of_from=STARTED) \
+        .select("id", "classification")
+    counts = t["quality_feedback"].select("session_id", "human_action") \
+        .join(send_if_small(recent.select("id")), F.col("session_id") == F.col("id"), "left_semi") \
+        .groupBy("session_id").agg(
+            rows().alias("_rows"), acted("approved"), acted("rejected"), acted("edited"))
     total = lambda c, none=0: F.sum(F.coalesce(c, F.lit(none)))
-    rates = within(t["email_sessions"], COMPLETED, as_of, days, closed=True, as_of_from=STARTED) \
-        .join(counts, F.col("id") == F.col("_session"), "left") \
+    rates = recent.join(counts, F.col("id") == F.col("session_id"), "left") \
         .groupBy("classification").agg(
             total("_rows", 1).alias("total_sessions"), total("approved").alias("approved"),
             total("rejected").alias("rejected"), total("edited").alias("edited"))
@@ -78,7 +83,7 @@ def workflow_summary(t, days: int = 7, as_of=None) -> DataFrame:
     now = as_of_column(as_of, t["email_sessions"], STARTED)
     done = within(t["email_sessions"], COMPLETED, as_of, days, closed=True, as_of_from=STARTED) \
         .select(F.col("id").alias("_session"), hours_between(now, F.col(COMPLETED)).alias("_hours"))
-    return t["email_workflows"].join(done, F.col("session_id") == F.col("_session")) \
+    return t["email_workflows"].join(send_if_small(done), F.col("session_id") == F.col("_session")) \
         .groupBy("workflow_state").agg(rows().alias("session_count"),
                                        F.avg("_hours").alias("avg_hours_in_state")) \
         .orderBy(F.desc("session_count"))
@@ -97,21 +102,21 @@ def feedback_history(t, ids=None) -> DataFrame:
     """Feedback of each session, newest first."""
     kept = [c for c in ("human_action", "human_rating", "slack_user_name", "feedback_notes",
                         "created_at") if c in t["quality_feedback"].columns]
-    return _pick(t["quality_feedback"], "session_id", ids).select("session_id", *kept) \
+    return _pick(t["quality_feedback"], "session_id", _wanted(ids)).select("session_id", *kept) \
         .orderBy("session_id", F.desc_nulls_first("created_at"))
 
 
 def latest_feedback(t, ids=None) -> DataFrame:
     """The newest action of each session; later id wins a tie."""
     newest = F.max_by(F.struct("human_action", "human_rating"), F.struct("created_at", "id"))
-    return _pick(t["quality_feedback"], "session_id", ids).groupBy("session_id") \
+    return _pick(t["quality_feedback"], "session_id", _wanted(ids)).groupBy("session_id") \
         .agg(newest.alias("_last"), F.max("created_at").alias("created_at")) \
         .select("session_id", "_last.human_action", "_last.human_rating", "created_at")
 
 
 def interaction_history(t, ids=None) -> DataFrame:
     """Clicks of each session, oldest first."""
-    return _pick(t["slack_interactions"], "session_id", ids) \
+    return _pick(t["slack_interactions"], "session_id", _wanted(ids)) \
         .select("session_id", "interaction_type", "action_value", "user_name", "created_at",
                 "payload") \
         .orderBy("session_id", F.asc_nulls_last("created_at"))

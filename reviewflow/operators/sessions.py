@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewflow.functions.period import as_of_column, hours_between, interval, micros_between, within
-from reviewflow.operators.joins import HOT_ROWS, left_join_many
+from reviewflow.operators.joins import HOT_ROWS, left_join_many, send_if_small
 
 STARTED, COMPLETED = "processing_started_at", "processing_completed_at"
 MAX_INT = 2**31 - 1
@@ -17,38 +17,50 @@ MAX_INT = 2**31 - 1
 def in_period(fact: DataFrame, sessions: DataFrame, as_of=None, days: int = 30) -> DataFrame:
     """Fact rows of sessions started in the trailing window, with the session's start date.
 
-    The session side is one row per id and cut to the window before the join, so the size of what
-    is broadcast is decided at run time; beyond the limit both sides shuffle on the id and a hot
-    fact key is split by the adaptive skew join.
+    Only id and start date of the sessions in the window are joined. They are sent to the fact
+    scan when they are few enough, so that the fact table is not shuffled.
     """
     recent = within(sessions, STARTED, as_of, days).select(
         F.col("id").alias("_session"), F.to_date(STARTED).alias("date"))
-    return fact.join(recent, F.col("session_id") == F.col("_session")).drop("_session")
+    return fact.join(send_if_small(recent), F.col("session_id") == F.col("_session")) \
+               .drop("_session")
 
 
-def _pick(df: DataFrame, key: str, ids) -> DataFrame:
-    """Rows whose key is in ``ids``: None for all, a list of ids, or a one-column DataFrame."""
-    if ids is None:
-        return df
+def _wanted(ids):
+    """Ids to look up: None for all, a list, or the distinct first column of a DataFrame."""
     if isinstance(ids, DataFrame):
-        wanted = ids.select(F.col(ids.columns[0]).alias("_wanted")).distinct()
+        return send_if_small(ids.select(F.col(ids.columns[0]).alias("_wanted")).distinct())
+    if ids is None or (isinstance(ids, Iterable) and not isinstance(ids, str)):
+        return ids
+    return [ids]
+
+
+def _pick(df: DataFrame, key: str, wanted) -> DataFrame:
+    """Rows whose key is in ``wanted``."""
+    if wanted is None:
+        return df
+    if isinstance(wanted, DataFrame):
         return df.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
-    if isinstance(ids, Iterable) and not isinstance(ids, str):
-        return df.filter(F.col(key).isin(list(ids)))
-    return df.filter(F.col(key) == ids)
+    return df.filter(F.col(key).isin(list(wanted)))
 
 
-def _attach(t, df: DataFrame, facts: list[tuple[str, list[str]]], ids, hot_rows: int) -> DataFrame:
+def _attach(t, df: DataFrame, facts: list[tuple[str, list[str]]], wanted, hot_rows: int) -> DataFrame:
+    """Left joins to the facts one after the other; the workflow holds one row per session."""
     for name, cols in facts:
-        fact = _pick(t[name].select("session_id", *cols), "session_id", ids)
-        df = left_join_many(df, fact, "id", "session_id", hot_rows)
+        fact = _pick(t[name].select("session_id", *cols), "session_id", wanted)
+        if name == "email_workflows":
+            state = fact.withColumnRenamed("session_id", "_session")
+            df = df.join(state, F.col("id") == F.col("_session"), "left").drop("_session")
+        else:
+            df = left_join_many(df, fact, "id", "session_id", hot_rows)
     return df
 
 
 def session_summary(t, ids=None, one_row_per_session: bool = False,
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sessions with workflow, feedback, extraction and draft; matching rows multiply."""
-    base = _pick(t["email_sessions"], "id", ids).select(
+    wanted = _wanted(ids)
+    base = _pick(t["email_sessions"], "id", wanted).select(
         "id", "sender_email", "sender_name", "subject", "classification", "status", STARTED,
         COMPLETED, "total_duration_ms")
     facts = [("email_workflows", ["workflow_state", "current_step"]),
@@ -58,10 +70,10 @@ def session_summary(t, ids=None, one_row_per_session: bool = False,
     if "auto_quality_score" in t["draft_generations"].columns:
         facts[-1][1].append("auto_quality_score")
     if not one_row_per_session:
-        return _attach(t, base, facts, ids, hot_rows)
+        return _attach(t, base, facts, wanted, hot_rows)
     for name, cols in facts:
         first = F.min(F.struct(*cols))
-        fact = _pick(t[name], "session_id", ids).groupBy("session_id").agg(first.alias("_first"))
+        fact = _pick(t[name], "session_id", wanted).groupBy("session_id").agg(first.alias("_first"))
         base = base.join(fact, F.col("id") == F.col("session_id"), "left") \
                    .select(*base.columns, *[F.col(f"_first.{c}").alias(c) for c in cols])
     return base
@@ -74,7 +86,8 @@ def session_detail(t, ids=None, hot_rows: int = HOT_ROWS) -> DataFrame:
              ("draft_generations", ["draft_length", "context_used", "draft_content",
                                     "final_draft_content"]),
              ("quality_feedback", ["human_action", "human_rating", "final_quality_score"])]
-    return _attach(t, _pick(t["email_sessions"], "id", ids), facts, ids, hot_rows)
+    wanted = _wanted(ids)
+    return _attach(t, _pick(t["email_sessions"], "id", wanted), facts, wanted, hot_rows)
 
 
 def recent_sessions(t, n: int = 50) -> DataFrame:
@@ -103,11 +116,12 @@ def recent_sessions(t, n: int = 50) -> DataFrame:
 
 def review_card(t, ids=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Session, draft and workflow for review; ``draft_text`` is the edited draft if any."""
-    base = _pick(t["email_sessions"], "id", ids).select(
+    wanted = _wanted(ids)
+    base = _pick(t["email_sessions"], "id", wanted).select(
         "id", "sender_email", "sender_name", "subject", "classification")
     facts = [("draft_generations", ["draft_content", "final_draft_content"]),
              ("email_workflows", ["workflow_state", "current_step"])]
-    card = _attach(t, base, facts, ids, hot_rows)
+    card = _attach(t, base, facts, wanted, hot_rows)
     edited = F.nullif("final_draft_content", F.lit(""))
     return card.withColumn("draft_text", F.coalesce(edited, "draft_content", F.lit("")))
 
