@@ -28,11 +28,18 @@ def within(df: DataFrame, time_col: str, as_of=None, n: int = 30, unit: str = "d
 
     ``as_of_from`` names the column whose maximum is "now" when it is not ``time_col``.
     """
-    start = as_of_column(as_of, df, as_of_from or time_col) - interval(n, unit)
+    start = before(as_of, df, as_of_from or time_col, n, unit)
     col = F.col(time_col)
     return df.filter(col >= start if closed else col > start)
 
 
+def before(as_of, df: DataFrame, time_col: str, n: int, unit: str) -> Column:
+    """The time ``n`` units before "now", ready to compare: the scan can use it to skip data."""
+    if as_of is None:
+        return df.select(F.max(time_col) - interval(n, unit)).scalar()
+    return as_of_column(as_of, df, time_col) - interval(n, unit)
+
+
 def micros_between(later: Column, earlier: Column) -> Column:
     stamp = lambda c: F.unix_micros(c.cast("timestamp"))
     return stamp(later) - stamp(earlier)

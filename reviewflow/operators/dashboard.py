@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewflow.functions.period import as_of_column, interval, rate, within
+from reviewflow.functions.period import before, rate, within
 from reviewflow.functions.scores import length_category
 from reviewflow.operators.sessions import in_period
 
@@ -126,12 +126,11 @@ def node_trend(t, days: int = 7, as_of=None) -> DataFrame:
 
 def system_health(t, as_of=None) -> DataFrame:
     sessions = t["email_sessions"]
-    now = as_of_column(as_of, sessions, STARTED)
-    last_hour = F.col(STARTED) > now - interval(1, "hours")
+    last_hour = F.col(STARTED) > before(as_of, sessions, STARTED, 1, "hours")
     counts = sessions.agg(
         F.count_if(last_hour & (F.col("status") == "failed")).alias("_errors"),
         F.count_if(last_hour).alias("_recent"), rows().alias("total_sessions"),
-        F.count_if(F.col(STARTED) > now - interval(24, "hours")).alias("sessions_24h"))
+        F.count_if(F.col(STARTED) > before(as_of, sessions, STARTED, 24, "hours")).alias("sessions_24h"))
     return counts.select(rate(F.col("_errors"), F.col("_recent")).alias("error_rate"),
                          "total_sessions", "sessions_24h")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewflow.functions.period import rate, within
 from reviewflow.functions.ranking import number_in_group
 from reviewflow.operators.dashboard import rows
+from reviewflow.operators.joins import left_join_many
 
 # How a seeded version is described.
 SEED_NOTE, SEED_AUTHOR = "Initial version", "system"
@@ -34,9 +36,8 @@ def all_prompts(t) -> DataFrame:
     active = t["prompt_versions"].filter("is_active").select(
         F.col("prompt_name").alias("_name"), F.col("id").alias("active_version_id"),
         F.col("version").alias("active_version"), "performance_score", "usage_count")
-    kept = _with(templates, "prompt_name", "description", "category")
-    return templates.select(*kept) \
-        .join(active, F.col("prompt_name") == F.col("_name"), "left").drop("_name") \
+    kept = templates.select(*_with(templates, "prompt_name", "description", "category"))
+    return left_join_many(kept, active, "prompt_name", "_name") \
         .withColumn("performance_score",
                     F.coalesce(F.col("performance_score").cast("double"), F.lit(0.0))) \
         .withColumn("usage_count", F.coalesce("usage_count", F.lit(0))).orderBy("prompt_name")
@@ -128,8 +129,6 @@ def usage_counts(versions: DataFrame, usage: DataFrame) -> DataFrame:
 
 def prompt_performance(t, days: int = 30, as_of=None) -> DataFrame:
     """Uses, success share, mean time and mean score per version over a period."""
-    from reviewflow.functions.period import rate, within
-
     used = within(t["prompt_usage"], "created_at", as_of, days).groupBy("prompt_version_id").agg(
         rows().alias("uses"), F.count_if("success").alias("_ok"),
         F.avg("execution_time_ms").alias("avg_ms"),
@@ -142,14 +141,14 @@ def prompt_performance(t, days: int = 30, as_of=None) -> DataFrame:
 
 def assign_variants(sessions: DataFrame, split: float, key: str = "id") -> DataFrame:
     """Variant a or b by a stable hash of the session and the traffic split."""
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(10000))
-    return sessions.withColumn("variant", F.when(place < int(split * 10000), "a").otherwise("b"))
+    digest = F.substring(F.md5(F.col(key).cast("string")), 1, 8)
+    place = F.conv(digest, 16, 10).cast("long") % 10000
+    return sessions.withColumn(
+        "variant", F.when(place < round(split * 10000), "a").otherwise("b"))
 
 
 def compare_variants(usage: DataFrame, variants: DataFrame) -> DataFrame:
     """Use of each variant; ``variants``: session_id, variant."""
-    from reviewflow.functions.period import rate
-
     chosen = variants.select(F.col("session_id").alias("_session"), "variant")
     return usage.join(chosen, F.col("session_id") == F.col("_session")).groupBy("variant").agg(
         rows().alias("uses"), F.count_if("success").alias("_ok"),

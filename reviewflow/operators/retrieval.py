@@ -12,6 +12,8 @@ from reviewflow.operators.joins import block_count, blocked_pairs
 # Query vectors that may be sent to every executor: rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 16_384, 64 * 1024 * 1024
 VECTOR_BLOCK = 4096
+# Similarities a task holds at once: 32 MB.
+HELD_SIMILARITIES = 4_000_000
 # Similarities that agree to this many digits are a tie, which the lower id wins.
 TIE_DIGITS = 9
 
@@ -25,9 +27,19 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _best(query_ids, query_units, thread_ids, thread_units, k: int, skip_self: bool):
-    """The k best threads of each query as columns: query id, thread id, similarity."""
+    """The k best threads of each query as columns: query id, thread id, similarity.
+
+    Works through the queries a few at a time, so the similarities held at once stay small.
+    """
     order = np.argsort(thread_ids, kind="stable")
     ids, units = thread_ids[order], thread_units[order]
+    step = max(1, HELD_SIMILARITIES // max(1, len(ids)))
+    parts = [_best_of_few(query_ids[i:i + step], query_units[i:i + step], ids, units, k, skip_self)
+             for i in range(0, len(query_ids), step)]
+    return tuple(np.concatenate(columns) for columns in zip(*parts))
+
+
+def _best_of_few(query_ids, query_units, ids, units, k: int, skip_self: bool):
     sims = np.round(query_units @ units.T, TIE_DIGITS)
     if skip_self:
         sims[query_ids[:, None] == ids[None, :]] = np.nan
@@ -40,8 +52,7 @@ def _best(query_ids, query_units, thread_ids, thread_units, k: int, skip_self: b
     value = sims[at, col]
     by = np.lexsort((col, -value, at))
     at, col, value = at[by], col[by], value[by]
-    starts = np.searchsorted(at, at, side="left")
-    keep = np.arange(len(at)) - starts < k
+    keep = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
     return query_ids[at[keep]], ids[col[keep]], value[keep]
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.functions.period import as_of_column, hours_between, interval, micros_between, within
+from reviewflow.functions.period import (as_of_column, before, hours_between, micros_between,
+                                         within)
 from reviewflow.operators.joins import HOT_ROWS, left_join_many, send_if_small
 
 STARTED, COMPLETED = "processing_started_at", "processing_completed_at"
@@ -144,7 +145,8 @@ def overdue_sessions(t, hours: int = 24, as_of=None) -> DataFrame:
     """Sessions waiting for review that completed more than ``hours`` ago, oldest first."""
     now = as_of_column(as_of, t["email_sessions"], STARTED)
     waited = hours_between(now, F.col(COMPLETED))
-    return _pending(t).filter(F.col(COMPLETED) < now - interval(hours, "hours")) \
+    return _pending(t) \
+        .filter(F.col(COMPLETED) < before(as_of, t["email_sessions"], STARTED, hours, "hours")) \
         .select("id", "sender_email", "subject", COMPLETED, waited.alias("hours_pending")) \
         .orderBy(F.asc_nulls_last(COMPLETED))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.functions.period import as_of_column, interval
+from reviewflow.functions.period import before
 from reviewflow.functions.text import before_underscore
 from reviewflow.schemas import SESSION_CHILDREN
 
@@ -91,14 +91,13 @@ def touch(df: DataFrame, changed: Column, as_of, column: str = "updated_at") ->
 
 def drop_old(df: DataFrame, as_of=None, days: int = 90, time_col: str = "created_at") -> DataFrame:
     """Retention: rows of the last ``days`` days. A row exactly that old stays."""
-    now = as_of_column(as_of, df, time_col)
     stamp = F.col(time_col)
-    return df.filter(stamp.isNull() | (stamp >= now - interval(days, "days")))
+    return df.filter(stamp.isNull() | (stamp >= before(as_of, df, time_col, days, "days")))
 
 
 def archive(sessions: DataFrame, as_of=None, months: int = 6) -> DataFrame:
-    now = as_of_column(as_of, sessions, "processing_started_at")
-    old = (F.col("processing_completed_at") < now - interval(months, "months")) \
+    edge = before(as_of, sessions, "processing_started_at", months, "months")
+    old = (F.col("processing_completed_at") < edge) \
         & F.col("status").isin(*ARCHIVABLE)
     return sessions.withColumn("status", F.when(old, "archived").otherwise(F.col("status")))
 

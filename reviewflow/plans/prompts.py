@@ -112,18 +112,17 @@ query("i3_prompt_performance", """
     lambda t: rounded(p.prompt_performance(t, 365), "avg_score"))
 
 
-def by_id(t):
-    """Variants by the id itself, which both engines share; the hashed form is tested apart."""
-    return t["email_sessions"].select(F.col("id").alias("session_id"), F.when(
-        F.pmod("id", F.lit(100)) < 30, "a").otherwise("b").alias("variant"))
-
-
-query("i2_compare_variants", """
+_VARIANT = """CASE WHEN CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) % 10000
+    < 3000 THEN 'a' ELSE 'b' END"""
+query("i2_assign_variants", f"SELECT id, {_VARIANT.format('id')} AS variant FROM email_sessions")(
+    lambda t: p.assign_variants(t["email_sessions"].select("id"), 0.3))
+query("i2_compare_variants", f"""
     SELECT variant, uses, round_even(ok / greatest(uses, 1) * 100, 1) AS success_rate, avg_ms,
         round(avg_score, 6) AS avg_score
-    FROM (SELECT CASE WHEN session_id % 100 < 30 THEN 'a' ELSE 'b' END AS variant,
+    FROM (SELECT {_VARIANT.format('session_id')} AS variant,
             count(*) AS uses, count(*) FILTER (success) AS ok, avg(execution_time_ms) AS avg_ms,
             avg(CAST(output_quality_score AS DOUBLE)) AS avg_score
           FROM prompt_usage GROUP BY 1)""")(
-    lambda t: rounded(p.compare_variants(t["prompt_usage"], by_id(t)), "avg_score"))
-query("i2_assign_variants")(lambda t: p.assign_variants(t["email_sessions"].select("id"), 0.3))
+    lambda t: rounded(p.compare_variants(t["prompt_usage"], p.assign_variants(
+        t["email_sessions"].select(F.col("id").alias("session_id")), 0.3, "session_id")),
+        "avg_score"))
