@@ -38,6 +38,11 @@ def render(template: Column, slots: dict[str, Column]) -> Column:
     return template
 
 
+def samples(threads: Column) -> Column:
+    """Sample threads as one text, a blank line between them."""
+    return F.array_join(threads, "\n\n")
+
+
 def angle(angles: Column, n: int) -> Column:
     """The n-th angle (from 0) or the filler text."""
     return F.coalesce(F.get(angles, F.lit(n)), F.lit(NO_ANGLE))
@@ -95,8 +100,9 @@ def tagged_body(text: Column, tag: str = "response") -> Column:
 
 
 def label_from_notice(message: Column) -> Column:
-    found = F.regexp_extract(message, r"Classification:([^\n]*)", 1)
-    return F.when(message.contains("Classification:"), F.trim(found)).otherwise(F.lit("N/A"))
+    """Text between the first ``Classification:`` and the end of its line, else ``N/A``."""
+    found = F.regexp_extract(message, r"Classification:((?:(?!Classification:)[^\n])*)", 1)
+    return F.when(message.contains("Classification:"), label_clean(found)).otherwise(F.lit("N/A"))
 
 
 def preview(text: Column, n: int, suffix: str = "...") -> Column:
@@ -106,9 +112,12 @@ def preview(text: Column, n: int, suffix: str = "...") -> Column:
 
 def pretty_name(name: Column) -> Column:
     """Underscores become spaces, each word starts with a capital, the rest stays."""
-    words = F.split(F.replace(name, F.lit("_"), F.lit(" ")), " ")
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
-    return F.array_join(F.transform(words, capital), " ")
+    spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    words = F.split(spaced, r"(?<![A-Za-z0-9])(?=[A-Za-z0-9])")
+    capital = lambda w: F.when(
+        w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))
+    ).otherwise(w)
+    return F.array_join(F.transform(words, capital), "")
 
 
 def session_from_action(action_id: Column, value: Column) -> Column:

@@ -130,6 +130,22 @@ def admit(mails: DataFrame, sessions: DataFrame, carry: list[str] | None = None)
     return decide(first_copies(mails, carry), sessions)
 
 
+def sessions_after(sessions: DataFrame, admitted: DataFrame, as_of: Column,
+                   new_id: str = "email_hash") -> DataFrame:
+    """Session table after an admission: retried ones start again, new ones are added."""
+    again = admitted.filter(F.col("decision") == "retry").select(
+        F.col("session_id").alias("_retried"))
+    retried = F.col("_retried").isNotNull()
+    changed = {"status": F.lit("processing"), "processing_started_at": as_of}
+    old = sessions.join(again, F.col("id") == F.col("_retried"), "left").select(*[
+        F.when(retried, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
+        for c in sessions.columns])
+    new = admitted.filter(F.col("decision") == "new") \
+        .withColumn("id", F.col(new_id)).withColumn("processing_started_at", as_of)
+    return old.unionByName(new.select(*[c for c in sessions.columns if c in new.columns]),
+                           allowMissingColumns=True)
+
+
 def route(df: DataFrame) -> DataFrame:
     """Branch of each mail from the continuation answer and the label."""
     stop = F.lower(F.regexp_replace("decision", r"^\s+|\s+$", "")) == "no"

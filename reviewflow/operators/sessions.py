@@ -115,6 +115,10 @@ def recent_sessions(t, n: int = 50) -> DataFrame:
                         *[F.asc_nulls_last(c) for c in extra]).limit(n)
 
 
+# Fixed value: shown when a session has no draft.
+NO_DRAFT = "No draft content available"
+
+
 def review_card(t, ids=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Session, draft and workflow for review; ``draft_text`` is the edited draft if any."""
     wanted = _wanted(ids)
@@ -123,8 +127,8 @@ def review_card(t, ids=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     facts = [("draft_generations", ["draft_content", "final_draft_content"]),
              ("email_workflows", ["workflow_state", "current_step"])]
     card = _attach(t, base, facts, wanted, hot_rows)
-    edited = F.nullif("final_draft_content", F.lit(""))
-    return card.withColumn("draft_text", F.coalesce(edited, "draft_content", F.lit("")))
+    shown = [F.nullif(c, F.lit("")) for c in ("final_draft_content", "draft_content")]
+    return card.withColumn("draft_text", F.coalesce(*shown, F.lit(NO_DRAFT)))
 
 
 def _pending(t) -> DataFrame:

@@ -131,6 +131,15 @@ DUCK_ADMIT = """
     FROM batch LEFT JOIN known ON batch.email_hash = known.email_hash WHERE n = 1"""
 query("l1_admit", DUCK_ADMIT)(lambda t: g.admit(t["mails"], known_sessions(t)))
 
+_NOW = "TIMESTAMP '2024-06-01 00:00:00'"
+query("l1_sessions_after", f"""
+    SELECT coalesce(session_id, message_id) AS id, email_hash, status,
+        CASE WHEN decision = 'skip' THEN NULL ELSE {_NOW} END AS processing_started_at
+    FROM ({DUCK_ADMIT})""")(lambda t: g.sessions_after(
+        known_sessions(t).withColumn("processing_started_at", F.lit(None).cast("timestamp_ntz")),
+        g.admit(t["mails"], known_sessions(t)), F.expr(_NOW.replace("TIMESTAMP ", "TIMESTAMP_NTZ")),
+        "message_id"))
+
 query("f8_route", """
     SELECT id, CASE WHEN status = 'failed' THEN 'end'
         WHEN classification = 'Pay-to-Play' THEN 'handle_rejection'

@@ -63,10 +63,11 @@ query("x7_with_signature", r"""
 _CONTEXT = "chr(10) || chr(10) || 'Additional Client Context from Documents:' || chr(10)"
 query("x8_render", f"""
     SELECT doc_id, 'Reply to ' || text || ' on ' || source || ', ' || 'No specific angle available'
-        || CASE WHEN lang <> 'en' THEN {_CONTEXT} || substr(text, 1, 2000) || '...' ELSE '' END
+        || ' like ' || lang || chr(10) || chr(10) || source || CASE WHEN lang <> 'en' THEN {_CONTEXT} || substr(text, 1, 2000) || '...' ELSE '' END
         AS prompt FROM documents""")(
     lambda t: t["documents"].select("doc_id", x.with_context(
-        x.render(F.lit("Reply to {{email}} on {{angle1}}, {{angle2}}"), {
+        x.render(F.lit("Reply to {{email}} on {{angle1}}, {{angle2}} like {samples}"), {
+            "{samples}": x.samples(F.array("lang", "source")),
             "{{email}}": F.col("text"), "{{angle1}}": x.angle(F.array("source"), 0),
             "{{angle2}}": x.angle(F.array("source"), 1)}),
         F.when(F.col("lang") != "en", F.col("text")), 2000).alias("prompt")))

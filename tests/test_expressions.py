@@ -126,9 +126,10 @@ def test_tagged_body(spark):
 
 
 def test_label_from_notice(spark):
-    got = values(spark, [("x\nClassification: Accepted \nmore",), ("none",)], "s STRING",
+    got = values(spark, [("x\nClassification: Accepted \t\nmore",), ("none",),
+                         ("Classification:\nnext",), ("Classification: a Classification: b",)], "s STRING",
                  x.label_from_notice(F.col("s")))
-    assert got == ["Accepted", "N/A"]
+    assert got == ["Accepted", "N/A", "", "a"]
 
 
 def test_session_from_action(spark):
@@ -139,8 +140,9 @@ def test_session_from_action(spark):
 
 
 def test_pretty_name_keeps_capitals(spark):
-    assert values(spark, [("draft_emailID_v2",)], "n STRING", x.pretty_name(F.col("n"))) == \
-        ["Draft EmailID V2"]
+    names = [("draft_emailID_v2",), ("pre-call_q's",), ("",), ("_x  y",), (None,)]
+    assert values(spark, names, "n STRING", x.pretty_name(F.col("n"))) == \
+        ["Draft EmailID V2", "Pre-Call Q'S", "", " X  Y", None]
 
 
 def test_render(spark):
