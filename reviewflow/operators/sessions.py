@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewflow.functions.period import (as_of_column, before, hours_between, micros_between,
                                          within)
-from reviewflow.operators.joins import HOT_ROWS, left_join_many, send_if_small
+from reviewflow.operators.joins import HOT_ROWS, SENT_IDS, left_join_many, send_if_small
 
 STARTED, COMPLETED = "processing_started_at", "processing_completed_at"
 MAX_INT = 2**31 - 1
@@ -100,7 +100,8 @@ def recent_sessions(t, n: int = 50) -> DataFrame:
     base = ["id", "sender_email", "sender_name", "subject", "classification", STARTED,
             "total_duration_ms", "status"]
     newest = t["email_sessions"].select(*base).orderBy(F.desc_nulls_first(STARTED), "id").limit(n)
-    wanted = F.broadcast(newest.select(F.col("id").alias("session_id")))
+    wanted = newest.select(F.col("id").alias("session_id"))
+    wanted = F.broadcast(wanted) if n <= SENT_IDS else wanted
     rows = newest
     facts = [("classification_results", ["confidence_score"]),
              ("document_extractions", ["client_matched", "client_name"]),

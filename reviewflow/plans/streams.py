@@ -116,17 +116,22 @@ def event_sessions(t):
         F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
 
 
-query("t5_health_stream", """
-    WITH slots AS (SELECT unnest(generate_series(
-            (SELECT time_bucket(INTERVAL 5 MINUTE, min(ts)) FROM events) - INTERVAL 55 MINUTE,
-            (SELECT max(ts) - INTERVAL 5 MINUTE FROM events), INTERVAL 5 MINUTE)) AS window_start)
-    SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS total,
-        count(*) FILTER (event_type = 'error') AS errors,
-        round_even(count(*) FILTER (event_type = 'error') / count(*) * 100, 1) AS error_rate
-    FROM slots JOIN events ON ts >= window_start AND ts < window_start + INTERVAL 1 HOUR
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)
-    GROUP BY window_start""")(
-    lambda t: written(t, live.health_stream(event_sessions(streams(t)))))
+for _name, _hours in (("t5_health_stream", 1), ("t5_health_stream_day", 24)):
+    query(_name, f"""
+        WITH slots AS (SELECT unnest(generate_series(
+                (SELECT time_bucket(INTERVAL 5 MINUTE, min(ts)) FROM events)
+                    - INTERVAL {_hours} HOUR + INTERVAL 5 MINUTE,
+                (SELECT max(ts) FROM events), INTERVAL 5 MINUTE)) AS window_start)
+        SELECT window_start, window_start + INTERVAL {_hours} HOUR AS window_end,
+            count(*) AS total, count(*) FILTER (event_type = 'error') AS errors,
+            round_even(count(*) FILTER (event_type = 'error') / count(*) * 100, 1) AS error_rate
+        FROM slots JOIN events ON ts >= window_start
+            AND ts < window_start + INTERVAL {_hours} HOUR
+        WHERE window_start + INTERVAL {_hours} HOUR
+            <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)
+        GROUP BY window_start""")(
+        lambda t, length=f"{_hours} hours": written(
+            t, live.health_stream(event_sessions(streams(t)), length=length)))
 
 _MARKS = """
     SELECT l_orderkey AS session_id, 'node_' || l_linenumber AS node_name, l_partkey AS run,

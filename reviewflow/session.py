@@ -15,10 +15,29 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
+# For streams whose state outgrows memory: state beside the heap, saved as changes. Small state is
+# faster with Spark's own default.
+LARGE_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+# Bytes of a shuffle partition to aim for.
+PARTITION_BYTES = 128 * 1024 * 1024
+
 
+def configure(spark: SparkSession, large_state: bool = False,
+              shuffled_bytes: int | None = None) -> SparkSession:
+    """Set what the operators rely on.
 
-def configure(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
+    ``shuffled_bytes``, the size of the largest shuffle expected, sets the number of shuffle
+    partitions; adaptive execution joins small ones again.
+    """
+    settings = {**SETTINGS, **(LARGE_STATE if large_state else {})}
+    if shuffled_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(max(
+            spark.sparkContext.defaultParallelism, -(-shuffled_bytes // PARTITION_BYTES)))
+    for key, value in settings.items():
         spark.conf.set(key, value)
     return spark
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reviewflow.functions.text import email_hash
 from reviewflow.operators.ingest import decide, first_copies, intake
+from reviewflow.operators.joins import send_if_small
 from reviewflow.streaming.runs import POLL, to_batches
 
 MEMORY = "1 hour"
@@ -61,7 +62,8 @@ def run_ingest(mails: DataFrame, path: str, process: Callable[[DataFrame], DataF
         batch = first_copies(mail, ["sender_name", "sender_email", "subject", "body"]).persist()
         seen = session_log(raw.sparkSession, path).filter(F.col("batch_id") < batch_id)
         known = _newest(seen.select("id", "email_hash", "status", "batch_id", "step")
-                        .join(batch.select("email_hash"), "email_hash", "left_semi"))
+                        .join(send_if_small(batch.select("email_hash")), "email_hash",
+                              "left_semi"))
         target = f"{path}/log/batch_id={batch_id}"
         opened = decide(batch, known).filter(F.col("decision") != "skip") \
             .withColumn("id", F.coalesce("session_id", "email_hash")) \

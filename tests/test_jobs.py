@@ -300,6 +300,47 @@ def test_log_round_trip(spark):
         logs.append_log(rows_in.withColumn("extra", F.lit(1)), path, "quality_feedback")
 
 
+def test_bucketed_logs_join_without_shuffle(spark, t):
+    stamp = scratch_dir(spark, "b")[-12:]
+    left = logs.write_bucketed(t["email_workflows"], f"workflows_{stamp}", 4)
+    right = logs.write_bucketed(t["quality_feedback"], f"feedback_{stamp}", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = left.join(right, "session_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        plain = t["email_workflows"].join(t["quality_feedback"], "session_id")
+        assert joined.count() == plain.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for table in ("workflows", "feedback"):
+            spark.sql(f"DROP TABLE {table}_{stamp}")
+
+
+def test_period_facts_are_not_shuffled(spark, t):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = s.in_period(t["node_executions"], t["email_sessions"]) \
+            ._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_window_start_reaches_the_scan(t, capsys):
+    d.label_counts(t).explain("formatted")
+    assert "GreaterThan(o_orderdate,ScalarSubquery" in capsys.readouterr().out
+
+
+def test_shuffle_size(spark):
+    from reviewflow.session import configure
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    configure(spark, shuffled_bytes=10**14)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == -(-10**14 // (128 * 1024**2))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def in_files(df, path, by, parts=3):
     """Write ``df`` in ``parts`` files that arrive in the order of ``by``."""
     data = df.orderBy(by).collect()
