@@ -175,10 +175,10 @@ query("i1_confusion", """
     lambda t: r.confusion(t["classification_results"]))
 query("i4_metric_rollup", """
     SELECT metric_name, date_trunc('hour', timestamp) AS hour, count(*) AS samples,
-        round(avg(metric_value), 6) AS avg_value, min(metric_value) AS min_value,
+        round(avg(metric_value), 9) AS avg_value, min(metric_value) AS min_value,
         max(metric_value) AS max_value
     FROM system_metrics GROUP BY ALL""")(
-    lambda t: rounded(r.metric_rollup(t["system_metrics"]), "avg_value"))
+    lambda t: rounded(r.metric_rollup(t["system_metrics"]), "avg_value", digits=9))
 query("i5_time_to_review", """
     SELECT session_id, drafted_at, reviewed_at,
         round(epoch(reviewed_at - drafted_at) / 3600, 6) AS hours_to_review

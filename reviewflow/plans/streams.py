@@ -116,12 +116,12 @@ def event_sessions(t):
         F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
 
 
-for _name, _hours in (("t5_health_stream", 1), ("t5_health_stream_day", 24)):
+for _name, _hours, _step in (("t5_health_stream", 1, 5), ("t5_health_stream_day", 24, 60)):
     query(_name, f"""
         WITH slots AS (SELECT unnest(generate_series(
-                (SELECT time_bucket(INTERVAL 5 MINUTE, min(ts)) FROM events)
-                    - INTERVAL {_hours} HOUR + INTERVAL 5 MINUTE,
-                (SELECT max(ts) FROM events), INTERVAL 5 MINUTE)) AS window_start)
+                (SELECT time_bucket(INTERVAL {_step} MINUTE, min(ts)) FROM events)
+                    - INTERVAL {_hours} HOUR + INTERVAL {_step} MINUTE,
+                (SELECT max(ts) FROM events), INTERVAL {_step} MINUTE)) AS window_start)
         SELECT window_start, window_start + INTERVAL {_hours} HOUR AS window_end,
             count(*) AS total, count(*) FILTER (event_type = 'error') AS errors,
             round_even(count(*) FILTER (event_type = 'error') / count(*) * 100, 1) AS error_rate
@@ -130,8 +130,8 @@ for _name, _hours in (("t5_health_stream", 1), ("t5_health_stream_day", 24)):
         WHERE window_start + INTERVAL {_hours} HOUR
             <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)
         GROUP BY window_start""")(
-        lambda t, length=f"{_hours} hours": written(
-            t, live.health_stream(event_sessions(streams(t)), length=length)))
+        lambda t, length=f"{_hours} hours", step=f"{_step} minutes": written(
+            t, live.health_stream(event_sessions(streams(t)), length=length, step=step)))
 
 _MARKS = """
     SELECT l_orderkey AS session_id, 'node_' || l_linenumber AS node_name, l_partkey AS run,

@@ -40,7 +40,8 @@ def health_stream(sessions: DataFrame, time_col: str = "processing_started_at",
     """Rows, failures and error rate of every ``length`` window, moved on by ``step``.
 
     Rows are first counted per step, so a row is held once and only the small step counts are
-    repeated over the windows they belong to.
+    repeated over the windows they belong to. Spark writes out one projection per window a step
+    belongs to, so ``length`` should be some tens of steps: a day goes by the hour.
     """
     steps = sessions.withWatermark(time_col, delay) \
         .groupBy(F.window(time_col, step).alias("_step")) \
