@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RECORD_ENVELOPE = "data STRING"
-RECORD = "id STRUCT<record_id: STRING>, values MAP<STRING, STRING>"
+RECORDS = "ARRAY<STRUCT<id: STRUCT<record_id: STRING>, values: MAP<STRING, STRING>>>"
 ENTRY = "ARRAY<MAP<STRING, STRING>>"
 
 
@@ -17,13 +16,12 @@ def page(df: DataFrame, keys: list[str], number: int, size: int) -> DataFrame:
 def open_envelope(df: DataFrame, col: str) -> DataFrame:
     """Records of a reply that holds them in ``data`` or in ``data.records``: id and values."""
     data = F.get_json_object(col, "$.data")
-    records = F.when(data.startswith("["), data).otherwise(F.get_json_object(col, "$.data.records"))
-    return df.select(
-        *[c for c in df.columns if c != col],
-        F.explode(F.from_json(records, f"ARRAY<STRUCT<{RECORD.replace(' STRUCT', ': STRUCT', 1).replace('values ', 'values: ')}>>"))
-        .alias("_r")).select(
-            *[c for c in df.columns if c != col], F.coalesce("_r.id.record_id", F.lit("")).alias("id"),
-            F.col("_r.values").alias("values"))
+    records = F.when(data.startswith("["), data) \
+               .otherwise(F.get_json_object(col, "$.data.records"))
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.explode(F.from_json(records, RECORDS)).alias("_r")).select(
+        *others, F.coalesce("_r.id.record_id", F.lit("")).alias("id"),
+        F.col("_r.values").alias("values"))
 
 
 def flatten_record(df: DataFrame, col: str = "values", out: str = "attributes") -> DataFrame:

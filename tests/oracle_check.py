@@ -21,7 +21,8 @@ def spark_session():
     from pyspark.sql import SparkSession
 
     spark = (SparkSession.builder.master("local[8]").appName("reviewflow-check")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
