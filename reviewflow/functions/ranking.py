@@ -9,24 +9,27 @@ from pyspark.sql import functions as F
 ID_RUN = 1_000_000
 
 
-def number_in_group(df: DataFrame, group: list[str], by: str, out: str,
-                    run: int = ID_RUN) -> DataFrame:
+def number_in_group(df: DataFrame, group: list[str], by: str, out: str, run: int = ID_RUN,
+                    after: DataFrame | None = None) -> DataFrame:
     """``row_number`` over ``group`` in the order of the unique whole number ``by``.
 
     One group may hold most rows, so the ids are cut into runs of fixed width. A run holds at
     most ``run`` rows and is numbered by itself; the small table of run sizes gives each run its
-    starting number.
+    starting number. ``after`` (the group columns and ``last``) lets a group go on after a number.
+    The rows are shuffled once, by group and run.
     """
-    cut = df.withColumn("_run", F.floor(F.col(by) / F.lit(run)))
-    sizes = cut.groupBy(*group, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_run") \
+    cut = df.withColumn("_group", F.struct(*group)) \
+            .withColumn("_run", F.floor(F.col(by) / F.lit(run)))
+    sizes = cut.groupBy("_group", "_run").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_group").orderBy("_run") \
                     .rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*group, "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-                          .alias("_start"))
-    same = F.lit(True)
-    for name in [*group, "_run"]:
-        same = same & cut[name].eqNullSafe(starts[name])
-    inside = Window.partitionBy(*[cut[g] for g in group], cut["_run"]).orderBy(cut[by])
-    return cut.join(starts, same).select(
-        *[cut[c] for c in df.columns],
-        (F.col("_start") + F.row_number().over(inside)).cast("int").alias(out))
+    starts = sizes.select(F.col("_group").alias("_g"), F.col("_run").alias("_r"),
+                          F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    if after is not None:
+        last = after.select(F.struct(*group).alias("_known"), "last")
+        starts = starts.join(last, F.col("_g") == F.col("_known"), "left") \
+            .select("_g", "_r", (F.col("_start") + F.coalesce("last", F.lit(0))).alias("_start"))
+    inside = Window.partitionBy("_group", "_run").orderBy(by)
+    return cut.withColumn("_n", F.row_number().over(inside)) \
+        .join(starts, (F.col("_group") == F.col("_g")) & (F.col("_run") == F.col("_r"))) \
+        .select(*df.columns, (F.col("_start") + F.col("_n")).cast("int").alias(out))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewflow.functions.period import rate, within
-from reviewflow.functions.ranking import number_in_group
+from reviewflow.functions.ranking import ID_RUN, number_in_group
 from reviewflow.operators.dashboard import rows
 from reviewflow.operators.joins import left_join_many
 
@@ -52,13 +52,10 @@ def latest_active(versions: DataFrame) -> DataFrame:
 
 
 def assign_versions(current: DataFrame, new: DataFrame, order: str = "id",
-                    run: int = 1_000_000) -> DataFrame:
+                    run: int = ID_RUN) -> DataFrame:
     """New rows with the next version numbers of their prompt, in the order of ``order``."""
-    top = current.groupBy(F.col("prompt_name").alias("_name")) \
-                 .agg(F.max("version").alias("_top"))
-    numbered = number_in_group(new, ["prompt_name"], order, "_n", run)
-    return numbered.join(top, F.col("prompt_name") == F.col("_name"), "left").select(
-        *new.columns, (F.coalesce("_top", F.lit(0)) + F.col("_n")).alias("version"))
+    top = current.groupBy("prompt_name").agg(F.max("version").alias("last"))
+    return number_in_group(new, ["prompt_name"], order, "version", run, after=top)
 
 
 def version_history(versions: DataFrame, names: list[str] | None = None) -> DataFrame:
