@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take on the many side of a left join.
 HOT_ROWS = 1_000_000
-# Ids that may be sent to every executor: 16 bytes each, 64 MB in all.
-SENT_IDS = 4_000_000
+# Ids that may be sent to every executor: about 100 MB for text ids of 36 characters.
+SENT_IDS = 1_000_000
 # Rows per side of one block in a blocked all-against-all comparison.
 BLOCK_ROWS = 4096
 

@@ -44,10 +44,12 @@ def value_rules(df: DataFrame, table: str) -> dict[str, Column]:
     return rules
 
 
-def _check(t, make) -> DataFrame:
+def _check(t, make, tables) -> DataFrame:
     """Violations of every rule: one pass per table, all its rules in one aggregate."""
     parts = []
-    for table in t:
+    for table in tables:
+        if table not in t:
+            continue
         df = t[table]
         rules = make(df, table)
         if not rules:
@@ -62,11 +64,12 @@ def _check(t, make) -> DataFrame:
 
 
 def check_ranges(t) -> DataFrame:
-    return _check(t, range_rules)
+    return _check(t, range_rules, RANGES)
 
 
 def check_values(t) -> DataFrame:
-    return _check(t, value_rules)
+    ruled = {*REQUIRED_COLUMNS, *MAX_LENGTHS, *(table for table, _ in ALLOWED_VALUES)}
+    return _check(t, value_rules, sorted(ruled))
 
 
 def bad_rows(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -195,6 +195,9 @@ class Tables(Mapping):
             self._built[name] = self._build(name)
         return self._built[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in BASE or name in LOG_TABLES
+
     def __iter__(self) -> Iterator[str]:
         return iter((*BASE, *LOG_TABLES))
 
