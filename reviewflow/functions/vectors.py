@@ -11,10 +11,15 @@ from pyspark.sql.types import ArrayType, FloatType
 
 @F.pandas_udf(ArrayType(FloatType()))
 def _floats(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4").tolist())
+    whole = lambda b: b is not None and len(b) % 4 == 0
+    return blobs.map(lambda b: np.frombuffer(b, dtype="<f4").tolist() if whole(b) else None)
 
 
 def decode_vector(df: DataFrame, col: str, out: str = "vector") -> DataFrame:
-    """Vector from base64 of float32 values, plain or wrapped as ``{"$binary": ...}``."""
+    """Vector from base64 of float32 values, plain or wrapped as ``{"$binary": ...}``.
+
+    What is not base64 of whole floats gives NULL.
+    """
     wrapped = F.when(F.col(col).startswith("{"), F.get_json_object(col, "$['$binary']"))
-    return df.withColumn(out, _floats(F.unbase64(F.coalesce(wrapped, F.col(col)))))
+    text = F.coalesce(wrapped, F.col(col))
+    return df.withColumn(out, _floats(F.try_to_binary(text, F.lit("base64"))))

@@ -73,6 +73,7 @@ def top_k_threads(queries: DataFrame, threads: DataFrame, k: int = 2, query_id:
     query, and the best k of those remain.
     """
     schema = _schema(queries, threads, query_id, thread_id)
+    queries, threads = (df.filter(F.col(vector).isNotNull()) for df in (queries, threads))
     head = queries.select(query_id, vector).limit(broadcast_rows + 1).toPandas() \
         if broadcast_rows else None
     small = head is not None and len(head) <= broadcast_rows and \
@@ -147,7 +148,7 @@ def valid_threads(df: DataFrame, required=THREAD_FIELDS) -> tuple[DataFrame, Dat
 def name_tokens(text: Column) -> Column:
     """Distinct lower-case words of letters and digits."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_remove(F.array_distinct(words), "")
 
 
 class _FolderIndex:

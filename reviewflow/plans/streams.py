@@ -69,7 +69,7 @@ def classified(mails):
 
 def ingested(t):
     path = scratch_dir(t.spark, "ingest")
-    feed = mail_stream(t.spark, mail_files(t), 1)
+    feed = mail_stream(t.spark, mail_files(t, 2), 1)
     finish(si.run_ingest(feed, path, classified, KEYWORDS, IGNORE, trigger=None))
     return si.current_sessions(t.spark, path)
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from reviewflow.functions.text import email_hash
 from reviewflow.operators.ingest import decide, first_copies, intake
@@ -81,7 +82,8 @@ def run_ingest(mails: DataFrame, path: str, process: Callable[[DataFrame], DataF
                                              "completed").otherwise("failed"))
             _write(closed, f"{target}/step=1")
 
-    _write(spark.createDataFrame([], _OPENED).coalesce(1), f"{path}/log/batch_id=-2/step=0")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(_OPENED)]
+    _write(spark.range(0).coalesce(1).select(*none), f"{path}/log/batch_id=-2/step=0")
     return to_batches(mails, poll, path, trigger)
 
 

@@ -194,9 +194,10 @@ def test_decode_vector(spark):
     import base64
 
     blob = base64.b64encode(np.array([1.0, -2.5], dtype="<f4").tobytes()).decode()
-    df = spark.createDataFrame([(blob,), (json.dumps({"$binary": blob}),), (None,)], "b STRING")
+    blobs = [blob, json.dumps({"$binary": blob}), None, "#?", base64.b64encode(b"abc").decode()]
+    df = spark.createDataFrame([(b,) for b in blobs], "b STRING")
     assert [v for (v,) in decode_vector(df, "b").select("vector").collect()] == \
-        [[1.0, -2.5], [1.0, -2.5], None]
+        [[1.0, -2.5], [1.0, -2.5], None, None, None]
 
 
 def test_parse_form(spark):

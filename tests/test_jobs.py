@@ -102,6 +102,7 @@ def test_top_k_against_brute_force(spark, sent, block):
     for i in range(60):
         order = sorted((j for j in range(60) if j != i), key=lambda j: (-sims[i, j], j))[:4]
         want += [(i, j, n + 1) for n, j in enumerate(order)]
+    df = df.unionByName(spark.createDataFrame([(99, None), (98, [0.0] * 8)], df.schema))
     got = rv.top_k_threads(df, df, 4, skip_self=True, broadcast_rows=sent, block=block)
     assert rows(got.select("query_id", "vec_id", "rank")) == sorted(want, key=repr)
 
