@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.llm import substring
+from reviewflow.llm import near_dups, packing, substring
 
 _SQL: dict[str, str] = {}
 
@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, packing.default_tokenizer())
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select(
@@ -44,7 +53,8 @@ SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op9_substring_dedup]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_best_fit_packing, op6_near_duplicates, op9_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
