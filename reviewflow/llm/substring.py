@@ -31,7 +31,7 @@ from reviewflow.llm.words import (LAST_ID, U, Words, hashes_of, rolled, runs, sl
 #: Words of the runs whose hashes are compared for the minimiser.
 RUN = 3
 #: Bytes of text for which one more bucket is made.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 SPANS = "key long, tag int, start long, stop long"
 _SENT = "bucket int, key long, tag int, start long, stop long, packed binary"
 _SPAN_ARROW = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()),
