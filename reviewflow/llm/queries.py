@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.llm import decontaminate, near_dups, packing, substring
+from reviewflow.llm import (decontaminate, language, lm_score, near_dups, packing, quality,
+                             substring)
 
 _SQL: dict[str, str] = {}
 
@@ -26,10 +27,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language.predict(docs.select("doc_id", "text"), language.learned(docs))
+    return told.select("doc_id", (language.fold() == 1).alias("held_out"), "lang_pred", "score", "second",
+                       "ambiguous")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score(docs, docs.where(lm_score.fold() != 0))
+    return scored.withColumn("held_out", lm_score.fold() == 0)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select(
@@ -37,6 +51,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_kept_sha256").alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score(docs, model).select(
+        "doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted")
+
+
 _SQL["op9_substring_dedup"] = """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
@@ -59,7 +80,8 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    op1_best_fit_packing, op2_decontamination, op6_near_duplicates, op9_substring_dedup]
+    op1_best_fit_packing, op2_decontamination, op3_language_id, op6_near_duplicates, op7_lm_score,
+    op9_substring_dedup, op10_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
