@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.llm import (decontaminate, language, lm_score, near_dups, packing, quality,
-                             substring)
+from reviewflow.llm import (chat, decontaminate, language, licenses, lm_score, merkle, near_dups,
+                             packing, quality, substring)
 
 _SQL: dict[str, str] = {}
 
@@ -34,6 +34,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "ambiguous")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    texts = chat.formatted(chat.by_turn(rows.union(extra)))
+    texts = chat.kept(texts)
+    return chat.digests(texts).select(
+        F.when(F.col("tree") != chat.NO_ID, F.col("tree")).alias("conv_id"), "n_turns", "turns_sha256",
+        "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -44,6 +60,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", lm_score.fold() == 0)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return licenses.scan(licenses.placed(docs))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select(
@@ -80,8 +101,8 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    op1_best_fit_packing, op2_decontamination, op3_language_id, op6_near_duplicates, op7_lm_score,
-    op9_substring_dedup, op10_quality]
+    op1_best_fit_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_chat_format,
+    op6_near_duplicates, op7_lm_score, op8_license_scan, op9_substring_dedup, op10_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
