@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewflow.llm import substring
+from reviewflow.llm import decontaminate, language, near_dups, packing, substring
 from reviewflow.session import scratch_dir
 
 STAGES = [
+    ("language_id", language.stage),
+    ("near_dedup", near_dups.stage),
     ("substring_dedup", substring.stage),
+    ("decontamination", decontaminate.stage),
+    ("packing", packing.stage),
 ]
 
 ORACLE_SQL = None
