@@ -182,10 +182,11 @@ def directory(path):
         F.when(F.col(path).isNotNull(), F.lit("")))
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """License of every file (path, text and any other columns): license, similarity, how (header, file,
-    inherited or null) and the licence file it comes from."""
+def scan(files: DataFrame, key: str = "path") -> DataFrame:
+    """License of every file (``key``, path and text): key, path, license, similarity, how (header, file,
+    inherited or null), the licence file it comes from, and the line."""
     spark = files.sparkSession
+    files = files.select(*dict.fromkeys([key, "path", "text"]))
     sent = spark.sparkContext.broadcast(fit(files))
     names = [F.col(c).alias(f"in_{c}") for c in files.columns if c != "text"]
     # The texts go through once, beside what the row keeps of them.

@@ -119,7 +119,7 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     guessed = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     guessed = sorted(set(guessed))
     # The guess may be off for ids beyond 2^53; the least id of each range is exact.
-    lows = sorted(r[0] for r in ids.groupBy(_range_of(F.col("key"), guessed)).agg(F.min("key")).collect())
+    lows = sorted(r[1] for r in ids.groupBy(_range_of(F.col("key"), guessed)).agg(F.min("key")).collect())
     if not lows:
         return docs.withColumn("next", F.struct(*columns))
     borders = lows[1:]

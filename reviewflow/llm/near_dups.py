@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document of the least id stays, in one row."""
-    own = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
-                            "_node": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    own = docs.select(F.struct(*docs.columns).alias("doc"),
+                      F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"),
+                      F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"))
     kept = grouped(docs).where("doc_id = group_id").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
-    out = own.join(kept, (own["_key"] == kept["doc_id"]) & (own["_node"] == kept["node"]), "left_semi")
+    out = own.join(kept, ["doc_id", "node"], "left_semi")
     if kept.where("n > 1").limit(1).count():  # rows that are repeated as a whole
-        out = out.dropDuplicates(["_key", "_node"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["doc_id", "node"])
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

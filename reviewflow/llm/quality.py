@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     some = known.where(own < min(1.0, sample / n))
     # About ``sample`` rows of 16 bytes.
-    learning = docs.join(F.broadcast(some), F.col("doc_id") == F.col("id")).select(
+    learning = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select(
         F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"),
         F.xxhash64("id", "text").alias("place"), F.col("quality").cast("int").alias("label"), "text")
     weights = learning.mapInArrow(

@@ -62,14 +62,13 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return licenses.scan(licenses.placed(docs))
+    return licenses.scan(licenses.placed(docs), "doc_id")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
-        F.col("_kept_sha256").alias("kept_sha256"))
+        "doc.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

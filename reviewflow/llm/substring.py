@@ -191,11 +191,11 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(lambda t: _meet(t, width), SPANS)
 
 
-def _apply(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n_words, n_removed, kept = [], [], []
         texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
-        for text, spans in zip(texts.to_pylist(), batch.column("_spans").to_pylist()):
+        for text, spans in zip(texts.to_pylist(), batch.column("spans").to_pylist()):
             words = text.split()  # bytes are split at ASCII white space
             n_words.append(len(words))
             if spans:
@@ -208,33 +208,31 @@ def _apply(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
             kept.append(b" ".join(words))
         digests = [hashlib.sha256(x).hexdigest() for x in kept]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in names] + [
-                pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
-            names=[*names, "_n_words", "_n_removed", "_kept", "_kept_sha256"])
+            [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+             pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
+            names=["doc", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_n_removed``, ``_kept`` (the words left, joined by one space) and
-    ``_kept_sha256``; one row per row of ``docs``."""
+    """One row per row of ``docs``: doc (a struct of its columns), n_words, n_removed, kept (the words
+    left, joined by one space) and kept_sha256."""
     spans = repeated_spans(docs, width).groupBy("key", "tag").agg(
-        F.collect_list(F.col("start") * (1 << 31) + F.col("stop") - F.col("start")).alias("_spans"))
-    names = docs.columns
-    own = docs.withColumns({
-        "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)),
-        "_tag": F.hash(F.coalesce("text", F.lit("")))})
-    joined = own.join(spans, (own["_key"] == spans["key"]) & (own["_tag"] == spans["tag"]), "left") \
-                .select(*[own[c] for c in names], spans["_spans"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()),
-                           T.StructField("_n_removed", T.LongType()),
-                           T.StructField("_kept", T.StringType()),
-                           T.StructField("_kept_sha256", T.StringType())])
-    return joined.mapInArrow(lambda it: _apply(it, names), schema)
+        F.collect_list(F.col("start") * (1 << 31) + F.col("stop") - F.col("start")).alias("spans"))
+    own = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("key"),
+        F.hash(F.coalesce("text", F.lit(""))).alias("tag"))
+    joined = own.join(spans, ["key", "tag"], "left").select("doc", "text", "spans")
+    schema = T.StructType([joined.schema["doc"], T.StructField("n_words", T.LongType()),
+                           T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
+                           T.StructField("kept_sha256", T.StringType())])
+    return joined.mapInArrow(_apply, schema)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; one that loses words keeps the rest, joined by spaces."""
-    out = remove_repeats(docs)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    columns = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("doc.text")),
+           "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("doc.n_chars"))
+           if "n_chars" in docs.columns else None}
+    return remove_repeats(docs).select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
