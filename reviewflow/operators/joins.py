@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task may take on the many side of a left join.
-HOT_ROWS = 1_000_000
+# Rows and bytes of text of one key that a single task may take on the many side of a left join.
+HOT_ROWS, PART_BYTES = 1_000_000, 1 << 30
 # Ids that may be sent to every executor: about 100 MB for text ids of 36 characters.
 SENT_IDS = 1_000_000
 # Rows per side of one block in a blocked all-against-all comparison.
@@ -27,27 +29,37 @@ def send_if_small(ids: DataFrame, rows: int = SENT_IDS) -> DataFrame:
 
 
 def left_join_many(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """Left join to a 1:N table in which one key may own most rows.
 
-    Keys with more than ``hot_rows`` rows are found by a grouped count. Their rows are spread over
-    numbered parts by a hash of the whole row, and the left row is repeated once per part. Every
-    part of a hot key that stays empty would add an unmatched row, so those are dropped: a hot key
-    always has matches. Other keys keep part 0, where an unmatched left row stays.
-    Columns of ``right`` other than the key are appended. There are at most ``rows / hot_rows``
-    hot keys, a million for 10^12 rows, so their list is broadcast.
+    Keys with more than ``hot_rows`` rows or ``part_bytes`` of text are found by a grouped count.
+    Their rows are dealt out to numbered parts by the number of the row in its input partition, so
+    they spread evenly whatever they hold, and the left row is repeated once per part. Every part of
+    a hot key that stays empty would add an unmatched row, so those are dropped: a hot key always has
+    matches. Other keys keep part 0, where an unmatched left row stays. Without a hot key the join is
+    a plain one. Columns of ``right`` other than the key are appended.
     """
-    hot = right.groupBy(right_key).agg(F.count(F.lit(1)).alias("_rows")) \
-        .filter(F.col("_rows") > hot_rows) \
-        .select(F.col(right_key).alias("_hot"),
-                F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_parts"))
-    hot = F.broadcast(hot)
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in right.schema.fields
+             if f.dataType.simpleString() == "string" and f.name != right_key]
+    size = reduce(add, texts, F.lit(0)).cast("long")
+    parts = F.greatest(F.ceil(F.col("_rows") / F.lit(hot_rows)),
+                       F.ceil(F.col("_bytes") / F.lit(part_bytes))).cast("int")
+    hot = right.groupBy(right_key).agg(F.count("*").alias("_rows"), F.sum(size).alias("_bytes")) \
+        .select(F.col(right_key).alias("_hot"), parts.alias("_parts")).filter("_parts > 1")
+    hot = hot.filter(F.col("_hot").isNotNull())
     kept = [c for c in right.columns if c != right_key]
-    row_hash = F.xxhash64(*[F.col(c) for c in right.columns])
-    many = right.join(hot, F.col(right_key) == F.col("_hot"), "left").select(
+    if hot.isEmpty():
+        many = right.select(F.col(right_key).alias("_right_key"),
+                            *[F.col(c).alias(f"_right_{c}") for c in kept])
+        joined = left.join(many, F.col(left_key) == F.col("_right_key"), "left")
+        return joined.select(*left.columns, *[F.col(f"_right_{c}").alias(c) for c in kept])
+    hot = send_if_small(hot)
+    number = F.monotonically_increasing_id()
+    many = right.withColumn("_number", number).join(
+        hot, F.col(right_key) == F.col("_hot"), "left").select(
         F.col(right_key).alias("_right_key"), F.lit(True).alias("_match"),
         *[F.col(c).alias(f"_right_{c}") for c in kept],
-        F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(row_hash, F.col("_parts")))
+        F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod("_number", F.col("_parts")))
          .cast("int").alias("_right_part"))
     parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     one = left.join(hot, F.col(left_key) == F.col("_hot"), "left") \

@@ -101,16 +101,18 @@ def activate(versions: DataFrame, picks: DataFrame) -> DataFrame:
 def seed_prompts(t, defaults: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Templates and versions after seeding ``defaults`` (prompt_name, content, category).
 
-    A default without template gets one. A default without active version gets version 1 active.
+    A default without template gets one. A default without active version gets a new active version,
+    with the next number of its prompt, so no number is given twice.
     """
     templates, versions = t["prompt_templates"], t["prompt_versions"]
     known = templates.select("prompt_name").distinct()
     active = versions.filter("is_active").select("prompt_name").distinct()
     new_templates = defaults.join(known, "prompt_name", "left_anti").select(
         *[c for c in templates.columns if c in defaults.columns])
-    missing = defaults.join(active, "prompt_name", "left_anti")
+    last = versions.groupBy("prompt_name").agg(F.max("version").alias("_last"))
+    missing = defaults.join(active, "prompt_name", "left_anti").join(last, "prompt_name", "left")
     new_versions = missing.select(
-        "prompt_name", "content", F.lit(1).alias("version"), F.lit(True).alias("is_active"),
+        "prompt_name", "content", (F.coalesce("_last", F.lit(0)) + 1).alias("version"), F.lit(True).alias("is_active"),
         F.lit(SEED_NOTE).alias("description"), F.lit(SEED_AUTHOR).alias("created_by"))
     return (templates.unionByName(new_templates, allowMissingColumns=True),
             versions.unionByName(new_versions, allowMissingColumns=True))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.operators.joins import block_count, blocked_pairs
+from reviewflow.operators.joins import block_count, blocked_pairs, send_if_small
 
 # Query vectors that may be sent to every executor: rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 16_384, 64 * 1024 * 1024
@@ -73,7 +75,9 @@ def top_k_threads(queries: DataFrame, threads: DataFrame, k: int = 2, query_id:
     query, and the best k of those remain.
     """
     schema = _schema(queries, threads, query_id, thread_id)
-    queries, threads = (df.filter(F.col(vector).isNotNull()) for df in (queries, threads))
+    # Vectors of another length than most threads have cannot be compared.
+    length = threads.agg(F.mode(F.size(vector))).first()[0]
+    queries, threads = (df.filter(F.size(vector) == F.lit(length)) for df in (queries, threads))
     head = queries.select(query_id, vector).limit(broadcast_rows + 1).toPandas() \
         if broadcast_rows else None
     small = head is not None and len(head) <= broadcast_rows and \
@@ -138,9 +142,17 @@ def present_fields(df: DataFrame, names) -> Column:
     return F.filter(held, lambda n: n.isNotNull())
 
 
-def valid_threads(df: DataFrame, required=THREAD_FIELDS) -> tuple[DataFrame, DataFrame]:
-    """Threads with every required field, and the rejected rows with what they miss."""
-    marked = df.withColumn("missing", missing_fields(present_fields(df, required), required))
+def valid_threads(df: DataFrame, required=THREAD_FIELDS, dimension: int | None = None,
+                  vector: str = "$vector") -> tuple[DataFrame, DataFrame]:
+    """Threads with every required field, and the rejected rows with what they miss.
+
+    With ``dimension``, a vector of another length counts as missing.
+    """
+    missing = missing_fields(present_fields(df, required), required)
+    if dimension is not None and vector in required:
+        wrong = F.size(f"`{vector}`") != dimension
+        missing = F.when(wrong, F.array_append(missing, vector)).otherwise(missing)
+    marked = df.withColumn("missing", missing)
     return (marked.filter(F.size("missing") == 0).drop("missing"),
             marked.filter(F.size("missing") > 0))
 
@@ -151,73 +163,29 @@ def name_tokens(text: Column) -> Column:
     return F.array_remove(F.array_distinct(words), "")
 
 
-class _FolderIndex:
-    """Folders in the order of their ids, and for each word the folders whose name holds it."""
-
-    def __init__(self, folders: pd.DataFrame):
-        folders = folders.sort_values("folder_id", kind="stable")
-        self.ids, self.names = folders["folder_id"].to_numpy(), folders["name"].to_numpy()
-        held: dict[str, list[int]] = {}
-        for place, words in enumerate(folders["_folder_words"]):
-            for word in words:
-                held.setdefault(word, []).append(place)
-        self.held = {word: np.array(places) for word, places in held.items()}
-
-    def best(self, words) -> tuple:
-        """Id, name and shared words of the best folder; the first of equals is the lowest id."""
-        lists = [self.held[w] for w in words if w in self.held]
-        if not lists:
-            return None, None, 0
-        counts = np.bincount(np.concatenate(lists))
-        place = int(counts.argmax())
-        return self.ids[place], self.names[place], int(counts[place])
-
-
 def match_client(mails: DataFrame, folders: DataFrame, mail_id: str = "message_id",
-                 text_col: str = "body", broadcast_rows: int = BROADCAST_ROWS,
-                 block: int = VECTOR_BLOCK) -> DataFrame:
+                 text_col: str = "body") -> DataFrame:
     """The folder whose name shares most words with the mail; NULL when none is shared.
 
     A fixed stand-in for a choice made by a model. Equal counts go to the lower folder id.
-    ``folders``: folder_id, name. A folder list small enough to send (rows and bytes are checked)
-    goes to every executor and mails are neither shuffled nor paired; a longer list is compared
-    block by block and the best of each block meet at the end.
+    ``folders``: folder_id, name. Mails are cut to the words that occur in a folder name before
+    anything is shuffled; then words meet by a join, hits are counted per mail and folder, and the
+    best folder of a mail is a grouped minimum.
     """
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = (f"{mail_id} {kind(mails, mail_id)}, client_folder_id {kind(folders, 'folder_id')}, "
-              "client_name string, shared_words int")
-    named = folders.select("folder_id", "name", name_tokens(F.col("name")).alias("_folder_words"))
-    worded = mails.select(mail_id, name_tokens(F.col(text_col)).alias("_words"))
-    head = named.limit(broadcast_rows + 1).toPandas() if broadcast_rows else None
-
-    def score(ids, word_lists, index):
-        found = [index.best(words) for words in word_lists]
-        return pd.DataFrame({mail_id: ids, **{
-            c: pd.Series([f[i] for f in found], dtype=object, index=ids.index)
-            for i, c in enumerate(("client_folder_id", "client_name", "shared_words"))}})
-
-    if head is not None and len(head) <= broadcast_rows \
-            and head["name"].str.len().sum() <= BROADCAST_BYTES:
-        sent = mails.sparkSession.sparkContext.broadcast(_FolderIndex(head))
-
-        def partition(batches):
-            for pdf in batches:
-                yield score(pdf[mail_id], pdf["_words"], sent.value)
-
-        best = worded.mapInPandas(partition, schema)
-    else:
-        blocks = (block_count(mails, block), block_count(folders, block))
-        found = blocked_pairs(worded, named, F.col(mail_id), F.col("folder_id"), blocks,
-                              lambda m, f: score(m[mail_id], m["_words"], _FolderIndex(f)), schema)
-        order = F.min(F.when(F.col("shared_words") > 0, F.struct(
-            -F.col("shared_words"), F.col("client_folder_id"), F.col("client_name"),
-            F.col("shared_words"))))
-        best = found.groupBy(mail_id).agg(order.alias("_b")).select(
-            mail_id, "_b.client_folder_id", "_b.client_name",
-            F.coalesce("_b.shared_words", F.lit(0)).alias("shared_words"))
-    matched = F.col("shared_words") > 0
-    return best.withColumn("client_matched", matched) \
-               .withColumn("shared_words", F.when(matched, F.col("shared_words")))
+    named = folders.select("folder_id", "name", name_tokens(F.col("name")).alias("_words"))
+    held = named.select("folder_id", F.explode("_words").alias("_word"))
+    known = send_if_small(held.select("_word").distinct())
+    worded = mails.select(mail_id, F.explode(name_tokens(F.col(text_col))).alias("_word")) \
+                  .join(known, "_word", "left_semi")
+    shared = worded.join(send_if_small(held), "_word").groupBy(mail_id, "folder_id") \
+                   .agg(F.count("*").cast("int").alias("_shared"))
+    best = shared.groupBy(F.col(mail_id).alias("_mail")).agg(
+        F.min(F.struct((-F.col("_shared")).alias("n"), "folder_id")).alias("_best"))
+    best = best.join(named.select(F.col("folder_id").alias("_folder"), "name"),
+                     F.col("_best.folder_id") == F.col("_folder"))
+    return mails.select(mail_id).join(best, F.col(mail_id) == F.col("_mail"), "left").select(
+        mail_id, F.col("_best.folder_id").alias("client_folder_id"), F.col("name").alias("client_name"),
+        (-F.col("_best.n")).alias("shared_words"), F.col("_mail").isNotNull().alias("client_matched"))
 
 
 # How document names are ranked and what asks for the special kinds.
@@ -270,48 +238,47 @@ def pick_document(docs: DataFrame, mails: DataFrame, folder_col: str = "client_f
          .otherwise(PICKED).alias("extraction_status"))
 
 
-# Levels of tables inside tables that are read; deeper ones raise the flag.
-DOC_DEPTH = 3
-_PARAGRAPH = "paragraph: STRUCT<elements: ARRAY<STRUCT<textRun: STRUCT<content: STRING>>>>"
-
+def _held(value, *path) -> list:
+    """The list at the end of a path of keys, empty where something on the way is missing."""
+    for key in path:
+        value = value.get(key) if isinstance(value, dict) else None
+    return value if isinstance(value, list) else []
 
-def _doc_schema(depth: int) -> str:
-    if depth == 0:
-        return f"ARRAY<STRUCT<{_PARAGRAPH}, table: STRING>>"
-    return (f"ARRAY<STRUCT<{_PARAGRAPH}, table: STRUCT<tableRows: ARRAY<STRUCT<"
-            f"tableCells: ARRAY<STRUCT<content: {_doc_schema(depth - 1)}>>>>>>>")
 
+def _reading_order(tree) -> str:
+    """Text of a parsed document tree; a stack takes the place of recursion, so any depth will do."""
+    out, stack = [], list(reversed(tree)) if isinstance(tree, list) else []
+    while stack:
+        element = stack.pop()
+        if not isinstance(element, dict):
+            continue
+        if element.get("paragraph") is not None:
+            runs = (r.get("textRun") for r in _held(element, "paragraph", "elements") if isinstance(r, dict))
+            texts = (r.get("content") for r in runs if isinstance(r, dict))
+            out += [t for t in texts if isinstance(t, str)]
+        else:
+            cells = [c for row in _held(element, "table", "tableRows") for c in _held(row, "tableCells")]
+            stack += [e for c in reversed(cells) for e in reversed(_held(c, "content"))]
+    return "".join(out)
 
-def _join(parts: Column) -> Column:
-    return F.array_join(F.coalesce(parts, F.array().cast("array<string>")), "")
 
+def doc_text(df: DataFrame, col: str = "content") -> DataFrame:
+    """Text of a document tree in reading order, tables inside tables included to any depth.
 
-def _doc_text(elements: Column, depth: int) -> Column:
-    runs = lambda e: _join(F.transform(
-        e["paragraph"]["elements"], lambda r: F.coalesce(r["textRun"]["content"], F.lit(""))))
-    if depth == 0:
-        return _join(F.transform(elements, lambda e: F.coalesce(runs(e), F.lit(""))))
-    cells = lambda e: _join(F.transform(e["table"]["tableRows"], lambda row: _join(
-        F.transform(row["tableCells"], lambda c: _doc_text(c["content"], depth - 1)))))
-    return _join(F.transform(elements, lambda e: F.when(
-        e["paragraph"].isNotNull(), runs(e)).otherwise(cells(e))))
-
-
-def _too_deep(elements: Column, depth: int) -> Column:
-    if depth == 0:
-        return F.exists(elements, lambda e: e["paragraph"].isNull() & e["table"].isNotNull())
-    some = lambda c: F.coalesce(c, F.lit(False))
-    return F.exists(elements, lambda e: some(F.exists(e["table"]["tableRows"], lambda row: some(
-        F.exists(row["tableCells"], lambda c: some(_too_deep(c["content"], depth - 1)))))))
+    What is not JSON has no text. A schema for ``from_json`` would end at some depth, so the trees are
+    parsed in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def text(trees: pd.Series) -> pd.Series:
+        def one(tree):
+            try:
+                return _reading_order(json.loads(tree)) if tree else ""
+            except ValueError:
+                return ""
 
+        return trees.map(one)
 
-def doc_text(df: DataFrame, col: str = "content", depth: int = DOC_DEPTH) -> DataFrame:
-    """Text of a document tree in reading order, and whether it nests deeper than is read."""
-    tree = F.from_json(F.col(col), _doc_schema(depth))
-    return df.withColumn("_tree", tree).select(
-        *[c for c in df.columns if c != col],
-        F.coalesce(_doc_text(F.col("_tree"), depth), F.lit("")).alias("text"),
-        F.coalesce(_too_deep(F.col("_tree"), depth), F.lit(False)).alias("too_deep"))
+    return df.select(*[c for c in df.columns if c != col], text(F.coalesce(col, F.lit(""))).alias("text"))
 
 
 FORM_FIELD = "MAP<STRING, MAP<STRING, STRUCT<initial_value: STRING, value: STRING, multiline: BOOLEAN>>>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewflow.functions.period import (as_of_column, before, hours_between, micros_between,
@@ -140,8 +140,11 @@ def _pending(t) -> DataFrame:
 
 def pending_sessions(t) -> DataFrame:
     """Sessions waiting for review that have no feedback, oldest first."""
-    answered = t["quality_feedback"].select(F.col("session_id").alias("_answered")).distinct()
-    return _pending(t).join(answered, F.col("id") == F.col("_answered"), "left_anti") \
+    waiting = _pending(t)
+    ids = send_if_small(waiting.select(F.col("id").alias("_id")))
+    answered = t["quality_feedback"].join(ids, F.col("session_id") == F.col("_id"), "left_semi") \
+        .select(F.col("session_id").alias("_answered")).distinct()
+    return waiting.join(answered, F.col("id") == F.col("_answered"), "left_anti") \
         .select("id", "sender_email", "subject", COMPLETED, "workflow_state", "current_step") \
         .orderBy(F.asc_nulls_last(COMPLETED))
 
@@ -156,21 +159,35 @@ def overdue_sessions(t, hours: int = 24, as_of=None) -> DataFrame:
         .orderBy(F.asc_nulls_last(COMPLETED))
 
 
+def paired_marks(marks: DataFrame) -> DataFrame:
+    """Every mark with the kind and time of the one before it in its run.
+
+    At equal times a start comes before an end.
+    """
+    run = Window.partitionBy("session_id", "node_name", "run").orderBy("at", F.desc("mark"), "success")
+    return marks.withColumns({"_before": F.lag("mark").over(run), "_since": F.lag("at").over(run),
+                              "_after": F.lead("mark").over(run)})
+
+
 def node_durations(marks: DataFrame) -> DataFrame:
-    """Duration in ms from start and end marks of one node run.
+    """Durations in ms from the start and end marks of node runs.
 
-    ``marks``: session_id, node_name, run, mark ('start' or 'end'), at, success. An end without a
-    start gives nothing, nor does a start without an end. A later start of the same run replaces
-    the earlier one.
+    ``marks``: session_id, node_name, run, mark ('start' or 'end'), at, success. An end belongs to the
+    start right before it: a later start replaces an earlier one, and an end uses its start up. So an end
+    without a start gives nothing, nor does a start without an end. A run of over 24 days gets the largest
+    number of the 32-bit column.
     """
-    is_start = F.col("mark") == "start"
-    return marks.groupBy("session_id", "node_name", "run").agg(
-        F.max(F.when(is_start, F.col("at"))).alias("started_at"),
-        F.max(F.when(~is_start, F.col("at"))).alias("completed_at"),
-        F.max(F.when(~is_start, F.col("success"))).alias("success")) \
-        .filter(F.col("started_at").isNotNull() & F.col("completed_at").isNotNull()) \
-        .withColumn("duration_ms", F.floor(
-            micros_between(F.col("completed_at"), F.col("started_at")) / 1000).cast("int"))
+    ended = paired_marks(marks).filter("mark = 'end' AND _before = 'start'")
+    return ended.select(
+        "session_id", "node_name", "run", F.col("_since").alias("started_at"),
+        F.col("at").alias("completed_at"), "success",
+        F.least(F.floor(micros_between(F.col("at"), F.col("_since")) / 1000), F.lit(MAX_INT)).cast("int")
+        .alias("duration_ms"))
+
+
+def open_starts(marks: DataFrame) -> DataFrame:
+    """The start marks that still wait for their end."""
+    return paired_marks(marks).filter("mark = 'start' AND _after IS NULL").select(*marks.columns)
 
 
 def close_sessions(sessions: DataFrame, results: DataFrame, as_of) -> DataFrame:

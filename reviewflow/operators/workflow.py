@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewflow.functions.period import before
 from reviewflow.functions.text import before_underscore
+from reviewflow.operators.joins import send_if_small
 from reviewflow.schemas import SESSION_CHILDREN
 
 # State and step a new session starts in.
@@ -116,6 +117,6 @@ def apply_updates(current: DataFrame, updates: DataFrame, key: str, columns: lis
 
 def cascade_delete(t, removed_ids: DataFrame) -> dict[str, DataFrame]:
     """Session children without the rows of removed sessions."""
-    gone = removed_ids.select(F.col(removed_ids.columns[0]).alias("_gone")).distinct()
+    gone = send_if_small(removed_ids.select(F.col(removed_ids.columns[0]).alias("_gone")).distinct())
     return {name: t[name].join(gone, F.col("session_id") == F.col("_gone"), "left_anti")
             for name in SESSION_CHILDREN if name in t}

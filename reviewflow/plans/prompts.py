@@ -90,7 +90,8 @@ query("l11_seed_templates", """
 query("l11_seed_versions", """
     SELECT prompt_name, version, content, is_active, CAST(NULL AS VARCHAR) AS created_by
     FROM prompt_versions
-    UNION ALL SELECT name, 1, 'default ' || name, true, 'system'
+    UNION ALL SELECT name, CAST(1 + coalesce((SELECT max(version) FROM prompt_versions
+            WHERE prompt_name = name), 0) AS INT), 'default ' || name, true, 'system'
     FROM (SELECT DISTINCT p_type AS name FROM part UNION SELECT p_brand FROM part)
     WHERE name NOT IN (SELECT prompt_name FROM prompt_versions WHERE is_active)""")(
     lambda t: p.seed_prompts(t, defaults(t))[1]

@@ -9,12 +9,13 @@ from reviewflow.operators.scan import classify_rules
 from reviewflow.plans.ingest import DUCK_ADMIT, DUCK_INTAKE, IGNORE, KEYWORDS, copied_mails, raw_mails
 from reviewflow.plans.lifecycle import DUCK_WORKFLOW
 from reviewflow.plans.registry import query, rounded
+from reviewflow.plans.review import DURATIONS_SQL, node_marks
 from reviewflow.session import scratch_dir
 from reviewflow.sources.driver_tables import BASE, Tables
 from reviewflow.sources.mail import mail_stream
 from reviewflow.streaming import ingest as si
 from reviewflow.streaming import live
-from reviewflow.streaming.runs import finish, to_files
+from reviewflow.streaming.runs import current, finish, to_files
 
 
 class StreamTables(Tables):
@@ -52,12 +53,11 @@ def mail_files(t, parts: int = 4):
 
 
 query("s6_mail_stream", """
-    SELECT CAST(message_id AS VARCHAR) AS message_id, received_at, length(body) AS chars
+    SELECT CAST(message_id AS VARCHAR) AS message_id, received_at, body
     FROM (SELECT * REPLACE (CASE WHEN message_id % 11 = 0 THEN NULL WHEN message_id % 13 = 0
             THEN '' ELSE body END AS body) FROM mails)""")(
     lambda t: written(t, mail_stream(t.spark, mail_files(t), 1)).select(
-        "message_id", "received_at",
-        F.length("body").cast("long").alias("chars")))
+        "message_id", "received_at", "body"))
 
 
 def classified(mails):
@@ -69,19 +69,23 @@ def classified(mails):
 
 def ingested(t):
     path = scratch_dir(t.spark, "ingest")
-    feed = mail_stream(t.spark, mail_files(t, 2), 1)
+    feed = mail_stream(t.spark, mail_files(t), 1)
     finish(si.run_ingest(feed, path, classified, KEYWORDS, IGNORE, trigger=None))
-    return si.current_sessions(t.spark, path)
+    opened = si.session_log(t.spark, path).filter("step = 0").groupBy("id") \
+        .agg(F.max("email_content").alias("email_content"))
+    return si.current_sessions(t.spark, path).drop("email_content").join(opened, "id")
 
 
 # Copies of a mail differ only in what the hash leaves out, so any of them gives the same session,
 # except that a failed copy is retried until one succeeds.
 query("t1_run_ingest", f"""
-    SELECT email_hash, max(status) FILTER (status = 'completed') IS NOT NULL AS completed
-    FROM (SELECT sha256(body || '|' || sender_email) AS email_hash,
+    SELECT email_hash, max(status) FILTER (status = 'completed') IS NOT NULL AS completed,
+        any_value(body) AS email_content, any_value(sender_email) AS sender_email
+    FROM (SELECT sha256(body || '|' || sender_email) AS email_hash, body, sender_email,
             CASE WHEN subject = '(No Subject)' THEN 'failed' ELSE 'completed' END AS status
           FROM ({DUCK_INTAKE})) GROUP BY 1""")(
-    lambda t: ingested(t).select("email_hash", (F.col("status") == "completed").alias("completed")))
+    lambda t: ingested(t).select("email_hash", (F.col("status") == "completed").alias("completed"),
+                                 "email_content", "sender_email"))
 
 
 def copied_stream(t):
@@ -89,8 +93,8 @@ def copied_stream(t):
         "message_id", F.col("message_id").cast("string"))
 
 
-query("t2_dedupe_stream", "SELECT CAST(message_id AS VARCHAR) AS message_id FROM mails")(
-    lambda t: written(t, si.dedupe_stream(copied_stream(t)).select("message_id")))
+query("t2_dedupe_stream", "SELECT CAST(message_id AS VARCHAR) AS message_id, body FROM mails")(
+    lambda t: written(t, si.dedupe_stream(copied_stream(t)).select("message_id", "body")))
 
 query("t3_session_state", f"""
     SELECT email_hash, CAST(message_id AS VARCHAR) AS message_id, received_at, copies,
@@ -103,16 +107,36 @@ query("t3_session_state", f"""
 
 def live_state(t):
     path = scratch_dir(t.spark, "workflow")
-    finish(live.workflow_stream(streams(t)["quality_feedback"], path, trigger=None))
+    finish(live.workflow_stream(in_polls(t, t["quality_feedback"], "created_at"), path, trigger=None))
     return live.live_workflows(t.spark, t["email_workflows"], path)
 
 
 query("t4_workflow_stream", DUCK_WORKFLOW)(live_state)
 
 
+def in_polls(t, df, time_col: str, polls: int = 4):
+    """``df`` as a stream of some files, which arrive in the order of their time."""
+    path = scratch_dir(t.spark, "polls")
+    df = _retyped(df, "timestamp_ntz", "timestamp")
+    low, high = df.agg(F.min(time_col), F.max(time_col)).first()
+    width = (high - low) / polls if low is not None else None
+    for n in range(polls if low is not None else 0):
+        part = df.filter(F.col(time_col) >= F.lit(low + n * width)) if n else df
+        part = part.filter(F.col(time_col) < F.lit(low + (n + 1) * width)) if n < polls - 1 else part
+        part.coalesce(1).write.parquet(f"{path}/poll={n}")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/poll=*")
+
+
+def state_of(t, start, label: str):
+    """The state that a folded stream leaves."""
+    path = scratch_dir(t.spark, label)
+    finish(start(path))
+    return _retyped(current(t.spark, path), "timestamp", "timestamp_ntz")
+
+
 def event_sessions(t):
     """Events as sessions: an error is a failed one."""
-    return t["events"].select(F.col("ts").cast("timestamp").alias("processing_started_at"), F.when(
+    return t["events"].select(F.col("ts").alias("processing_started_at"), F.when(
         F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
 
 
@@ -123,41 +147,26 @@ for _name, _hours, _step in (("t5_health_stream", 1, 5), ("t5_health_stream_day"
                     - INTERVAL {_hours} HOUR + INTERVAL {_step} MINUTE,
                 (SELECT max(ts) FROM events), INTERVAL {_step} MINUTE)) AS window_start)
         SELECT window_start, window_start + INTERVAL {_hours} HOUR AS window_end,
-            count(*) AS total, count(*) FILTER (event_type = 'error') AS errors,
+            CAST(count(*) AS BIGINT) AS total,
+            CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS errors,
             round_even(count(*) FILTER (event_type = 'error') / count(*) * 100, 1) AS error_rate
         FROM slots JOIN events ON ts >= window_start
             AND ts < window_start + INTERVAL {_hours} HOUR
-        WHERE window_start + INTERVAL {_hours} HOUR
-            <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)
         GROUP BY window_start""")(
-        lambda t, length=f"{_hours} hours", step=f"{_step} minutes": written(
-            t, live.health_stream(event_sessions(streams(t)), length=length, step=step)))
-
-_MARKS = """
-    SELECT l_orderkey AS session_id, 'node_' || l_linenumber AS node_name, l_partkey AS run,
-        l_shipdate AS started_at, l_shipdate + to_seconds(CAST(floor(l_quantity) AS BIGINT))
-            AS completed_at, l_returnflag <> 'R' AS success FROM lineitem"""
-query("t6_node_duration_stream", f"""
-    SELECT s.session_id, s.node_name, s.run, s.started_at, e.completed_at, e.success,
-        CAST(epoch_ms(e.completed_at) - epoch_ms(s.started_at) AS INT) AS duration_ms
-    FROM ({_MARKS}) s JOIN ({_MARKS}) e ON s.session_id = e.session_id
-        AND s.node_name = e.node_name AND s.run = e.run AND e.completed_at >= s.started_at
-        AND e.completed_at <= s.started_at + INTERVAL 1 HOUR""")(
-    lambda t: written(t, live.node_duration_stream(*mark_streams(t))))
-
-
-def mark_streams(t):
-    def marks(lineitem, at):
-        return lineitem.select(
-            F.col("l_orderkey").alias("session_id"),
-            F.concat(F.lit("node_"), "l_linenumber").alias("node_name"),
-            F.col("l_partkey").alias("run"), (F.col("l_returnflag") != "R").alias("success"),
-            F.expr(at).cast("timestamp").alias("at"))
-
-    return (marks(streams(t)["lineitem"], "l_shipdate"),
-            marks(streams(t)["lineitem"],
-                  "l_shipdate + make_interval(0,0,0,0,0,0, floor(l_quantity))"))
+        lambda t, length=f"{_hours} hours", step=f"{_step} minutes": live.health_windows(state_of(
+            t, lambda path: live.health_stream(
+                in_polls(t, event_sessions(t), "processing_started_at"), path, step=step, trigger=None),
+            "health"), length, step))
+
+
+def streamed_durations(t):
+    path = scratch_dir(t.spark, "durations")
+    finish(live.node_duration_stream(in_polls(t, node_marks(t), "at"), path, trigger=None))
+    rows = t.spark.read.parquet(f"{path}/rows").drop("batch_id")
+    return _retyped(rows, "timestamp", "timestamp_ntz")
+
 
+query("t6_node_duration_stream", DURATIONS_SQL)(streamed_durations)
 
 query("t7_drop_late", """
     SELECT event_id, ts FROM events WHERE floor(value * 10) <= 300""")(
@@ -172,9 +181,15 @@ query("t8_feedback_stream", """
         count(*) FILTER (human_action = 'edited') AS edited_count,
         count(*) FILTER (human_action = 'rejected') AS rejected_count,
         round(avg(final_quality_score), 6) AS avg_quality_score
-    FROM quality_feedback
-    WHERE date_trunc('day', created_at) + INTERVAL 1 DAY
-        <= (SELECT max(created_at) - INTERVAL 5 MINUTE FROM quality_feedback)
-    GROUP BY 1""")(
-    lambda t: rounded(written(t, live.feedback_stream(streams(t)["quality_feedback"])),
-                      "avg_quality_score"))
+    FROM quality_feedback GROUP BY 1""")(
+    lambda t: rounded(live.feedback_days(state_of(t, lambda path: live.feedback_stream(
+        in_polls(t, t["quality_feedback"], "created_at"), path, trigger=None), "feedback")),
+        "avg_quality_score"))
+
+query("t7_late_counts", """
+    SELECT date_trunc('hour', ts) AS hour, count(*) AS events,
+        count(*) FILTER (floor(value * 10) > 300) AS late
+    FROM events GROUP BY 1""")(
+    lambda t: live.late_counts(
+        t["events"].withColumn("_at", F.expr("ts + make_interval(0,0,0,0,0,0, floor(value * 10))")),
+        "ts", F.col("_at")).withColumn("hour", F.col("hour").cast("timestamp_ntz")))

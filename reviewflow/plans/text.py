@@ -31,13 +31,15 @@ query("x4_edit_type", """
     lambda t: t["events"].select("event_id", sc.edit_type(
         F.floor(F.col("value") * 3).cast("int")).alias("edit_type")))
 
+# A draft without an edit is compared with itself; both get an addition.
 query("x5_edit_distance", """
-    SELECT session_id, length(draft_content) - length(replace(draft_content, 'e', ''))
+    SELECT session_id, CASE WHEN final_draft_content IS NULL THEN 0
+            ELSE length(draft_content) - length(replace(draft_content, 'e', '')) END
             + length(' p.s.') AS distance
-    FROM draft_generations WHERE final_draft_content IS NOT NULL""")(
-    lambda t: t["draft_generations"].filter("final_draft_content IS NOT NULL").select(
-        "session_id", sc.edit_distance(
-            F.col("draft_content"), F.concat("final_draft_content", F.lit(" p.s.")))
+    FROM draft_generations""")(
+    lambda t: t["draft_generations"].select(
+        "session_id", sc.edit_distance(F.col("draft_content"), F.concat(
+            F.coalesce("final_draft_content", "draft_content"), F.lit(" p.s.")))
         .cast("long").alias("distance")))
 
 _GREET = " OR ".join(f"starts_with(low, '{g}')" for g in sc.GREETINGS)
@@ -200,23 +202,28 @@ query("x17_feedback_from_clicks", """
                 WHEN 'view' THEN event_id % 5 + 1 END AS INT) AS human_rating FROM events)
     WHERE human_action IS NOT NULL""")(lambda t: r.feedback_from_clicks(button_payloads(t)))
 
-query("x19_doc_text", """
-    SELECT doc_id, source || text || lang || n_chars || 'end' AS text, false AS too_deep
+DEPTHS = 12
+query("x19_doc_text", f"""
+    SELECT doc_id, source || array_to_string(list_transform(
+            range(doc_id % {DEPTHS} + 1, 0, -1), lambda k: k || ':'), '') || text || lang AS text
     FROM documents""")(lambda t: rv.doc_text(document_trees(t)))
 
 
 def document_trees(t):
-    """Each document as a tree: a paragraph, a table with the text and a nested table, an end."""
+    """Each document as a tree: a paragraph, one to twelve tables inside each other, each with a numbered
+    cell before the next and the text in the innermost, and a paragraph."""
+    content = lambda c: F.to_json(F.struct(c.cast("string").alias("content")))
+    paragraph = lambda c: F.concat(
+        F.lit('{"paragraph":{"elements":[{"textRun":'), content(c), F.lit('},{"inlineObject":{}}]}}'))
+    nested = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("doc_id") % DEPTHS + 1), paragraph(F.col("text")),
+        lambda inner, k: F.concat(
+            F.lit('{"sectionBreak":{}},{"table":{"tableRows":[{"tableCells":[{"content":['),
+            paragraph(F.concat(k.cast("string"), F.lit(":"))), F.lit(']},{"content":['), inner,
+            F.lit(']}]}]}}')))
     return t["documents"].select("doc_id", F.concat(
-        F.lit('[{"paragraph":{"elements":[{"textRun":'), F.to_json(F.struct(F.col("source").alias("content"))),
-        F.lit('},{"inlineObject":{}}]}},{"sectionBreak":{}},{"table":{"tableRows":[{"tableCells":[{"content":['
-              '{"paragraph":{"elements":[{"textRun":'), F.to_json(F.struct(F.col("text").alias("content"))),
-        F.lit('}]}}]},{"content":[{"table":{"tableRows":[{"tableCells":[{"content":[{"paragraph":'
-              '{"elements":[{"textRun":'), F.to_json(F.struct(F.col("lang").alias("content"))),
-        F.lit('}]}}]}]}]}}]}]},{"tableCells":[{"content":[{"paragraph":{"elements":[{"textRun":'),
-        F.to_json(F.struct(F.col("n_chars").cast("string").alias("content"))),
-        F.lit('}]}}]}]}]}},{"paragraph":{"elements":[{"textRun":{"content":"end"}}]}}]'))
-        .alias("content"))
+        F.lit("["), paragraph(F.col("source")), F.lit(","), nested, F.lit(","), paragraph(F.col("lang")),
+        F.lit("]")).alias("content"))
 
 
 def vector_blobs(t):

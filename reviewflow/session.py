@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,11 +47,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
     It lies under ``spark.checkpoint.dir``, the folder every executor can reach. Only where
-    that is unset and the master is local does it fall back to the machine's temporary folder.
+    that is unset and Spark is a single local process does it fall back to the machine's temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="reviewflow-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

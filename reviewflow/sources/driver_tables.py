@@ -40,6 +40,7 @@ BASE = {
 
 _LABEL = """CASE o_orderpriority WHEN '1-URGENT' THEN 'Accepted' WHEN '2-HIGH' THEN 'Conditional'
             WHEN '3-MEDIUM' THEN 'Pay-to-Play' WHEN '5-LOW' THEN 'No Guests' END"""
+_NAMED = f"coalesce({_LABEL}, 'Unlabelled')"
 _ACTION = """CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'click' THEN 'edited'
              WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'rated'
              ELSE 'editing_initiated' END"""
@@ -70,9 +71,9 @@ _SHARED = {
         l_returnflag <> 'R' AS success,
         CASE WHEN l_returnflag = 'R' THEN 'error' END AS error_message"""),
     "classification_results": ("orders", f"""
-        o_orderkey AS session_id, {_LABEL} AS predicted_label,
+        o_orderkey AS session_id, {_NAMED} AS predicted_label,
         (o_orderkey % 1000) / 1000.0E0 AS confidence_score,
-        CASE WHEN o_orderkey % 10 = 0 THEN 'Others' ELSE {_LABEL} END AS human_verified_label,
+        CASE WHEN o_orderkey % 10 = 0 THEN 'Others' ELSE {_NAMED} END AS human_verified_label,
         o_orderkey % 10 <> 0 AS is_correct"""),
     "document_extractions": ("lineitem", """
         l_orderkey AS session_id, l_discount >= 0.05E0 AS client_matched,
@@ -126,11 +127,6 @@ _SHARED = {
         vec_id, embedding, concat('thread ', vec_id) AS email_thread"""),
 }
 
-_WHERE = {
-    "classification_results": " WHERE o_orderpriority <> '4-NOT SPECIFIED'",
-    "document_extractions": " WHERE l_linenumber = 1",
-}
-
 _SPELLING = {
     "spark": {
         "hash": "sha2(CAST(o_orderkey AS STRING), 256)",
@@ -161,7 +157,7 @@ def _select(name: str, dialect: str) -> str:
     spelling = _SPELLING[dialect]
     for key, value in spelling.items():
         columns = columns.replace("{" + key + "}", value)
-    return f"SELECT {columns} FROM {source}{_WHERE.get(name, '')}"
+    return f"SELECT {columns} FROM {source}"
 
 
 def _duck(name: str) -> str:

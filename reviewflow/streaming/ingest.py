@@ -66,11 +66,13 @@ def run_ingest(mails: DataFrame, path: str, process: Callable[[DataFrame], DataF
                         .join(send_if_small(batch.select("email_hash")), "email_hash",
                               "left_semi"))
         target = f"{path}/log/batch_id={batch_id}"
-        opened = decide(batch, known).filter(F.col("decision") != "skip") \
-            .withColumn("id", F.coalesce("session_id", "email_hash")) \
-            .withColumnRenamed("body", "email_content")
-        _write(opened, f"{target}/step=0")
-        batch.unpersist()
+        try:
+            opened = decide(batch, known).filter(F.col("decision") != "skip") \
+                .withColumn("id", F.coalesce("session_id", "email_hash")) \
+                .withColumnRenamed("body", "email_content")
+            _write(opened, f"{target}/step=0")
+        finally:
+            batch.unpersist()
         if process is not None:
             opened = raw.sparkSession.read.schema(_OPENED).parquet(f"{target}/step=0")
             done = process(opened.withColumnRenamed("id", "session_id")

@@ -5,85 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.functions.period import micros_between
 from reviewflow.operators.ingest import FRESH_SECONDS
+from reviewflow.operators.sessions import node_durations, open_starts
 from reviewflow.operators.workflow import FEEDBACK_STATES, _advance, last_action
-from reviewflow.streaming.runs import POLL, to_batches
+from reviewflow.streaming.runs import POLL, current, folded
 
-DELAY = "5 minutes"
 STEP = "5 minutes"
 
 
 def workflow_stream(feedback: DataFrame, path: str, trigger: str | None = POLL):
-    """Fold feedback into the last effective action of each session, one folder per poll.
-
-    A poll rewrites its own folder, so a repeated poll leaves the same state.
-    """
-    def poll(rows: DataFrame, batch_id: int) -> None:
-        kept = rows.filter(F.col("human_action").isin(*FEEDBACK_STATES))
+    """Fold feedback into the last effective action of each session, one current state."""
+    def fold(rows: DataFrame, state: DataFrame | None):
+        kept = rows.filter(F.col("human_action").isin(*FEEDBACK_STATES)) \
+                   .select("session_id", "created_at", "id", "human_action")
+        kept = kept if state is None else kept.unionByName(state)
         newest = F.max(F.struct("created_at", "id", "human_action")).alias("_last")
-        kept.groupBy("session_id").agg(newest).select("session_id", "_last.*") \
-            .write.mode("overwrite").parquet(f"{path}/actions/batch_id={batch_id}")
+        return kept.groupBy("session_id").agg(newest).select("session_id", "_last.*"), None
 
-    return to_batches(feedback, poll, path, trigger)
+    return folded(feedback, fold, path, trigger)
 
 
 def live_workflows(spark: SparkSession, workflows: DataFrame, path: str) -> DataFrame:
     """Workflow rows after everything folded so far; equals the batch operator on the whole log."""
-    actions = spark.read.parquet(f"{path}/actions")
-    last = last_action(actions, F.col("human_action"), FEEDBACK_STATES)
+    last = last_action(current(spark, path), F.col("human_action"), FEEDBACK_STATES)
     return _advance(workflows, last, FEEDBACK_STATES, ["workflow_state", "current_step"])
 
 
-def health_stream(sessions: DataFrame, time_col: str = "processing_started_at",
-                  length: str = "1 hour", step: str = STEP, delay: str = DELAY) -> DataFrame:
-    """Rows, failures and error rate of every ``length`` window, moved on by ``step``.
+def health_stream(sessions: DataFrame, path: str, time_col: str = "processing_started_at",
+                  step: str = STEP, trigger: str | None = POLL):
+    """Keep rows and failures per ``step``. Late rows are added to their step; none is dropped."""
+    def fold(rows: DataFrame, state: DataFrame | None):
+        new = rows.filter(F.col(time_col).isNotNull()).groupBy(F.window(time_col, step).start.alias("step")) \
+            .agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("errors"))
+        both = new if state is None else new.unionByName(state)
+        return both.groupBy("step").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors")), None
 
-    Rows are first counted per step, so a row is held once and only the small step counts are
-    repeated over the windows they belong to. Spark writes out one projection per window a step
-    belongs to, so ``length`` should be some tens of steps: a day goes by the hour.
-    """
-    steps = sessions.withWatermark(time_col, delay) \
-        .groupBy(F.window(time_col, step).alias("_step")) \
-        .agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("status") == "failed").alias("_bad"))
-    windows = steps.groupBy(F.window(F.window_time("_step"), length, step)) \
-        .agg(F.sum("_rows").alias("total"), F.sum("_bad").alias("errors"))
+    return folded(sessions, fold, path, trigger)
+
+
+def health_windows(steps: DataFrame, length: str = "1 hour", step: str = STEP) -> DataFrame:
+    """Rows, failures and error rate of every ``length`` window that has rows, moved on by ``step``, the
+    running ones included. Only the small step counts are repeated over their windows."""
+    windows = steps.groupBy(F.window("step", length, step)).agg(
+        F.sum("total").alias("total"), F.sum("errors").alias("errors"))
     return windows.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "total", "errors", F.bround(F.col("errors") / F.col("total") * 100, 1).alias("error_rate"))
 
 
-def feedback_stream(feedback: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Daily feedback totals, given out when a day is over."""
+def feedback_stream(feedback: DataFrame, path: str, trigger: str | None = POLL):
+    """Keep counts and sums per day. Late rows are added to their day; none is dropped."""
     acted = lambda a: F.count_if(F.col("human_action") == a).alias(f"{a}_count")
-    return feedback.withWatermark("created_at", delay) \
-        .groupBy(F.window("created_at", "1 day").alias("_day")).agg(
-            F.count(F.lit(1)).alias("total_feedback"), F.avg("human_rating").alias("avg_rating"),
-            acted("approved"), acted("edited"), acted("rejected"),
-            F.avg("final_quality_score").alias("avg_quality_score")) \
-        .select(F.to_date("_day.start").alias("feedback_date"), "total_feedback", "avg_rating",
-                "approved_count", "edited_count", "rejected_count", "avg_quality_score")
+    sums = ("total_feedback", "ratings", "rating_sum", "approved_count", "edited_count", "rejected_count",
+            "scores", "score_sum")
+
+    def fold(rows: DataFrame, state: DataFrame | None):
+        new = rows.groupBy(F.to_date("created_at").alias("feedback_date")).agg(
+            F.count("*").alias("total_feedback"), F.count("human_rating").alias("ratings"),
+            F.sum("human_rating").alias("rating_sum"), acted("approved"), acted("edited"), acted("rejected"),
+            F.count("final_quality_score").alias("scores"), F.sum("final_quality_score").alias("score_sum"))
+        both = new if state is None else new.unionByName(state)
+        return both.groupBy("feedback_date").agg(*[F.sum(c).alias(c) for c in sums]), None
+
+    return folded(feedback, fold, path, trigger)
 
 
-def node_duration_stream(starts: DataFrame, ends: DataFrame, delay: str = DELAY,
-                         longest: str = "1 hour") -> DataFrame:
-    """Durations as the end marks arrive; an end without a start gives nothing.
+def feedback_days(days: DataFrame) -> DataFrame:
+    """Daily feedback totals, the running day included."""
+    return days.select(
+        "feedback_date", "total_feedback", (F.col("rating_sum") / F.col("ratings")).alias("avg_rating"),
+        "approved_count", "edited_count", "rejected_count",
+        (F.col("score_sum") / F.col("scores")).alias("avg_quality_score"))
 
-    ``starts`` and ``ends``: session_id, node_name, run, at; ends also carry success. A run lasts
-    at most ``longest``, which bounds the marks that are remembered.
+
+def node_duration_stream(marks: DataFrame, path: str, trigger: str | None = POLL):
+    """Durations as the end marks arrive, by the same pairing as ``node_durations``.
+
+    Starts that wait for their end are the state, however long they wait. Marks of a run are expected in
+    the order of time over polls; within a poll they are put in order.
     """
-    keys = ["session_id", "node_name", "run"]
-    a = starts.withWatermark("at", delay).select(*keys, F.col("at").alias("started_at"))
-    b = ends.withWatermark("at", delay).select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("at").alias("completed_at"), "success")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    in_time = (F.col("completed_at") >= F.col("started_at")) & \
-              (F.col("completed_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
-    return a.join(b, same & in_time).select(
-        *keys, "started_at", "completed_at", "success", F.floor(micros_between(
-            F.col("completed_at"), F.col("started_at")) / 1000).cast("int").alias("duration_ms"))
+    names = ["session_id", "node_name", "run", "mark", "at", "success"]
+
+    def fold(rows: DataFrame, state: DataFrame | None):
+        known = rows.select(*names) if state is None else rows.select(*names).unionByName(state)
+        return open_starts(known), node_durations(known)
+
+    return folded(marks, fold, path, trigger)
+
+
+def late_counts(events: DataFrame, time_col: str, arrived: Column | None = None,
+                seconds: int = FRESH_SECONDS) -> DataFrame:
+    """Events and how many of them ``drop_late`` leaves out, by the hour of their time."""
+    kept = drop_late(events.withColumn("_row", F.lit(True)), time_col, arrived, seconds)
+    hour = F.date_trunc("hour", time_col)
+    return events.groupBy(hour.alias("hour")).agg(F.count("*").alias("events")).join(
+        kept.groupBy(hour.alias("hour")).agg(F.count("*").alias("_kept")), "hour", "left") \
+        .select("hour", "events", (F.col("events") - F.coalesce("_kept", F.lit(0))).alias("late"))
 
 
 def drop_late(events: DataFrame, time_col: str, arrived: Column | None = None,

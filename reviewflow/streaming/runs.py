@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 POLL = "60 seconds"
@@ -30,6 +31,42 @@ def to_batches(stream: DataFrame, fold: Callable[[DataFrame, int], None], path:
     return _triggered(writer, trigger).start()
 
 
+def folded(stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], tuple], path: str,
+           trigger: str | None = POLL) -> StreamingQuery:
+    """Fold every micro-batch into a state kept as a table.
+
+    ``fold(rows, state)`` gives the next state and rows to give out, or None. A poll reads the state of
+    the poll before and overwrites its own folders, so a repeated poll leaves the same; the state before
+    that one is deleted.
+    """
+    def poll(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id else None
+        rows.persist()
+        try:
+            state, out = fold(rows, before)
+            if out is not None:
+                out.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+            state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
+        if batch_id > 1:
+            _delete(spark, f"{path}/state/batch_id={batch_id - 2}")
+
+    return to_batches(stream, poll, path, trigger)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the last poll of ``folded``."""
+    last = spark.read.parquet(f"{path}/state").agg(F.max("batch_id")).first()[0]
+    return spark.read.parquet(f"{path}/state/batch_id={last}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:

@@ -183,11 +183,13 @@ def test_doc_text_order_and_depth(spark):
         {"tableCells": [{"content": [c]} for c in cells]}]}}
     flat = [para("a"), table(para("b"), para("c")), para("d")]
     deep = para("x")
-    for _ in range(4):
-        deep = table(deep)
-    df = spark.createDataFrame([(1, json.dumps(flat)), (2, json.dumps([deep]))],
-                               "id INT, content STRING")
-    assert rows(rv.doc_text(df)) == [(1, "abcd", False), (2, "", True)]
+    for n in range(40):
+        deep = table(para(str(n % 10)), deep)
+    odd = [{"paragraph": {"elements": [{"textRun": None}, {}, None]}}, {"table": None}, None, {"table": {}}]
+    df = spark.createDataFrame([(1, json.dumps(flat)), (2, json.dumps([deep])), (3, None), (4, "[broken"),
+                                (5, json.dumps(odd)), (6, "7")], "id INT, content STRING")
+    assert rows(rv.doc_text(df)) == [
+        (1, "abcd"), (2, "9876543210" * 4 + "x"), (3, ""), (4, ""), (5, ""), (6, "")]
 
 
 def test_decode_vector(spark):

@@ -24,7 +24,7 @@ from reviewflow.session import scratch_dir
 from reviewflow.sources import logs
 from reviewflow.streaming import ingest as si
 from reviewflow.streaming import live
-from reviewflow.streaming.runs import finish, to_files
+from reviewflow.streaming.runs import current, finish, to_files
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -44,6 +44,33 @@ def test_left_join_many_equals_left_join(spark, hot_rows):
     assert rows(got) == rows(want)
 
 
+def test_a_hot_key_of_equal_rows_is_spread_evenly(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y")], "id INT, name STRING")
+    right = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).alias("session_id"),
+                                                   (F.col("id") % 2).cast("string").alias("action"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        joined = left_join_many(left, right, "id", "session_id", 10_000)
+        sizes = [v[1] for v in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1_000_001 and len(sizes) > 40
+        # A task may hold several of the hundred parts, each a hundredth of the rows.
+        assert max(sizes) <= 6 * 10_000 + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_hot_by_bytes(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,)], "id INT")
+    right = spark.createDataFrame([(1, "x" * 400)] * 9 + [(2, None)], "session_id INT, draft STRING")
+    got = left_join_many(left, right, "id", "session_id", part_bytes=1000)
+    want = left.join(right, F.col("id") == F.col("session_id"), "left").drop("session_id")
+    assert rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("hot_rows", [1, 2])
 def test_session_summary_under_skew(spark, t, hot_rows):
     assert rows(s.session_summary(t, hot_rows=hot_rows)) == rows(s.session_summary(t))
@@ -89,6 +116,24 @@ def test_number_in_group(spark, run):
     assert seen == {"a": list(range(1, 26)), "b": [1], None: [1, 2]}
 
 
+def test_number_in_group_by_text_and_sparse_ids(spark):
+    keys = [f"{(i * 7919) % 1000:03d}-{i:05d}" for i in range(300)] + ["", "\u00e9", "000-00000-later"]
+    df = spark.createDataFrame([("a", k) for k in keys] + [("b", "x")], "g STRING, id STRING")
+    got = {v.id: v.n for v in number_in_group(df, ["g"], "id", "n", 20).filter("g = 'a'").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda v: v[1])] == sorted(keys, key=str.encode)
+    far = spark.createDataFrame([("a", i * (1 << 50)) for i in range(-40, 40)], "g STRING, id BIGINT")
+    got = {v.id: v.n for v in number_in_group(far, ["g"], "id", "n", 10).collect()}
+    assert [got[i * (1 << 50)] for i in range(-40, 40)] == list(range(1, 81))
+
+
+def test_versions_by_text_id(spark):
+    kinds = "id STRING, prompt_name STRING, version INT"
+    old = spark.createDataFrame([("x", "a", 3), ("y", "a", 1)], kinds)
+    new = spark.createDataFrame([("k2", "a"), ("k10", "a"), ("k1", "b")], "id STRING, prompt_name STRING")
+    assert rows(p.assign_versions(old, new).select("id", "version")) == [("k1", 1), ("k10", 4), ("k2", 5)]
+    assert p.assign_versions(old, new.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("sent,block", [(1000, 64), (0, 64), (0, 7), (0, 1000)])
 def test_top_k_against_brute_force(spark, sent, block):
     rng = np.random.default_rng(3)
@@ -107,13 +152,6 @@ def test_top_k_against_brute_force(spark, sent, block):
     assert rows(got.select("query_id", "vec_id", "rank")) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("sent,block", [(0, 20), (0, 7), (0, 10000), (3, 50)])
-def test_match_client_blocks(spark, t, sent, block):
-    folders = t["benchmark"].select(F.col("item_id").alias("folder_id"), F.col("text").alias("name"))
-    assert rows(rv.match_client(t["mails"], folders, broadcast_rows=sent, block=block)) == \
-        rows(rv.match_client(t["mails"], folders))
-
-
 def test_match_client_examples(spark):
     folders = spark.createDataFrame([(1, "Crm Works - Jo Varga"), (2, "Ringfield"), (3, "Jo")],
                                     "folder_id INT, name STRING")
@@ -210,7 +248,8 @@ def test_seed_twice_changes_nothing(spark):
     templates, versions = p.seed_prompts(t0, defaults)
     assert rows(templates) == [("a", "c"), ("b", "c")]
     assert rows(versions.filter("is_active").select("prompt_name", "version", "content")) == [
-        ("a", 1, "da"), ("b", 1, "db")]
+        ("a", 3, "da"), ("b", 1, "db")]
+    assert versions.groupBy("prompt_name", "version").count().filter("count > 1").count() == 0
     again = p.seed_prompts({"prompt_templates": templates, "prompt_versions": versions}, defaults)
     assert rows(again[0]) == rows(templates) and rows(again[1]) == rows(versions)
 
@@ -270,6 +309,13 @@ def test_node_durations_need_both_marks(spark):
          ("s", "n", 2, "end", at(2), True), ("s", "n", 3, "start", at(2), None)],
         "session_id STRING, node_name STRING, run INT, mark STRING, at TIMESTAMP, success BOOLEAN")
     assert rows(s.node_durations(marks).select("run", "duration_ms", "success")) == [(1, 2000, True)]
+    assert rows(s.open_starts(marks).select("run")) == [(3,)]
+    again = spark.createDataFrame(
+        [("s", "n", 1, m, at(n), ok) for m, n, ok in [
+            ("start", 0, None), ("end", 5, True), ("start", 9, None), ("start", 20, None), ("end", 21, False),
+            ("end", 22, True), ("start", 30, None), ("end", 30, True)]], marks.schema)
+    assert rows(s.node_durations(again).select("duration_ms", "success")) == [
+        (0, True), (1000, False), (5000, True)]
 
 
 def test_crm(spark):
@@ -357,8 +403,9 @@ def test_workflow_stream_equals_batch(spark, t):
     fb = t["quality_feedback"].withColumn("created_at", F.col("created_at").cast("timestamp"))
     path = scratch_dir(spark, "wf-test")
     finish(live.workflow_stream(in_files(fb, f"{path}/in", "created_at"), f"{path}/out", None))
-    assert len({v.batch_id for v in spark.read.parquet(f"{path}/out/actions").select("batch_id")
-                .distinct().collect()}) == 3
+    # Only the state of the last two polls is left.
+    assert {v.batch_id for v in spark.read.parquet(f"{path}/out/state").select("batch_id")
+            .distinct().collect()} == {1, 2}
     assert rows(live.live_workflows(spark, t["email_workflows"], f"{path}/out")) == \
         rows(w.workflow_from_feedback(t["email_workflows"], t["quality_feedback"]))
 
@@ -366,14 +413,35 @@ def test_workflow_stream_equals_batch(spark, t):
 def test_feedback_stream_in_polls_equals_one_poll(spark, t):
     fb = t["quality_feedback"].withColumn("created_at", F.col("created_at").cast("timestamp"))
     path = scratch_dir(spark, "fb-test")
-    finish(to_files(live.feedback_stream(in_files(fb, f"{path}/in", "created_at")),
-                    f"{path}/out", None))
-    got = spark.read.parquet(f"{path}/out/rows")
-    last = fb.agg(F.max("created_at")).first()[0].date()
-    want = r.feedback_daily(t).filter(F.col("feedback_date") < F.lit(last))
+    finish(live.feedback_stream(in_files(fb, f"{path}/in", "created_at"), f"{path}/out", None))
+    got = live.feedback_days(current(spark, f"{path}/out"))
+    want = r.feedback_daily(t)
     assert rows(got.drop("avg_quality_score")) == rows(want.drop("avg_quality_score"))
 
 
+def test_duration_stream_equals_batch_over_polls(spark, t):
+    from reviewflow.plans.review import node_marks
+
+    marks = node_marks(t).withColumn("at", F.col("at").cast("timestamp"))
+    path = scratch_dir(spark, "marks-test")
+    finish(live.node_duration_stream(in_files(marks, f"{path}/in", "at", 5), f"{path}/out", None))
+    got = spark.read.parquet(f"{path}/out/rows").drop("batch_id")
+    want = s.node_durations(marks)
+    assert rows(got) == rows(want) and want.filter("duration_ms > 3600000").count() > 0
+
+
+def test_wrong_vectors_and_late_counts(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0]), (4, None)],
+                               "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    got = rv.top_k_threads(df, df, 1, skip_self=True)
+    assert rows(got.select("query_id", "vec_id")) == [(1, 2), (2, 1)]
+    good, bad = rv.valid_threads(df.withColumnRenamed("embedding", "$vector"), ("vec_id", "$vector"), 2)
+    assert rows(good.select("vec_id")) == [(1,), (2,)]
+    assert rows(bad.select("vec_id", F.array_join("missing", ","))) == [(3, "$vector"), (4, "$vector")]
+    events = spark.createDataFrame([(DAY, DAY), (DAY, DAY + dt.timedelta(hours=9))], "ts TIMESTAMP, seen TIMESTAMP")
+    assert rows(live.late_counts(events, "ts", F.col("seen"))) == [(DAY, 2, 1)]
+
+
 RAW = "message_id STRING, subject STRING, senders ARRAY<STRUCT<email: STRING, name: STRING>>, " \
       "body STRING, snippet STRING, received_at TIMESTAMP"
 
