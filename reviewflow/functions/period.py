@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewflow.schemas import DAY, LOG_TIME
+
 _UNITS = {"minutes": "MINUTES", "hours": "HOURS", "days": "DAYS", "months": "MONTHS"}
 
 
@@ -30,7 +32,18 @@ def within(df: DataFrame, time_col: str, as_of=None, n: int = 30, unit: str = "d
     """
     start = before(as_of, df, as_of_from or time_col, n, unit)
     col = F.col(time_col)
-    return df.filter(col >= start if closed else col > start)
+    return since_day(df, time_col, start).filter(col >= start if closed else col > start)
+
+
+def since_day(df: DataFrame, time_col: str, start: Column, nulls: bool = False) -> DataFrame:
+    """Cut a log in day folders (column ``day``) to the folders from the day of ``start`` on.
+
+    Only where the folders go by ``time_col``, the log's own time. ``nulls`` keeps rows without day.
+    """
+    if DAY not in df.columns or time_col not in set(LOG_TIME.values()):
+        return df
+    recent = F.col(DAY) >= F.to_date(start)
+    return df.filter(recent | F.col(DAY).isNull() if nulls else recent)
 
 
 def before(as_of, df: DataFrame, time_col: str, n: int, unit: str) -> Column:

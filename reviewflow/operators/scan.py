@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewflow.functions.binding import let
@@ -61,17 +61,14 @@ def _line_feeds(text: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (type, line, match). The line counts the line feeds of the pieces before a match."""
+    """Array of (type, place, line feeds before it since the last match, own line feeds, match)."""
     regex = F.lit(f"(?i){pattern}")
     found = F.regexp_extract_all(text, regex, F.lit(0))
     between = F.transform(F.split(text, f"(?i){pattern}", -1), _line_feeds)
-    inside = F.transform(found, _line_feeds)
-    upto = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0),
-                                         lambda total, x: total + x)
-    return F.transform(found, lambda match, i: F.struct(
-        F.lit(kind).alias("type"),
-        (F.lit(1) + upto(between, i + 1) + upto(inside, i)).alias("line"),
-        match.alias("match")))
+    return F.transform(F.arrays_zip(found.alias("match"), F.slice(between, F.lit(1), F.size(found)).alias("since")),
+                       lambda m, i: F.struct(F.lit(kind).alias("type"), i.alias("place"),
+                                             m["since"].alias("since"),
+                                             _line_feeds(m["match"]).alias("own"), m["match"].alias("match")))
 
 
 def scan_patterns(docs: DataFrame, patterns: dict[str, str] | None = None, id_col: str = "doc_id",
@@ -79,11 +76,12 @@ def scan_patterns(docs: DataFrame, patterns: dict[str, str] | None = None, id_co
     """Every match of every pattern: id, type, line, match.
 
     ``words`` names for a pattern a lower-case word that each of its matches holds; texts without
-    it are not searched for that pattern.
+    it are not searched for that pattern. The line is a running count over the matches of a text, so a text
+    with very many matches costs no more per match; only matches are shuffled.
     """
     patterns = UNSAFE_QUERY_PATTERNS if patterns is None else patterns
     words = words or {}
-    none = F.array().cast("array<struct<type:string,line:int,match:string>>")
+    none = F.array().cast("array<struct<type:string,place:int,since:int,own:int,match:string>>")
 
     def search(text, low):
         return F.concat(*[
@@ -94,7 +92,12 @@ def scan_patterns(docs: DataFrame, patterns: dict[str, str] | None = None, id_co
     low = F.lower(text_col) if words else F.lit("")
     found = let(F.struct(F.col(text_col).alias("text"), low.alias("low")),
                 lambda v: search(v["text"], v["low"]))
-    return docs.filter(F.col(text_col).isNotNull()).select(id_col, F.inline(found))
+    numbered = docs.filter(F.col(text_col).isNotNull()) \
+        .withColumn("_text", F.monotonically_increasing_id())
+    hits = numbered.select(id_col, "_text", F.inline(found))
+    so_far = Window.partitionBy("_text", "type").orderBy("place")
+    line = F.lit(1) + F.sum(F.col("since") + F.col("own")).over(so_far) - F.col("own")
+    return hits.select(id_col, "type", line.cast("int").alias("line"), "match")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

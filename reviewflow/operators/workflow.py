@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.functions.period import before
+from reviewflow.functions.period import before, since_day
 from reviewflow.functions.text import before_underscore
 from reviewflow.operators.joins import send_if_small
 from reviewflow.schemas import SESSION_CHILDREN
@@ -92,8 +92,8 @@ def touch(df: DataFrame, changed: Column, as_of, column: str = "updated_at") ->
 
 def drop_old(df: DataFrame, as_of=None, days: int = 90, time_col: str = "created_at") -> DataFrame:
     """Retention: rows of the last ``days`` days. A row exactly that old stays."""
-    stamp = F.col(time_col)
-    return df.filter(stamp.isNull() | (stamp >= before(as_of, df, time_col, days, "days")))
+    stamp, edge = F.col(time_col), before(as_of, df, time_col, days, "days")
+    return since_day(df, time_col, edge, nulls=True).filter(stamp.isNull() | (stamp >= edge))
 
 
 def archive(sessions: DataFrame, as_of=None, months: int = 6) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.schemas import LOG_SCHEMAS, LOG_TIME, schema
-
-DAY = "day"
+from reviewflow.schemas import DAY, LOG_SCHEMAS, LOG_TIME, schema
 
 
 def load_tables(spark: SparkSession, path: str, names=tuple(LOG_SCHEMAS)) -> dict[str, DataFrame]:

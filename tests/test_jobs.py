@@ -502,3 +502,40 @@ def test_session_state_over_polls(spark):
     got = spark.read.parquet(f"{path}/out/rows").select("message_id", "decision", "copies", "status")
     assert rows(got) == [("m1", "new", 2, "processing"), ("m2", "skip", 1, "completed"),
                          ("m3", "new", 1, "processing"), ("m4", "retry", 1, "processing")]
+
+
+def test_deep_page_and_seek(spark):
+    df = spark.range(0, 50_000).select((F.col("id") * 7919 % 50_000).alias("k"), F.col("id").alias("i"))
+    df = df.unionByName(spark.createDataFrame([(None, -1), (None, -2)], df.schema))
+    for number in (1, 3, 300, 500, 501):
+        want = df.orderBy("k", "i").offset((number - 1) * 100).limit(100)
+        assert [tuple(v) for v in crm.page(df, ["k", "i"], number, 100).collect()] == \
+            [tuple(v) for v in want.collect()]
+    known = df.filter("k IS NOT NULL")
+    first = crm.page_after(known, ["k", "i"], None, 10).collect()
+    second = crm.page_after(known, ["k", "i"], list(first[-1]), 10).collect()
+    assert [v.k for v in first + second] == list(range(20))
+
+
+def test_period_queries_read_only_their_days(spark):
+    path = scratch_dir(spark, "days-test")
+    made = [(str(n), "s", DAY + dt.timedelta(days=n)) for n in range(100)]
+    logs.append_log(spark.createDataFrame(made, "id STRING, session_id STRING, created_at TIMESTAMP"), path,
+                    "quality_feedback")
+    log = logs.load_tables(spark, path, ["quality_feedback"])["quality_feedback"]
+    for cut, n in ((within(log, "created_at", None, 7), 7), (within(log, "created_at", DAY, 7, closed=True), 100),
+                   (w.drop_old(log, DAY + dt.timedelta(days=99), 9), 10)):
+        assert cut.count() == n
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan.split("Subquery")[0]
+
+
+def test_scan_of_a_text_with_very_many_matches(spark):
+    from reviewflow.operators.scan import scan_patterns
+
+    df = spark.createDataFrame([(1, "x\n" * 100_000), (1, "\n\nx x\nx")], "doc_id INT, text STRING")
+    got = scan_patterns(df, {"x": "x"})
+    assert got.count() == 100_003 and got.agg(F.max("line")).first()[0] == 100_000
+    few = scan_patterns(df.filter("length(text) < 10"), {"x": "x", "gap": "\\n+"})
+    assert rows(few.select("type", "line", "match")) == [
+        ("gap", 1, "\n\n"), ("gap", 3, "\n"), ("x", 3, "x"), ("x", 3, "x"), ("x", 4, "x")]
