@@ -38,7 +38,8 @@ UNSAFE_QUERY_PATTERNS = {
 }
 REPORT_CHARS = 50
 
-# The labels, and phrases that stand for each in order of priority.
+# The labels and their order. The phrases are cues of this library, made up to stand in for a
+# choice of a model.
 LABEL_RULES = (
     ("No Guests", ("do not allow guests", "don't allow guests", "do not take guests",
                    "no guests")),

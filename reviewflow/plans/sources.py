@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from reviewflow.plans.registry import query
+from reviewflow.schemas import DAY, LOG_SCHEMAS, LOG_TIME, schema
 from reviewflow.session import scratch_dir
 from reviewflow.sources import logs
-from reviewflow.sources.driver_tables import LOG_TABLES
+from reviewflow.sources.driver_tables import COLUMNS, LOG_TABLES
+
+def derived(name: str) -> list[tuple[str, str]]:
+    """Names and types of the fixed schema's columns that the driver's tables fill."""
+    return [(c, kind) for c, kind in re.findall(r"(\w+) ([A-Z]+(?:\(\d+,\d+\))?)", LOG_SCHEMAS[name])
+            if c in COLUMNS[name]]
+
+
+def stored(t, name: str):
+    """The table written as its part of the log and read back with its fixed schema.
+
+    These logs span years with a few rows a day, so they are written without folders per day; ``s4``
+    appends by day.
+    """
+    path, rows = scratch_dir(t.spark, "tables"), t[name]
+    fixed = rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema(name).fields])
+    if name in LOG_TIME:
+        fixed = fixed.withColumn(DAY, F.to_date(LOG_TIME[name]))
+    fixed.write.parquet(f"{path}/{name}")
+    back = logs.load_tables(t.spark, path, [name])[name]
+    return back.select(*[
+        F.col(c).cast("timestamp_ntz").alias(c) if kind == "TIMESTAMP" else F.col(c)
+        for c, kind in derived(name)])
+
+
+def _checked(name: str) -> str:
+    casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in derived(name))
+    return f"SELECT {casts} FROM {name}"
+
 
 for _table in LOG_TABLES:
-    if _table != "email_threads":
-        query(f"s1_{_table}", f"SELECT * FROM {_table}")(lambda t, name=_table: t[name])
-query("s1_email_threads", "SELECT vec_id, email_thread, len(embedding) AS size FROM email_threads")(
-    lambda t: t["email_threads"].select("vec_id", "email_thread",
-                                        F.size("embedding").cast("long").alias("size")))
+    if _table in LOG_SCHEMAS:
+        query(f"s1_{_table}", _checked(_table))(lambda t, name=_table: stored(t, name))
+query("s1_mails", "SELECT * FROM mails")(lambda t: t["mails"])
+# Vectors are compared by whole numbers made of all their elements.
+query("s1_email_threads", """
+    SELECT vec_id, email_thread, len(embedding) AS size, CAST(list_sum(list_transform(embedding,
+        lambda x, i: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) * i)) AS BIGINT) AS elements
+    FROM email_threads""")(
+    lambda t: t["email_threads"].select(
+        "vec_id", "email_thread", F.size("embedding").cast("long").alias("size"),
+        F.aggregate(F.transform("embedding", lambda x, i: F.floor(x.cast("double") * 1000000) * (i + 1)),
+                    F.lit(0).cast("long"), lambda total, x: total + x).alias("elements")))
 
 query("s2_run_query", """
     SELECT status, count(*) AS sessions FROM email_sessions

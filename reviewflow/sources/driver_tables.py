@@ -6,6 +6,7 @@ are read with fixed schemas and only when asked for.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,19 @@ _SHARED = {
         l_shipdate AS created_at"""),
     "system_metrics": ("events", """
         event_type AS metric_name, value AS metric_value, props AS tags, ts AS timestamp"""),
+    "audit_logs": ("events", """
+        event_id AS id, concat('user', user_id) AS user_id, event_type AS action,
+        'session' AS resource_type, CAST(floor(event_id / 2.0E0) AS BIGINT) AS resource_id,
+        props AS new_values, ts AS timestamp, event_type <> 'error' AS success,
+        CASE WHEN event_type = 'error' THEN props END AS error_message"""),
+    "ab_test_configs": ("part", """
+        p_partkey AS id, concat('test ', p_size) AS test_name, p_brand AS prompt_name,
+        p_partkey AS variant_a_version_id, p_partkey + 1 AS variant_b_version_id,
+        CAST((p_partkey % 100) / 100.0E0 AS DECIMAL(3,2)) AS traffic_split,
+        p_partkey % 3 = 0 AS is_active, p_type AS created_by"""),
+    "user_sessions": ("orders", """
+        o_orderkey AS id, concat('user', o_custkey) AS user_id,
+        concat('token ', o_orderkey) AS session_token, o_orderdate AS created_at"""),
     "mails": ("documents", """
         doc_id AS message_id, substr(text, 1, 40) AS subject, text AS body,
         substr(text, 1, 100) AS snippet,
@@ -152,6 +166,19 @@ _TEMPLATE_SQL = """CASE WHEN draft_length < 100 THEN 0.2E0 WHEN draft_length < 2
         ELSE 0.6E0 END"""
 
 
+def _items(columns: str) -> list[str]:
+    """Items of a select list, each on one line."""
+    out, depth, item = [], 0, ""
+    for c in " ".join(columns.split()):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(item.strip())
+            item = ""
+        else:
+            item += c
+    return [*out, item.strip()]
+
+
 def _select(name: str, dialect: str) -> str:
     source, columns = _SHARED[name]
     spelling = _SPELLING[dialect]
@@ -175,6 +202,13 @@ def _duck(name: str) -> str:
 
 
 LOG_TABLES = (*_SHARED, "prompt_templates")
+# Names of the derived columns, in order.
+COLUMNS = {name: re.findall(r"(?:^|AS\s+)([a-z_]+)\s*$", text, re.M) for name, text in {
+    name: "\n".join(_items(columns)) for name, (_, columns) in _SHARED.items()}.items()}
+COLUMNS["prompt_templates"] = ["prompt_name", "category"]
+COLUMNS["prompt_versions"].append("version")
+COLUMNS["quality_feedback"].append("final_quality_score")
+COLUMNS["draft_generations"].append("template_adherence_score")
 DUCK = {name: _duck(name) for name in LOG_TABLES}
 
 
@@ -222,8 +256,6 @@ class Tables(Mapping):
 
 def with_tables(sql: str) -> str:
     """Checker SQL with the derived tables it names put in front as common table expressions."""
-    import re
-
     words = set(re.findall(r"[a-z_]+", sql))
     used = [name for name in LOG_TABLES if name in words]
     if not used:
