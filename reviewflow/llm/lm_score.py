@@ -41,7 +41,7 @@ BASE = 1.5
 LEVELS = 64
 BITS, PROBES = 8, 5
 #: Bytes of text for which one more bucket is made; n-grams held by a task before it sends them.
-BUCKET_BYTES, HELD = 8 << 20, 4_000_000
+BUCKET_BYTES, HELD = 4 << 20, 1_000_000
 WORD_BYTES, PART_BYTES = 64 << 20, 80 << 20
 HEAD = 1 << 20
 #: Stands for the end of a text, and for the place before its first word.

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text worked on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Stands for a null id, after every other id.
 LAST_ID = (1 << 63) - 1
 
