@@ -319,32 +319,31 @@ def noded(docs: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id (never null), node, class_id, group_id and links of each row."""
+    """doc_id (never null), node, label of the group, exact_id, class_id and links of each row."""
     own = noded(docs)
     work = _Work(docs.sparkSession)
     ids = work.keep(own.select("doc_id", "node"))
     edges, labels = links(own.select("node", "text"), least)
     n = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))) \
              .groupBy("node").agg(F.count("*").alias("links"))
-    classes = ids.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    classes = ids.groupBy("node").agg(F.min("doc_id").alias("exact_id"))
     named = classes.join(labels, "node", "left").join(n, "node", "left").select(
-        "node", "class_id", F.coalesce("label", "node").alias("label"),
+        "node", "exact_id", F.coalesce("label", "node").alias("label"),
         F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    groups = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    named = work.keep(named.join(groups, "label").select("node", "class_id", "group_id", "links"))
+    groups = named.groupBy("label").agg(F.min("exact_id").alias("class_id"))
+    named = work.keep(named.join(groups, "label").select("node", "label", "exact_id", "class_id", "links"))
     return ids.join(named, "node")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, group_id, links, kept.
+    """One row per row of ``docs``: doc_id, exact_id, class_id, links, kept.
 
-    ``class_id``: least id of the documents with the same text; ``group_id``: least id of the
+    ``exact_id``: least id of the documents with the same text; ``class_id``: least id of the
     documents connected by links; ``links``: links of the text to other texts that were checked (a
     group of n texts has at least n - 1 of them); ``kept``: the document that stands for its group.
     """
-    null_last = F.when(F.col("doc_id") < LAST_ID, F.col("doc_id"))
-    return grouped(docs, least).select(null_last.alias("doc_id"), "class_id", "group_id", "links",
-                                       (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    ids = [F.when(F.col(c) < LAST_ID, F.col(c)).alias(c) for c in ("doc_id", "exact_id", "class_id")]
+    return grouped(docs, least).select(*ids, "links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -352,7 +351,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.select(F.struct(*docs.columns).alias("doc"),
                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"),
                       F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"))
-    kept = grouped(docs).where("doc_id = group_id").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    rows = grouped(docs).groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "node", "n")).alias("k")).select("k.*")
     out = own.join(kept, ["doc_id", "node"], "left_semi")
     if kept.where("n > 1").limit(1).count():  # rows that are repeated as a whole
         out = out.dropDuplicates(["doc_id", "node"])

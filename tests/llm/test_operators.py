@@ -312,7 +312,7 @@ def test_chat_ranks_the_branches_of_a_tree(spark):
 # Near duplicates
 
 def test_near_duplicates_against_all_pairs(docs, by_id):
-    got = keyed(near_dups.near_duplicates(docs), "group_id")
+    got = keyed(near_dups.near_duplicates(docs), "class_id")
     assert {i: g for i, (g,) in got.items()} == plain.groups(by_id)
 
 
@@ -333,7 +333,7 @@ def test_large_groups_and_chains(spark):
     for i in range(230, 330):
         rows[i] = " ".join([*(f"s{j}" for j in range(70)), *(f"o{i}_{j}" for j in range(14))])
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(7)
-    got = keyed(near_dups.near_duplicates(df), "group_id")
+    got = keyed(near_dups.near_duplicates(df), "class_id")
     assert {i: g for i, (g,) in got.items()} == plain.groups(rows)
 
 
@@ -351,12 +351,17 @@ def test_signature_agreement_is_the_weighted_similarity():
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     rows = near_dups.near_duplicates(odd).collect()
     assert len(rows) == len(plain.ODD)
-    got = {r.doc_id: (r.class_id, r.group_id) for r in rows}
+    got = {r.doc_id: (r.exact_id, r.class_id) for r in rows}
     assert got[5] == got[6] == (5, 5) and got[9] == got[10] == (9, 9) and got[7] == (7, 7)
     left = near_dups.stage(spark, odd, "")
     assert left.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 5, 7, 8, 9, 11, 12]
     assert near_dups.near_duplicates(none).count() == 0
+    near = " ".join(f"n{i}" for i in range(60))
+    same_id = spark.createDataFrame([(1, near), (1, near + " more"), (1, "something else"), (2, near)],
+                                    "doc_id long, text string")
+    assert sorted(r.text for r in near_dups.stage(spark, same_id, "").collect()) in (
+        [near, "something else"], [near + " more", "something else"])
 
 
 # Language model
