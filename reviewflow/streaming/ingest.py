@@ -16,6 +16,8 @@ from reviewflow.operators.joins import send_if_small
 from reviewflow.streaming.runs import POLL, to_batches
 
 MEMORY = "1 hour"
+# Mail hashes of a poll that are put into the filter of the log's scan.
+SENT_HASHES = 1000
 
 # Log of session states: one row per change, in a folder per poll and step.
 _OPENED = """
@@ -41,8 +43,12 @@ def current_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_sessions(spark: SparkSession, path: str, out: str) -> None:
-    """Write the log anew with one row per session, as the start of a fresh log under ``out``."""
-    current_sessions(spark, path).drop("batch_id", "step").write.mode("errorifexists") \
+    """Write the log anew with one row per session, as the start of a fresh log under ``out``.
+
+    It is in the order of the mail hash, so a poll that names its hashes skips most of it.
+    """
+    current_sessions(spark, path).drop("batch_id", "step").repartitionByRange("email_hash") \
+        .sortWithinPartitions("email_hash").write.mode("errorifexists") \
         .parquet(f"{out}/log/batch_id=-1/step=0")
 
 
@@ -62,6 +68,9 @@ def run_ingest(mails: DataFrame, path: str, process: Callable[[DataFrame], DataF
         mail = intake(raw, keywords, ignore)
         batch = first_copies(mail, ["sender_name", "sender_email", "subject", "body"]).persist()
         seen = session_log(raw.sparkSession, path).filter(F.col("batch_id") < batch_id)
+        hashes = [v[0] for v in batch.select("email_hash").limit(SENT_HASHES + 1).collect()]
+        if len(hashes) <= SENT_HASHES:
+            seen = seen.filter(F.col("email_hash").isin(hashes))
         known = _newest(seen.select("id", "email_hash", "status", "batch_id", "step")
                         .join(send_if_small(batch.select("email_hash")), "email_hash",
                               "left_semi"))
