@@ -208,17 +208,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession, "packing")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes, level = narrow.rdd.getNumPartitions(), 0
+    level = 0
     narrow.mapInArrow(lambda it: _leaf(it, tokenizer_path, capacity), PIECES) \
           .write.parquet(f"{folder}/0")
     while True:
-        below = spark.read.schema(PIECES).parquet(f"{folder}/{level}")
-        level, nodes = level + 1, -(-nodes // FAN_IN)
-        last = nodes <= 1
-        below.where(~F.col("finished")).groupBy("node") \
-             .applyInArrow(_packer(level, last, capacity), PIECES).write.parquet(f"{folder}/{level}")
-        if last:
+        below = spark.read.schema(PIECES).parquet(f"{folder}/{level}").where(~F.col("finished"))
+        top = below.agg(F.max("node")).first()[0]
+        if top is None:
             break
+        level += 1
+        below.groupBy("node").applyInArrow(_packer(level, top == 0, capacity), PIECES) \
+             .write.parquet(f"{folder}/{level}")
     paths = [f"{folder}/{k}" for k in range(level + 1)]
     return spark.read.schema(PIECES).parquet(*paths).where("finished").select(*_NAMES[:7])
 
