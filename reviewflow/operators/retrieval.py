@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from reviewflow.operators.joins import block_count, blocked_pairs, send_if_small
 # Query vectors that may be sent to every executor: rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 16_384, 64 * 1024 * 1024
 VECTOR_BLOCK = 4096
+# Passes over the threads that a large batch of queries may take.
+MOST_PASSES = 64
 # Similarities a task holds at once: 32 MB.
 HELD_SIMILARITIES = 4_000_000
 # Similarities that agree to this many digits are a tie, which the lower id wins.
@@ -70,23 +73,18 @@ def top_k_threads(queries: DataFrame, threads: DataFrame, k: int = 2, query_id:
     """The k threads with the highest cosine similarity to each query vector.
 
     A batch of queries small enough to send (rows and bytes are checked) goes to every executor,
-    which keeps the best k of each query per partition; threads are read once and not shuffled.
-    A larger batch is compared block by block. Either way a task returns at most k rows per
-    query, and the best k of those remain.
+    which keeps the best k of each query per partition; threads are not shuffled. A larger batch goes in
+    some passes, and one beyond ``MOST_PASSES`` is compared block by block. In any case a task returns at
+    most k rows per query, and the best k of those remain.
     """
     schema = _schema(queries, threads, query_id, thread_id)
     # Vectors of another length than most threads have cannot be compared.
     length = threads.agg(F.mode(F.size(vector))).first()[0]
     queries, threads = (df.filter(F.size(vector) == F.lit(length)) for df in (queries, threads))
-    head = queries.select(query_id, vector).limit(broadcast_rows + 1).toPandas() \
-        if broadcast_rows else None
-    small = head is not None and len(head) <= broadcast_rows and \
-        sum(len(v) for v in head[vector]) * 8 <= BROADCAST_BYTES
-    if small:
-        if head.empty:
-            return threads.sparkSession.createDataFrame([], schema + ", rank int")
+
+    def searched(few: pd.DataFrame) -> DataFrame:
         sent = threads.sparkSession.sparkContext.broadcast(
-            (head[query_id].to_numpy(), _unit(head[vector])))
+            (few[query_id].to_numpy(), _unit(few[vector])))
 
         def partition(batches):
             query_ids, units = sent.value
@@ -104,7 +102,18 @@ def top_k_threads(queries: DataFrame, threads: DataFrame, k: int = 2, query_id:
             if kept is not None:
                 yield kept
 
-        found = threads.select(thread_id, vector).mapInPandas(partition, schema)
+        return threads.select(thread_id, vector).mapInPandas(partition, schema)
+
+    # Half a pass on average leaves room for chance.
+    n = queries.count()
+    held = min(broadcast_rows, BROADCAST_BYTES // (8 * max(1, length or 1)))
+    passes = -(-2 * n // held) if held and n > held else 1
+    if not n:
+        return threads.sparkSession.createDataFrame([], schema + ", rank int")
+    if held and passes <= MOST_PASSES:
+        place = F.pmod(F.xxhash64(query_id), F.lit(passes))
+        parts = (queries.select(query_id, vector).filter(place == i).toPandas() for i in range(passes))
+        found = reduce(DataFrame.union, [searched(p) for p in parts if not p.empty])
     else:
         blocks = (block_count(queries, block), block_count(threads, block))
 

@@ -99,10 +99,16 @@ query("t2_dedupe_stream", "SELECT CAST(message_id AS VARCHAR) AS message_id, bod
 query("t3_session_state", f"""
     SELECT email_hash, CAST(message_id AS VARCHAR) AS message_id, received_at, copies,
         'new' AS decision, 'processing' AS status FROM ({DUCK_ADMIT})""")(
-    lambda t: written(t, si.session_state(streams(t)["mails"].select(
-        F.lpad(F.col("message_id").cast("string"), 12, "0").alias("message_id"), "body",
-        "sender_email", "received_at")))
-    .withColumn("message_id", F.col("message_id").cast("long").cast("string")))
+    lambda t: decisions(t).withColumn("message_id", F.col("message_id").cast("long").cast("string")))
+
+
+def decisions(t):
+    path = scratch_dir(t.spark, "decisions")
+    mails = streams(t)["mails"].select(F.lpad(F.col("message_id").cast("string"), 12, "0").alias("message_id"),
+                                       "body", "sender_email", "received_at")
+    finish(si.session_state(mails, path, trigger=None))
+    return _retyped(t.spark.read.parquet(f"{path}/rows").drop("batch_id"), "timestamp", "timestamp_ntz")
+
 
 
 def live_state(t):

@@ -24,7 +24,7 @@ from reviewflow.session import scratch_dir
 from reviewflow.sources import logs
 from reviewflow.streaming import ingest as si
 from reviewflow.streaming import live
-from reviewflow.streaming.runs import current, finish, to_files
+from reviewflow.streaming.runs import current, finish
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -134,7 +134,7 @@ def test_versions_by_text_id(spark):
     assert p.assign_versions(old, new.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sent,block", [(1000, 64), (0, 64), (0, 7), (0, 1000)])
+@pytest.mark.parametrize("sent,block", [(1000, 64), (40, 64), (7, 64), (1, 64), (0, 64), (0, 7), (0, 1000)])
 def test_top_k_against_brute_force(spark, sent, block):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(60, 8)).astype("f4")
@@ -497,8 +497,7 @@ def test_session_state_over_polls(spark):
     closes = stream().filter("closed_as IS NOT NULL").select(
         email_hash(F.col("body"), F.col("sender_email")).alias("email_hash"), "closed_as",
         "received_at")
-    out = si.session_state(stream().filter("closed_as IS NULL"), closes)
-    finish(to_files(out, f"{path}/out", None))
+    finish(si.session_state(stream().filter("closed_as IS NULL"), f"{path}/out", closes, None))
     got = spark.read.parquet(f"{path}/out/rows").select("message_id", "decision", "copies", "status")
     assert rows(got) == [("m1", "new", 2, "processing"), ("m2", "skip", 1, "completed"),
                          ("m3", "new", 1, "processing"), ("m4", "retry", 1, "processing")]
