@@ -79,6 +79,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+_ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '</turn>', '\t'), '###', '\h')"
+_SQL["op5_chat_format"] = rf"""
+WITH extra(conv_id, turn, role, text) AS (
+  VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL FROM extra))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(length('### : </turn>') + 1 + length(replace({_ESCAPED.format("role")}, ':', '\c'))
+                + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id"""
+
 _SQL["op9_substring_dedup"] = """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),

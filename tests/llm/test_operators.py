@@ -271,6 +271,12 @@ def test_chat_reads_back_every_conversation(spark, small):
         assert got[i].loss_sha256 == sha(learned)
 
 
+def test_chat_matches_sql(spark, small):
+    _, n, verdict = compare(spark, duck(small), small, queries.op5_chat_format,
+                            queries.oracle_sql()["op5_chat_format"])
+    assert n and verdict == "ok"
+
+
 def test_chat_escapes_and_odd_rows(spark):
     texts = ["\\", "###", "\\h", "####", "</turn>\n", "</tu</turn>rn>", "\\### Assistant: </turn> ok", "", None,
              "ü\n\n### x: y</turn>\n\\b\\t\\"]
