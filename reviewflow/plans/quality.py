@@ -9,7 +9,7 @@ from reviewflow.operators import crm
 from reviewflow.operators import quality as q
 from reviewflow.operators import report as r
 from reviewflow.plans.registry import query, rounded
-from reviewflow.sources.driver_tables import LOG_TABLES
+from reviewflow.sources.driver_tables import COLUMNS, LOG_TABLES
 
 # Columns of the derived tables, which hold a part of each schema.
 _HELD = {
@@ -27,6 +27,7 @@ _HELD = {
     "prompt_versions": {"version", "content", "performance_score", "usage_count"},
     "prompt_usage": {"node_name", "execution_time_ms", "output_quality_score"},
     "system_metrics": {"metric_name", "metric_value"},
+    **{name: set(COLUMNS[name]) for name in ("audit_logs", "ab_test_configs", "user_sessions")},
 }
 
 
@@ -105,7 +106,11 @@ query("q3_check_unique", """
     SELECT 'prompt_templates', 'prompt_name', count(*)
     FROM (SELECT 1 FROM prompt_templates GROUP BY prompt_name HAVING count(*) > 1) UNION ALL
     SELECT 'prompt_versions', 'prompt_name, version', count(*)
-    FROM (SELECT 1 FROM prompt_versions GROUP BY prompt_name, version HAVING count(*) > 1)""")(
+    FROM (SELECT 1 FROM prompt_versions GROUP BY prompt_name, version HAVING count(*) > 1) UNION ALL
+    SELECT 'ab_test_configs', 'test_name', count(*)
+    FROM (SELECT 1 FROM ab_test_configs GROUP BY test_name HAVING count(*) > 1) UNION ALL
+    SELECT 'user_sessions', 'session_token', count(*)
+    FROM (SELECT 1 FROM user_sessions GROUP BY session_token HAVING count(*) > 1)""")(
     lambda t: q.check_unique(t))
 query("q3_duplicates", """
     SELECT text, sender_email, copies FROM (SELECT body AS text, sender_email, count(*) AS copies

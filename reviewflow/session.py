@@ -43,6 +43,12 @@ def configure(spark: SparkSession, large_state: bool = False,
     return spark
 
 
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of written tables, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from reviewflow.session import delete_dir
+
 POLL = "60 seconds"
 
 
@@ -51,7 +53,7 @@ def folded(stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], tupl
         finally:
             rows.unpersist()
         if batch_id > 1:
-            _delete(spark, f"{path}/state/batch_id={batch_id - 2}")
+            delete_dir(spark, f"{path}/state/batch_id={batch_id - 2}")
 
     return to_batches(stream, poll, path, trigger)
 
@@ -62,11 +64,6 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/state/batch_id={last}")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:
