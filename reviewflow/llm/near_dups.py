@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewflow.llm.words import LAST_ID, U, hashes_of, mixed, shingles, slices, split_words
-from reviewflow.session import scratch_dir
+from reviewflow.session import delete_dir, scratch_dir
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -216,6 +216,9 @@ class _Work:
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
+    def clear(self) -> None:
+        delete_dir(self.spark, self.folder)
+
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The texts of some nodes; their list is sent to the executors if it is short."""
@@ -282,13 +285,13 @@ def connected(work: _Work, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> tuple:
+def links(work: _Work, docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
+          per_band: int = ROWS) -> tuple:
     """Checked links between different texts and the group of each linked text.
 
     ``docs`` has node (a 16-byte hash of the text) and text. Gives (a, b, similarity) and
     (node, label). Links within a group that the others join anyway may be left out.
     """
-    work = _Work(docs.sparkSession)
     marks = work.keep(docs.where(F.length("text") > 0).mapInArrow(
         lambda it: _banded(it, bands, per_band), "node binary, bands array<bigint>, signature binary"))
     rows = work.keep(marks.select(F.explode("bands").alias("band"), "node").distinct())
@@ -321,9 +324,9 @@ def noded(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id (never null), node, label of the group, exact_id, class_id and links of each row."""
     own = noded(docs)
-    work = _Work(docs.sparkSession)
-    ids = work.keep(own.select("doc_id", "node"))
-    edges, labels = links(own.select("node", "text"), least)
+    result, work = _Work(docs.sparkSession), _Work(docs.sparkSession)
+    ids = result.keep(own.select("doc_id", "node"))
+    edges, labels = links(work, own.select("node", "text"), least)
     n = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))) \
              .groupBy("node").agg(F.count("*").alias("links"))
     classes = ids.groupBy("node").agg(F.min("doc_id").alias("exact_id"))
@@ -331,7 +334,8 @@ def grouped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "node", "exact_id", F.coalesce("label", "node").alias("label"),
         F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     groups = named.groupBy("label").agg(F.min("exact_id").alias("class_id"))
-    named = work.keep(named.join(groups, "label").select("node", "label", "exact_id", "class_id", "links"))
+    named = result.keep(named.join(groups, "label").select("node", "label", "exact_id", "class_id", "links"))
+    work.clear()
     return ids.join(named, "node")
 
 

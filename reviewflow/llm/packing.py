@@ -37,7 +37,7 @@ PASSED_ON = 50_000
 #: Pieces that are packed at once in a partition.
 AT_ONCE = 1_000_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Where a word can be cut without changing its ids: before ASCII signs other than the apostrophe.
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewflow.llm.words import (LAST_ID, U, Words, hashes_of, rolled, runs, slices, split_words,
-                                  words_at)
+from reviewflow.llm.words import (LAST_ID, U, Words, give_back, hashes_of, rolled, runs, slices,
+                                  split_words, words_at)
 
 #: Words of the runs whose hashes are compared for the minimiser.
 RUN = 3
@@ -171,6 +171,8 @@ def _meet(table: pa.Table, width: int) -> pa.Table:
     a, b = runs(dup, of, inside)
     found = pa.Table.from_pydict(_span_batch(
         key[of[a]], tag[of[a]], start[of[a]] + inside[a], start[of[a]] + inside[b] + width))
+    del words, own, of, inside, place, dup
+    give_back()
     return pa.concat_tables([settled.cast(_SPAN_ARROW), found.cast(_SPAN_ARROW)])
 
 

@@ -6,6 +6,7 @@ in Arrow batches; all work on them is array work over the words of a slice of bo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -39,9 +40,18 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.starts) - 1), self.counts)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker goes on to other tasks and keeps what it once had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
            most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about ``most`` bytes of text; one long text is a slice by itself."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -50,6 +60,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+        give_back()
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
