@@ -205,21 +205,25 @@ def decode(model: Model, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return first, second, 1 / (1 + np.exp(-gap)) if loss.shape[1] > 1 else np.ones(len(loss))
 
 
+def told(texts: pa.Array, m: Model | None) -> dict[str, pa.Array]:
+    """Language, score, second language and whether it is ambiguous, of each text."""
+    some = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    lang, second, score, clear = (np.full(len(texts), UNKNOWN, object), np.full(len(texts), None, object),
+                                  np.zeros(len(texts)), np.zeros(len(texts), bool))
+    if m is not None and some.any():
+        names = np.array(m.langs, object)
+        a, b, s = decode(m, margins(grams(texts.filter(pa.array(some))), m.weights)[0])
+        lang[some], second[some], score[some], clear[some] = names[a], names[b], s, s >= CLEAR
+    return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score),
+            "second": pa.array(second, pa.string()), "ambiguous": pa.array(some & ~clear),
+            "letters": pa.array(some)}
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, most=AT_ONCE):
-        some = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False) \
-            .to_numpy(zero_copy_only=False)
-        lang, second, score, clear = (np.full(batch.num_rows, UNKNOWN, object), np.full(
-            batch.num_rows, None, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool))
-        if model is not None and some.any():
-            m = model.value
-            names = np.array(m.langs, object)
-            a, b, s = decode(m, margins(grams(batch.column("text").filter(pa.array(some))), m.weights)[0])
-            lang[some], second[some], score[some], clear[some] = names[a], names[b], s, s >= CLEAR
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()),
-            "score": pa.array(score), "second": pa.array(second, pa.string()),
-            "ambiguous": pa.array(some & ~clear), "letters": pa.array(some)})
+            "doc_id": batch.column("doc_id").cast(pa.int64()),
+            **told(batch.column("text"), model and model.value)})
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -240,10 +244,8 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def _kept(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, most=AT_ONCE):
-        ids = pa.array(np.zeros(batch.num_rows, np.int64))
-        told = next(_predicted(iter([pa.RecordBatch.from_arrays(
-            [ids, batch.column("text")], names=["doc_id", "text"])]), model))
-        yield batch.filter(pc.not_equal(told.column("lang_pred"), UNKNOWN))
+        lang = told(batch.column("text"), model and model.value)["lang_pred"]
+        yield batch.filter(pc.not_equal(lang, UNKNOWN))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
