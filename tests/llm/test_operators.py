@@ -154,6 +154,21 @@ def test_decontamination_of_edited_passages(spark, by_id):
     assert exact <= got and len(got) >= 0.97 * len(want)
 
 
+def test_decontamination_of_documents_that_begin_or_end_with_an_item():
+    """Every place in the slice finds a document that is an item, or has one at an end."""
+    rng = np.random.default_rng(11)
+    items = {n: " ".join(f"w{k}" for k in rng.integers(0, 1 << 40, n)) for n in range(27, 201)}
+    texts, owners = [], []
+    for n, item in items.items():
+        rest = " ".join(f"x{k}" for k in rng.integers(0, 1 << 40, 61 + n % 13))
+        for text in (item, f"{item} {rest}", f"{rest} {item}", "some other words " * int(rng.integers(2, 9))):
+            texts.append(text)
+            owners.append(n if item in text else None)
+    found = {(r, i): s for r, i, s, *_ in decontaminate.search(
+        decontaminate.pa.array(texts), decontaminate.index(list(items), list(items.values())), 0.8)}
+    assert found == {(r, n): 1.0 for r, n in enumerate(owners) if n is not None}
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (None, "a text without an id, of some"),
                                    (4, " ".join(plain.LONG.split()[100:900]))], "item_id long, text string")
