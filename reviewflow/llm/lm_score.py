@@ -1,16 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs of the learning documents are gathered in buckets by hash; each slice of
-the input sends a bucket every pair once with its count. A bucket writes its counts, quantised by
-logarithm, into its own segment of the filter: an n-gram of level q is entered as (n-gram, 1) to
-(n-gram, q), so probing levels until one is missing gives the count back, never too low. The
+Counts of words, and in a second pass of word pairs, of the learning documents are gathered in buckets by
+hash; each slice of the input sends a bucket every n-gram once with its count. A bucket writes its counts,
+quantised by logarithm, into its own segment of the filter: an n-gram of level q is entered as (n-gram, 1)
+to (n-gram, q), so probing levels until one is missing gives the count back, never too low. The
 probability of a word after another is read from such probes only:
 
     p(w | v) = (1 - l(v)) c(v, w) / c(v) + l(v) p(w),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 where l depends on the level of c(v) and is the share of pairs seen once among the learning tokens after
-words of that level. The filter of words has at most ``WORD_BYTES``; the filter of pairs is broadcast in
-parts of at most ``PART_BYTES``, each part being one pass that scores the pairs that lie in it.
+words of that level; the buckets count both over all their pairs, which come with that level. The filter
+of words has at most ``WORD_BYTES``; the filter of pairs is broadcast in parts of at most ``PART_BYTES``,
+each part being one pass that scores the pairs that lie in it.
 
 The base score uses exact counts: those of the ``HEAD`` most frequent words are broadcast, the words
 beyond are joined by hash, and since they are rare no key of that join is hot.
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ WORD_BYTES, PART_BYTES = 64 << 20, 80 << 20
 HEAD = 1 << 20
 #: Stands for the end of a text, and for the place before its first word.
 END = U(1)
-_GATHERED = "kind int, bucket int, token long, n long, filter binary"
+_WORDS = "bucket int, token long, n long"
+_PAIRS = "bucket int, filter binary, q array<int>, n array<long>, once array<long>"
 _SCORED = ("row long, doc_id long, token long, n_tokens long, n_known long, base double, score double")
 _EDGES = np.ceil(BASE ** np.arange(LEVELS) - 1e-9)
 
@@ -122,65 +125,85 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, mixed(mixed(before) + tokens), starts
 
 
-def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
+def _before(codes: np.ndarray, distinct: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Code of the token before each, the end token before the first."""
+    before = np.r_[0, codes[:-1]]
+    before[starts[:-1]] = np.flatnonzero(distinct == END)[0] if len(distinct) else 0
+    return before
+
+
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their counts, and the level that comes with each."""
+    keys, counts, levels = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys, counts, levels = keys[order], counts[order], levels[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts, first), levels[first]
+
 
-    def summed(parts):
-        keys, counts = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.add.reduceat(counts, first)
+def _send(batches: Iterator[pa.RecordBatch], buckets: int, words=None) -> Iterator[pa.RecordBatch]:
+    """Counts of words by bucket; with the filter of words, counts of pairs and the level of the word before."""
+    squeeze = zstandard.ZstdCompressor(level=1)
 
-    def flush(kind, parts):
-        keys, counts = summed(parts)
+    def flush(parts):
+        keys, counts, levels = _summed(parts)
         bucket = (keys % U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
         data = [np.int64(j - i).tobytes() + keys[order[i:j]].tobytes()
-                + squeeze.compress(counts[order[i:j]].astype(np.int64).tobytes())
+                + squeeze.compress(counts[order[i:j]].astype(np.int64).tobytes() + levels[order[i:j]].tobytes())
                 for i, j in zip(cuts, cuts[1:])]
         for i in range(0, len(data), 64):
             part = data[i:i + 64]
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.full(len(part), kind, np.int32)),
                 "bucket": pa.array(bucket[order][cuts[:-1]][i:i + 64]),
                 "data": pa.array(part, pa.binary())})
 
-    held, n = {1: [], 2: []}, {1: 0, 2: 0}
+    held, n = [], 0
     for batch in slices(batches):
-        tokens, pairs, _ = grams(batch.column("text"))
-        for kind, keys in ((1, tokens), (2, pairs)):
-            held[kind].append(summed([(keys, np.ones(len(keys), np.int64))]))
-            n[kind] += len(held[kind][-1][0])
-            if n[kind] > HELD:
-                yield from flush(kind, held[kind])
-                held[kind], n[kind] = [], 0
-    for kind in held:
-        if held[kind]:
-            yield from flush(kind, held[kind])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """Counts of the words of a bucket, or the filter segment of its pairs."""
-    squeeze = zstandard.ZstdDecompressor()
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    keys, counts = [], []
+        tokens, keys, starts = grams(batch.column("text"))
+        levels = np.zeros(len(tokens), np.uint8)
+        if words is not None:
+            codes, distinct = pd.factorize(tokens)
+            levels = words.value.levels(distinct).astype(np.uint8)[_before(codes, distinct, starts)]
+        held.append(_summed([(tokens if words is None else keys, np.ones(len(keys), np.int64), levels)]))
+        n += len(held[-1][0])
+        if n > HELD:
+            yield from flush(held)
+            held, n = [], 0
+    if held:
+        yield from flush(held)
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a bucket, their counts and levels."""
+    squeeze, parts = zstandard.ZstdDecompressor(), []
     for data in table.column("data").to_pylist():
         n = int(np.frombuffer(data, np.int64, 1)[0])
-        keys.append(np.frombuffer(data, U, n, 8))
-        counts.append(np.frombuffer(squeeze.decompress(data[8 + 8 * n:]), np.int64))
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    keys, counts = keys[first], np.add.reduceat(counts, first)
-    k = len(keys) if kind == 1 else 1
+        rest = squeeze.decompress(data[8 + 8 * n:])
+        parts.append((np.frombuffer(data, U, n, 8), np.frombuffer(rest, np.int64, n),
+                      np.frombuffer(rest, np.uint8, n, 8 * n)))
+    return _summed(parts)
+
+
+def _merge_words(table: pa.Table) -> pa.Table:
+    """Counts of the words of a bucket."""
+    keys, counts, _ = _merged(table)
+    return pa.Table.from_pydict({
+        "bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py(), np.int32)),
+        "token": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+
+
+def _merge_pairs(table: pa.Table) -> pa.Table:
+    """The filter segment of the pairs of a bucket and, by level of the word before, how many learning
+    tokens are in its pairs and how many in pairs seen once."""
+    keys, counts, levels = _merged(table)
+    n = np.bincount(levels, counts, LEVELS + 1).astype(np.int64)
+    once = np.bincount(levels[counts == 1], minlength=LEVELS + 1)
+    some = np.flatnonzero(n)
     return pa.Table.from_pydict({
-        "kind": pa.array(np.full(k, kind, np.int32)), "bucket": pa.array(np.full(k, bucket, np.int32)),
-        "token": pa.array(keys.view(np.int64)) if kind == 1 else pa.nulls(1, pa.int64()),
-        "n": pa.array(counts) if kind == 1 else pa.nulls(1, pa.int64()),
-        "filter": pa.nulls(k, pa.binary()) if kind == 1 else pa.array([segment(keys, counts)])})
+        "bucket": table.column("bucket").slice(0, 1), "filter": pa.array([segment(keys, counts)], pa.binary()),
+        "q": pa.array([some.astype(np.int32)]), "n": pa.array([n[some]]), "once": pa.array([once[some]])})
 
 
 def _word_segment(table: pa.Table, bits: float) -> pa.Table:
@@ -218,9 +241,10 @@ class Model(NamedTuple):
     tokens: int
     vocabulary: int
     buckets: int
-    words: Filter
+    words: Broadcast  # of the filter
     pairs: DataFrame  # bucket, filter
     parts: list[tuple[int, int]]
+    backoff: np.ndarray  # l by level
 
 
 def gather(train: DataFrame) -> Model:
@@ -228,11 +252,13 @@ def gather(train: DataFrame) -> Model:
     spark, folder = train.sparkSession, scratch_dir(train.sparkSession, "lm")
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    train.select("text").mapInArrow(partial(_send, buckets=buckets), "kind int, bucket int, data binary") \
-         .groupBy("kind", "bucket").applyInArrow(_merge, _GATHERED) \
-         .write.partitionBy("kind").parquet(f"{folder}/grams")
-    rows = spark.read.schema(_GATHERED).parquet(f"{folder}/grams")
-    counts = rows.where("kind = 1").select("bucket", "token", "n")
+
+    def gathered(name: str, words, merge, schema: str) -> DataFrame:
+        train.select("text").mapInArrow(partial(_send, buckets=buckets, words=words), "bucket int, data binary") \
+             .groupBy("bucket").applyInArrow(merge, schema).write.parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    counts = gathered("words", None, _merge_words, _WORDS)
     edges = F.array(*[F.lit(float(e)) for e in _EDGES])
     by_level = counts.groupBy(F.size(F.filter(edges, lambda e: e <= F.col("n"))).alias("q")) \
                      .agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("q")).collect()
@@ -249,11 +275,16 @@ def gather(train: DataFrame) -> Model:
     bits = min(float(BITS), WORD_BYTES * 8 / max(1, entries))
     words = counts.groupBy("bucket").applyInArrow(
         lambda t: _word_segment(t, bits), "bucket int, filter binary")
-    pairs = rows.where("kind = 2").select("bucket", "filter")
+    sent = spark.sparkContext.broadcast(_filter(words, buckets, 0, buckets))
+    pairs = gathered("pairs", sent, _merge_pairs, _PAIRS)
+    backoff = np.ones(LEVELS + 1)
+    for r in pairs.select(F.explode(F.arrays_zip("q", "n", "once")).alias("x")).groupBy("x.q") \
+            .agg(F.sum("x.n").alias("n"), F.sum("x.once").alias("once")).collect():
+        backoff[r["q"]] = (r["once"] + 0.5) / (r["n"] + 1)
     sizes = {r[0]: r[1] for r in pairs.select("bucket", F.octet_length("filter")).collect()}
     return Model(counts, (tokens[order], n[order]), least, sum(r["n"] for r in by_level),
-                 sum(r["words"] for r in by_level), buckets, _filter(words, buckets, 0, buckets), pairs,
-                 _parts(sizes, buckets, PART_BYTES))
+                 sum(r["words"] for r in by_level), buckets, sent, pairs.select("bucket", "filter"),
+                 _parts(sizes, buckets, PART_BYTES), backoff)
 
 
 def _probed(texts: pa.Array, words: Filter, pairs: Filter) -> tuple:
@@ -267,27 +298,6 @@ def _probed(texts: pa.Array, words: Filter, pairs: Filter) -> tuple:
     return starts, codes, distinct, levels, here, pairs.levels(some)[each]
 
 
-def _before(codes: np.ndarray, distinct: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Code of the token before each, the end token before the first."""
-    before = np.r_[0, codes[:-1]]
-    before[starts[:-1]] = np.flatnonzero(distinct == END)[0] if len(distinct) else 0
-    return before
-
-
-def _novelty(batches: Iterator[pa.RecordBatch], words, pairs) -> Iterator[pa.RecordBatch]:
-    """By level of the word before: pairs, and pairs seen once."""
-    n, once = np.zeros(LEVELS + 1), np.zeros(LEVELS + 1)
-    for batch in slices(batches):
-        starts, codes, distinct, levels, here, found = _probed(
-            batch.column("text"), words.value, pairs.value)
-        context = levels[_before(codes, distinct, starts)[here]]
-        n += np.bincount(context, minlength=LEVELS + 1)
-        once += np.bincount(context[found <= 1], minlength=LEVELS + 1)
-    some = np.flatnonzero(n)
-    yield pa.RecordBatch.from_pydict({"q": pa.array(some), "n": pa.array(n[some]),
-                                      "once": pa.array(once[some])})
-
-
 def _scored(batches: Iterator[pa.RecordBatch], words, pairs, shared, first: bool) -> Iterator[pa.RecordBatch]:
     """Scores of a part; on the first part also the base score and the words beyond the head."""
     head, n, total, vocabulary, backoff = shared.value
@@ -334,19 +344,12 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     send, folder = spark.sparkContext.broadcast, scratch_dir(spark, "lm-scores")
     m = gather(train)
-    words, backoff = send(m.words), np.ones(LEVELS + 1)
+    shared = send((*m.head, m.tokens, m.vocabulary, m.backoff))
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text")
     for i, (a, b) in enumerate(m.parts):
         pairs = send(_filter(m.pairs, m.buckets, a, b))
-        if i == 0:
-            # Pairs lie in parts by hash, so one part shows a fair share of the pairs of all documents.
-            for r in train.select("text").mapInArrow(partial(_novelty, words=words, pairs=pairs),
-                                                     "q long, n double, once double") \
-                    .groupBy("q").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
-                backoff[r["q"]] = (r["once"] + 0.5) / (r["n"] + 1)
-            shared = send((*m.head, m.tokens, m.vocabulary, backoff))
-        rows.mapInArrow(partial(_scored, words=words, pairs=pairs, shared=shared, first=i == 0), _SCORED) \
+        rows.mapInArrow(partial(_scored, words=m.words, pairs=pairs, shared=shared, first=i == 0), _SCORED) \
             .write.parquet(f"{folder}/{i}")
         pairs.unpersist()
     found = spark.read.schema(_SCORED).parquet(*[f"{folder}/{i}" for i in range(len(m.parts))])

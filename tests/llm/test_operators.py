@@ -406,6 +406,17 @@ def test_lm_base_score_and_model(spark, docs, by_id, monkeypatch):
     assert sum(rows[i].score - rows[i].base_score for i in held) > 0
 
 
+def test_lm_scores_do_not_depend_on_the_parts_of_the_pairs(docs, monkeypatch):
+    """A word after the text start and boilerplate pairs lie in one part only."""
+    scores = []
+    some = docs.select("doc_id", F.concat(F.lit("always the same notice "), "text").alias("text"))
+    for size in (lm_score.PART_BYTES, 20_000):
+        monkeypatch.setattr(lm_score, "PART_BYTES", size)
+        scores.append({r.doc_id: r.score for r in lm_score.score(some, some.where(lm_score.fold() != 0)).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(abs(s - scores[1][i]) < 1e-6 * abs(s) for i, s in scores[0].items())
+
+
 def test_log_frequency_filter_gives_counts_back():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
