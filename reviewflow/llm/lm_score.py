@@ -10,8 +10,8 @@ probability of a word after another is read from such probes only:
 
 where l depends on the level of c(v) and is the share of pairs seen once among the learning tokens after
 words of that level; the buckets count both over all their pairs, which come with that level. The filter
-of words has at most ``WORD_BYTES``; the filter of pairs is broadcast in parts of at most ``PART_BYTES``,
-each part being one pass that scores the pairs that lie in it.
+of words is broadcast in parts of at most ``WORD_BYTES``, which a worker goes through one at a time; the
+filter of pairs in parts of at most ``PART_BYTES``, each being one pass that scores the pairs that lie in it.
 
 The base score uses exact counts: those of the ``HEAD`` most frequent words are broadcast, the words
 beyond are joined by hash, and since they are rare no key of that join is hot.
@@ -48,7 +48,7 @@ WORD_BYTES, PART_BYTES = 64 << 20, 80 << 20
 HEAD = 1 << 20
 #: Stands for the end of a text, and for the place before its first word.
 END = U(1)
-_WORDS = "bucket int, token long, n long"
+_WORDS = "bucket int, token long, n long, filter binary"
 _PAIRS = "bucket int, filter binary, q array<int>, n array<long>, once array<long>"
 _SCORED = ("row long, doc_id long, token long, n_tokens long, n_known long, base double, score double")
 _EDGES = np.ceil(BASE ** np.arange(LEVELS) - 1e-9)
@@ -71,10 +71,10 @@ def _bits(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray, i: int) -
     return (h + U(i) * step) % size
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, bits: float = BITS) -> bytes:
+def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """The filter segment of some n-grams."""
     levels = levels_of(counts)
-    size = max(64, int(levels.sum() * bits) // 64 * 64)
+    size = max(64, int(levels.sum()) * BITS // 64 * 64)
     field = np.zeros(size, bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
         some = keys[levels >= q]
@@ -125,6 +125,20 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, mixed(mixed(before) + tokens), starts
 
 
+def _levels(tokens: np.ndarray, words: list[Broadcast]) -> np.ndarray:
+    """Level of each token, from all parts of the filter of words."""
+    out = np.zeros(len(tokens), np.int64)
+    for sent in words:
+        part = sent.value
+        here = np.flatnonzero(part.holds(tokens))
+        out[here] = part.levels(tokens[here])
+        if len(words) > 1:
+            # Read again from the worker's disk when needed, so that it holds one part at a time.
+            del part
+            vars(sent).pop("_value", None)
+    return out
+
+
 def _before(codes: np.ndarray, distinct: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Code of the token before each, the end token before the first."""
     before = np.r_[0, codes[:-1]]
@@ -165,7 +179,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, words=None) -> Iterat
         levels = np.zeros(len(tokens), np.uint8)
         if words is not None:
             codes, distinct = pd.factorize(tokens)
-            levels = words.value.levels(distinct).astype(np.uint8)[_before(codes, distinct, starts)]
+            levels = _levels(distinct, words).astype(np.uint8)[_before(codes, distinct, starts)]
         held.append(_summed([(tokens if words is None else keys, np.ones(len(keys), np.int64), levels)]))
         n += len(held[-1][0])
         if n > HELD:
@@ -187,11 +201,13 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _merge_words(table: pa.Table) -> pa.Table:
-    """Counts of the words of a bucket."""
+    """Counts of the words of a bucket, the first row with their filter segment."""
     keys, counts, _ = _merged(table)
+    rest = [None] * (len(keys) - 1)
     return pa.Table.from_pydict({
         "bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py(), np.int32)),
-        "token": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+        "token": pa.array(keys.view(np.int64)), "n": pa.array(counts),
+        "filter": pa.array([segment(keys, counts), *rest], pa.binary())})
 
 
 def _merge_pairs(table: pa.Table) -> pa.Table:
@@ -206,13 +222,6 @@ def _merge_pairs(table: pa.Table) -> pa.Table:
         "q": pa.array([some.astype(np.int32)]), "n": pa.array([n[some]]), "once": pa.array([once[some]])})
 
 
-def _word_segment(table: pa.Table, bits: float) -> pa.Table:
-    keys = table.column("token").to_numpy().view(U)
-    return pa.Table.from_pydict({
-        "bucket": table.column("bucket").slice(0, 1),
-        "filter": pa.array([segment(keys, table.column("n").to_numpy(), bits)], pa.binary())})
-
-
 def _parts(sizes: dict[int, int], buckets: int, most: int) -> list[tuple[int, int]]:
     """Ranges that cover all buckets, of at most ``most`` bytes together or of one bucket."""
     out, first, total = [], 0, 0
@@ -241,7 +250,7 @@ class Model(NamedTuple):
     tokens: int
     vocabulary: int
     buckets: int
-    words: Broadcast  # of the filter
+    words: list[Broadcast]  # parts of the filter
     pairs: DataFrame  # bucket, filter
     parts: list[tuple[int, int]]
     backoff: np.ndarray  # l by level
@@ -258,7 +267,12 @@ def gather(train: DataFrame) -> Model:
              .groupBy("bucket").applyInArrow(merge, schema).write.parquet(f"{folder}/{name}")
         return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
-    counts = gathered("words", None, _merge_words, _WORDS)
+    def parts(filters: DataFrame, most: int) -> list[tuple[int, int]]:
+        sizes = {r[0]: r[1] for r in filters.select("bucket", F.octet_length("filter")).collect()}
+        return _parts(sizes, buckets, most)
+
+    rows = gathered("words", None, _merge_words, _WORDS)
+    counts, filters = rows.select("token", "n"), rows.where("filter is not null").select("bucket", "filter")
     edges = F.array(*[F.lit(float(e)) for e in _EDGES])
     by_level = counts.groupBy(F.size(F.filter(edges, lambda e: e <= F.col("n"))).alias("q")) \
                      .agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("q")).collect()
@@ -271,28 +285,24 @@ def gather(train: DataFrame) -> Model:
     head = counts.where(F.col("n") >= least).select("token", "n").toArrow()
     tokens, n = head["token"].to_numpy().view(U), head["n"].to_numpy()
     order = np.argsort(tokens)
-    entries = sum(r["words"] * r["q"] for r in by_level)
-    bits = min(float(BITS), WORD_BYTES * 8 / max(1, entries))
-    words = counts.groupBy("bucket").applyInArrow(
-        lambda t: _word_segment(t, bits), "bucket int, filter binary")
-    sent = spark.sparkContext.broadcast(_filter(words, buckets, 0, buckets))
-    pairs = gathered("pairs", sent, _merge_pairs, _PAIRS)
+    words = [spark.sparkContext.broadcast(_filter(filters, buckets, a, b)) for a, b in parts(filters, WORD_BYTES)]
+    pairs = gathered("pairs", words, _merge_pairs, _PAIRS)
     backoff = np.ones(LEVELS + 1)
     for r in pairs.select(F.explode(F.arrays_zip("q", "n", "once")).alias("x")).groupBy("x.q") \
             .agg(F.sum("x.n").alias("n"), F.sum("x.once").alias("once")).collect():
         backoff[r["q"]] = (r["once"] + 0.5) / (r["n"] + 1)
-    sizes = {r[0]: r[1] for r in pairs.select("bucket", F.octet_length("filter")).collect()}
+    pairs = pairs.select("bucket", "filter")
     return Model(counts, (tokens[order], n[order]), least, sum(r["n"] for r in by_level),
-                 sum(r["words"] for r in by_level), buckets, sent, pairs.select("bucket", "filter"),
-                 _parts(sizes, buckets, PART_BYTES), backoff)
+                 sum(r["words"] for r in by_level), buckets, words, pairs,
+                 parts(pairs, PART_BYTES), backoff)
 
 
-def _probed(texts: pa.Array, words: Filter, pairs: Filter) -> tuple:
+def _probed(texts: pa.Array, words: list[Broadcast], pairs: Filter) -> tuple:
     """Starts of the texts, token code of each place, distinct tokens, level of each distinct token,
     which places have their pair in this part, and the pairs' levels there."""
     tokens, keys, starts = grams(texts)
     codes, distinct = pd.factorize(tokens)
-    levels = words.levels(distinct)
+    levels = _levels(distinct, words)
     here = np.flatnonzero(pairs.holds(keys))
     some, each = pd.factorize(keys[here])[::-1]
     return starts, codes, distinct, levels, here, pairs.levels(some)[each]
@@ -304,7 +314,7 @@ def _scored(batches: Iterator[pa.RecordBatch], words, pairs, shared, first: bool
     whole = total + 0.1 * (vocabulary + 1)
     for batch in slices(batches):
         starts, codes, distinct, levels, here, found = _probed(
-            batch.column("text"), words.value, pairs.value)
+            batch.column("text"), words, pairs.value)
         rows = len(starts) - 1
         row = np.repeat(np.arange(rows), np.diff(starts))
         alone = (counts_of(levels) + 0.1) / whole

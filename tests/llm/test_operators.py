@@ -417,6 +417,15 @@ def test_lm_scores_do_not_depend_on_the_parts_of_the_pairs(docs, monkeypatch):
     assert all(abs(s - scores[1][i]) < 1e-6 * abs(s) for i, s in scores[0].items())
 
 
+def test_lm_scores_do_not_depend_on_the_bytes_of_the_words(docs, monkeypatch):
+    scores = []
+    for size in (lm_score.WORD_BYTES, 3_000):
+        monkeypatch.setattr(lm_score, "WORD_BYTES", size)
+        scores.append({r.doc_id: r.score for r in lm_score.score(docs, docs.where(lm_score.fold() != 0)).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(abs(s - scores[1][i]) < 1e-6 * abs(s) for i, s in scores[0].items())
+
+
 def test_log_frequency_filter_gives_counts_back():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
