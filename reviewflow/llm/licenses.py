@@ -1,9 +1,11 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, inherited along paths.
 
-Each line of a file is compared with the notices, and the file as a whole with notices and the opening
-words of licences, by the cosine of sparse TF-IDF vectors. Document frequencies of the templates' words
-are counted over all files; a word that no template has weighs as a word of no file. The best line over
-``NEAR`` is the file's header. A file is a licence file if the whole of it is as near to a template, or a
+Each line of a file, each run of as many words as a template has (over line ends too) and the file as a
+whole are compared with notices, headers, titles and texts of licences by the cosine of sparse TF-IDF
+vectors. Document frequencies of the templates' words are counted over all files; a word that no template
+has weighs as a word of no file. The best line or run over ``NEAR`` is the file's header; a template that
+is part of a longer one yields where the longer one is found. A file is a licence file if the whole of it
+is as near to a template, if the title of a licence is among its first ``OPENING`` words, or if a
 third of its lines are notices. Other files without header inherit from the nearest directory above them
 that has a licence file: each distinct directory looks up its ancestors by a join, and files join on
 their directory.
@@ -32,8 +34,28 @@ from reviewflow.session import scratch_dir
 NEAR = 0.75
 #: Share of a file's lines that are notices, from which on it is a licence file.
 FILE_SHARE = 1 / 3
-
-# Names of licences, usual notices, and the opening words of their texts.
+#: Words from the start of a licence file within which its title begins.
+OPENING = 20
+#: Words of candidate runs compared at once.
+AT_ONCE = 1 << 18
+
+_GNU = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} "
+        "as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) "
+        "any later version.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_TITLE = "GNU {} Version {} Copyright (C) {} Free Software Foundation, Inc."
+# Names of licences, usual notices and headers, and the opening words of their texts.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -66,6 +88,46 @@ TEMPLATES = [
                      "International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", _GNU.format("program", ";", "General Public License", ";", "2")),
+    ("LGPL-2.1", _GNU.format("library", ";", "Lesser General Public License", ";", "2.1")),
+    ("LGPL-3.0", _GNU.format("program", ":", "Lesser General Public License", ",", "3")),
+    ("AGPL-3.0", _GNU.format("program", ":", "Affero General Public License", ",", "3")),
+    # Short licences as a whole.
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+            "and associated documentation files (the \"Software\"), to deal in the Software without "
+            "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+            "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+            "Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+            "this permission notice shall be included in all copies or substantial portions of the Software. THE "
+            "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+            "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN "
+            "NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+            "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+            "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", _BSD.format("")),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may "
+                                 "be used to endorse or promote products derived from this software without "
+                                 "specific prior written permission. ")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+            "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+            "copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+            "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+            "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+            "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+            "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+]
+#: Where the titles of long licences begin, which open their whole texts.
+TITLES = len(TEMPLATES)
+TEMPLATES += [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS "
+                   "FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", _TITLE.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007")),
+    ("GPL-2.0", _TITLE.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991")),
+    ("LGPL-3.0", _TITLE.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007")),
+    ("LGPL-2.1", _TITLE.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999")),
+    ("AGPL-3.0", _TITLE.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or "
+                "legal entity"),
 ]
 OWN = "row long, license string, similarity double, line int, is_file boolean"
 
@@ -76,6 +138,8 @@ class Model(NamedTuple):
     idf: np.ndarray
     other: float  # weight of a word that no template has
     weights: np.ndarray  # terms x templates, columns of length 1
+    sizes: list[int]  # words of each template
+    within: np.ndarray  # templates x templates: the first is a part of the second
 
 
 def _words(texts: pa.Array):
@@ -123,8 +187,10 @@ def fit(files: DataFrame) -> Model:
     weights = np.zeros((len(terms), len(templates)))
     for i, own in enumerate(templates):
         weights[:, i] = np.bincount(own, minlength=len(terms)) * idf
+    spelled = [f" {' '.join(map(str, own))} " for own in templates]
+    within = np.array([[len(a) < len(b) and a in b for b in spelled] for a in spelled])
     return Model([name for name, _ in TEMPLATES], terms, idf, float(np.log(1 + n) + 1),
-                 weights / np.linalg.norm(weights, axis=0))
+                 weights / np.linalg.norm(weights, axis=0), [len(own) for own in templates], within)
 
 
 def cosines(m: Model, part: np.ndarray, term: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +209,41 @@ def cosines(m: Model, part: np.ndarray, term: np.ndarray, parts: int) -> tuple[n
     return best, near
 
 
+def windows(m: Model, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, template and cosine of the runs of a template's number of words that are near to it."""
+    first, template, near = [], [], []
+    squares = np.r_[0, np.cumsum(np.where(term >= 0, m.idf[term], m.other) ** 2)]
+    for i, size in enumerate(m.sizes):
+        if size > len(term):
+            continue
+        dots = np.r_[0, np.cumsum(np.r_[m.weights[:, i] * m.idf, 0][term])]
+        dot = dots[size:] - dots[:-size]
+        # A word that occurs again makes a run longer, so this leaves out no run that is near.
+        at = np.flatnonzero((dot > 1e-6) & (dot ** 2 >= (NEAR ** 2 - 1e-6) * (squares[size:] - squares[:-size]))
+                            & (row[size - 1:] == row[:len(row) - size + 1]))
+        for a in range(0, len(at), max(1, AT_ONCE // size)):
+            some = at[a:a + max(1, AT_ONCE // size)]
+            own = term[some[:, None] + np.arange(size)]
+            part = np.broadcast_to(np.arange(len(some))[:, None], own.shape)
+            known = own >= 0
+            key, times = np.unique(part[known] * len(m.terms) + own[known], return_counts=True)
+            norm = np.bincount(key // len(m.terms), (times * m.idf[key % len(m.terms)]) ** 2, len(some))
+            cosine = dot[some] / np.sqrt(norm + (~known).sum(axis=1) * m.other ** 2)
+            keep = cosine >= NEAR
+            first.append(some[keep])
+            template.append(np.full(int(keep.sum()), i))
+            near.append(np.minimum(cosine[keep], 1))
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    first, template, near = (np.concatenate(x) for x in (first, template, near))
+    keep = np.ones(len(first), bool)
+    for i, j in np.argwhere(m.within):
+        keep &= (template != i) | ~np.isin(row[first], row[first[template == j]])
+    return first[keep], template[keep], near[keep]
+
+
 def headers(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
-    """Header of each file, by line and as a whole."""
+    """Header of each file, by line, by run of words and as a whole."""
     hashed, row, line = _words(batch.column("text"))
     term, n = _term_of(m.terms, hashed), batch.num_rows
     whole, whole_near = cosines(m, row, term, n)
@@ -164,7 +263,23 @@ def headers(batch: pa.RecordBatch, m: Model) -> pa.RecordBatch:
     where[owner[first]] = at[first] - base[owner[first]]
     names = np.array(m.names, object)
     license_[owner[first]] = names[template[first]]
-    better = whole_near > similarity
+    chosen = np.full(n, -1)
+    chosen[owner[first]] = template[first]
+    start, kind, found = windows(m, row, term)
+    begin = np.searchsorted(row, np.arange(n))
+    title = (kind >= TITLES) & (start - begin[row[start]] < OPENING)
+    order = np.lexsort((start, -found, ~title, row[start]))
+    top = order[np.flatnonzero(np.r_[True, np.diff(row[start][order]) != 0])] if len(order) else order
+    own = row[start[top]]
+    top = top[title[top] | (found[top] > similarity[own] + 1e-6)
+              | (chosen[own] >= 0) & m.within[chosen[own], kind[top]]]
+    own = row[start[top]]
+    is_file[own[title[top]]] = True
+    license_[own], similarity[own] = names[kind[top]], found[top]
+    where[own] = line[start[top]] - base[own]
+    settled = np.zeros(n, bool)
+    settled[own[title[top]]] = True
+    better = (whole_near > similarity) & ~settled
     license_[better], similarity[better], where[better] = names[whole[better]], whole_near[better], 0
     license_[similarity < NEAR] = None
     where[similarity < NEAR] = -1

@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import sys
+import textwrap
 import zlib
 from collections import Counter
 from math import log10
@@ -466,6 +467,36 @@ def test_license_headers_and_inheritance(spark):
         "top.txt": (None, None, None)}
 
 
+def test_wrapped_headers_licence_files_and_notices_in_a_line(spark):
+    """Headers over several lines, whole licence texts, and a notice inside a long line."""
+    code = "\n".join(f"value{i} = compute{i}(left{i}, right{i})" for i in range(120))
+    prose = " ".join(f"word{i} tells of{i} nothing" for i in range(80))
+    gnu = ("# This program is free software{0} you can redistribute it and/or modify\n# it under the terms of the "
+           "GNU {1} as published by\n# the Free Software Foundation, either version {2} of the License, or\n"
+           "# (at your option) any later version.\n")
+    mit, bsd, bsd3 = (textwrap.fill(max((t for n, t in licenses.TEMPLATES if n == name), key=len), 70)
+                      for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause"))
+    mit = "MIT License\n\nCopyright (c) 2020 Some Author\n\n" + mit
+    gpl = ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C)"
+           " 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy\n" + prose + "\n" + prose)
+    rows = [("s/gpl.py", gnu.format(":", "General Public License", 3) + code),
+            ("s/gpl2.py", gnu.format(";", "General Public License", 2) + code),
+            ("s/agpl.py", gnu.format(":", "Affero General Public License", 3) + code),
+            ("s/lgpl.py", gnu.format(":", "Lesser General Public License", 3) + code),
+            ("s/bsd.py", bsd + "\n" + code), ("s/bsd3.py", bsd3 + "\n" + code), ("s/code.py", code),
+            ("s/line.txt", f"{prose} Released under the MIT License. {prose}"),
+            ("m/LICENSE", mit), ("m/x.py", code), ("b/LICENSE", bsd), ("b/x.py", code),
+            ("g/COPYING", gpl), ("g/d/x.py", code)]
+    got = {r.path: (r.license, r.how) for r in licenses.scan(
+        spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "s/gpl.py": ("GPL-3.0", "header"), "s/gpl2.py": ("GPL-2.0", "header"), "s/agpl.py": ("AGPL-3.0", "header"),
+        "s/lgpl.py": ("LGPL-3.0", "header"), "s/bsd.py": ("BSD-2-Clause", "header"),
+        "s/bsd3.py": ("BSD-3-Clause", "header"), "s/code.py": (None, None), "s/line.txt": ("MIT", "header"),
+        "m/LICENSE": ("MIT", "file"), "m/x.py": ("MIT", "inherited"), "b/LICENSE": ("BSD-2-Clause", "file"),
+        "b/x.py": ("BSD-2-Clause", "inherited"), "g/COPYING": ("GPL-3.0", "file"), "g/d/x.py": ("GPL-3.0", "inherited")}
+
+
 def test_license_lines_of_the_documents(spark, small, by_id):
     rows = queries.op8_license_scan(spark, small).collect()
     found = {r.doc_id for r in rows if r.how in ("file", "header")}
