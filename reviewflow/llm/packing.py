@@ -2,9 +2,11 @@
 
 Each partition tokenises its texts, cuts those longer than a sequence into pieces and packs the
 pieces best-fit, longest first. Bins that are full or nearly so are finished. Underfull bins are
-opened and what they hold goes up a tree: a node packs what its children left, again best-fit, and
-the root finishes everything. Pieces longer than half a sequence never fit together, so a node passes
-on a bounded number of pieces and finishes its fullest bins beyond it; that costs fill, no piece.
+opened and what they hold goes up a tree: its pieces are dealt to the nodes of the next level by a hash, so
+that each node sees the mix of all, and packs them again best-fit; the root finishes everything. Pieces
+longer than half a sequence never fit together, so a node above the partitions passes on a bounded number
+of pieces and finishes its fullest bins beyond it; by then they have met the whole mix, so little fill is
+lost, and no piece.
 
 Defined results: a null text is empty; every document ends with the id 0, so an empty one is one
 piece of length 1; null ids and repeated rows are packed like others; an empty table gives no pieces.
@@ -24,15 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.llm.words import gather, hashes_of, slices, split_words
+from reviewflow.llm.words import U, gather, hashes_of, mixed, slices, split_words
 from reviewflow.session import scratch_dir
 
 CAPACITY = 2048
-#: Children of a node of the tree.
+#: Children of a node of the tree; pieces of a node are at most about this many times ``PASSED_ON``.
 FAN_IN = 16
 #: A bin with at most this share of a sequence free is finished.
 NEARLY_FULL = 1 / 64
-#: Pieces that a node passes on at most.
+#: Pieces that a node passes on at most; a partition, which sees no mix, passes on all.
 PASSED_ON = 50_000
 #: Pieces that are packed at once in a partition.
 AT_ONCE = 1_000_000
@@ -42,7 +44,7 @@ REMEMBERED = 400_000
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, "
-          "offset long, node int, finished boolean")
+          "offset long, node int, deal int, finished boolean")
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 _encoders: dict = {}
@@ -124,20 +126,21 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(free, np.int64)
 
 
-def pack(pieces: dict[str, np.ndarray], first_id: int, parent: int, last: bool,
-         capacity: int) -> tuple[dict[str, np.ndarray], int]:
-    """Pack pieces and say which bins are finished; also the number of bins."""
+def pack(pieces: dict[str, np.ndarray], first_id: int, node: int, last: bool, capacity: int,
+         most: int | None = None) -> tuple[dict[str, np.ndarray], int]:
+    """Pack pieces and say which bins are finished; also the number of bins. ``most``: pieces passed on."""
     bins, offsets, free = best_fit(pieces["length"], capacity)
     finished = np.ones(len(free), bool) if last else free <= capacity * NEARLY_FULL
     if not last:
         held = np.bincount(bins, minlength=len(free))
         rest = np.flatnonzero(~finished)
         rest = rest[np.argsort(-free[rest], kind="stable")]
-        finished[rest[np.cumsum(held[rest]) > PASSED_ON]] = True
+        finished[rest[np.cumsum(held[rest]) > (PASSED_ON if most is None else most)]] = True
     done = finished[bins]
     return {**pieces, "sequence_id": np.where(done, first_id + bins, -1),
             "offset": np.where(done, offsets, -1), "finished": done,
-            "node": np.full(len(bins), parent, np.int32)}, len(free)
+            "node": np.full(len(bins), node, np.int32),
+            "deal": (mixed(U(first_id) + np.arange(len(bins), dtype=U)) >> U(33)).astype(np.int32)}, len(free)
 
 
 def _batch(out: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -174,7 +177,7 @@ def _leaf(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterat
         nonlocal held, n, used
         pieces = {c: pa.concat_arrays([h[c] for h in held]) if c == "doc_id"
                   else np.concatenate([h[c] for h in held]) for c in held[0]}
-        out, bins = pack(pieces, _first(0, node) + used, node // FAN_IN, False, capacity)
+        out, bins = pack(pieces, _first(0, node) + used, node, False, capacity, n)
         held, n, used = [], 0, used + bins
         return _batch(out)
 
@@ -192,7 +195,7 @@ def _node(table: pa.Table, level: int, last: bool, capacity: int) -> pa.Table:
     node = table.column("node")[0].as_py()
     pieces = {c: table.column(c).combine_chunks() if c == "doc_id" else table.column(c).to_numpy()
               for c in _NAMES[:5]}
-    out, _ = pack(pieces, _first(level, node), node // FAN_IN, last, capacity)
+    out, _ = pack(pieces, _first(level, node), node, last, capacity)
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -213,11 +216,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
           .write.parquet(f"{folder}/0")
     while True:
         below = spark.read.schema(PIECES).parquet(f"{folder}/{level}").where(~F.col("finished"))
-        top = below.agg(F.max("node")).first()[0]
+        top, n = below.agg(F.max("node"), F.count("*")).first()
         if top is None:
             break
         level += 1
-        below.groupBy("node").applyInArrow(_packer(level, top == 0, capacity), PIECES) \
+        nodes = max(top // FAN_IN + 1, -(-n // (FAN_IN * PASSED_ON)))
+        below.withColumn("node", F.pmod("deal", F.lit(nodes))).groupBy("node") \
+             .applyInArrow(_packer(level, nodes == 1, capacity), PIECES) \
              .write.parquet(f"{folder}/{level}")
     paths = [f"{folder}/{k}" for k in range(level + 1)]
     return spark.read.schema(PIECES).parquet(*paths).where("finished").select(*_NAMES[:7])

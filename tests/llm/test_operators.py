@@ -109,6 +109,19 @@ def test_best_fit_takes_the_fullest_bin_that_fits():
     assert free.tolist() == [0, 0]
 
 
+def test_packing_of_documents_sorted_by_source_is_as_full_as_of_mixed_ones(spark):
+    """Sources of 17 and of 14 tokens fit together, but each meets only itself in its partitions."""
+    half = 64_000
+    sorted_ = spark.range(0, 2 * half, 1, 32).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < half, F.repeat(F.lit("the "), 16))
+        .otherwise(F.repeat(F.lit("the "), 13)).alias("text"))
+    pieces = packing.pack_documents(sorted_, packing.default_tokenizer(), 32)
+    found = pieces.agg(F.count("*"), F.countDistinct("doc_id"), F.countDistinct("sequence_id"), F.sum("length"))
+    n, ids, bins, tokens = found.first()
+    assert n == ids == 2 * half and tokens == 31 * half
+    assert bins <= 1.01 * half
+
+
 def test_pieces_over_half_a_sequence_are_not_passed_on_without_bound(monkeypatch):
     monkeypatch.setattr(packing, "PASSED_ON", 10)
     lengths = np.full(100, 1500)
