@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.llm import (chat, decontaminate, language, licenses, lm_score, merkle, near_dups,
-                             packing, quality, substring)
+                             packing, quality, spelling, substring)
 
 _SQL: dict[str, str] = {}
 
@@ -79,6 +79,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    run = F.col("run")
+    code = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run))
+    # Every 97th occurrence loses a letter, chosen by the same hash.
+    words = runs.select("run", code.alias("code")).select(
+        F.when(F.col("code") % 97 == 0, spelling.without_letter(run, F.col("code") % F.length(run)))
+         .otherwise(run).alias("word"))
+    return spelling.variants(spelling.counted(words))
+
+
 _ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '</turn>', '\t'), '###', '\h')"
 _SQL["op5_chat_format"] = rf"""
 WITH extra(conv_id, turn, role, text) AS (
@@ -115,10 +126,52 @@ SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL["op11_spelling_variants"] = f"""
+WITH RECURSIVE crc_step(t) AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) FROM range(256) AS r(i)),
+run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS keyed, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(range(1, length(keyed) + 1), lambda i:
+    CASE WHEN unicode(keyed[i]) < 128 THEN [unicode(keyed[i])::BIGINT]
+         ELSE [195::BIGINT, unicode(keyed[i])::BIGINT - 64] END)) AS b FROM run),
+coded AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x:
+    xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crc_step),
+word AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+    FROM coded) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gap AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+pair AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM gap a JOIN gap b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gap a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gap a JOIN word b ON a.rest = b.word),
+best AS (
+  SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n
+  FROM pair GROUP BY word, n),
+link AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM word w LEFT JOIN best USING (word)),
+chain(word, here, following) AS (
+  SELECT word, word, form FROM link
+  UNION ALL SELECT c.word, l.word, l.form FROM chain c JOIN link l ON c.following = l.word)
+SELECT link.word, form, here AS root, n, n_near, form_n
+FROM link JOIN chain ON link.word = chain.word AND following IS NULL"""
+
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_best_fit_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_chat_format,
-    op6_near_duplicates, op7_lm_score, op8_license_scan, op9_substring_dedup, op10_quality]
+    op6_near_duplicates, op7_lm_score, op8_license_scan, op9_substring_dedup, op10_quality,
+    op11_spelling_variants]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
