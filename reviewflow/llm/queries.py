@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.llm import (chat, decontaminate, language, licenses, lm_score, merkle, near_dups,
+from reviewflow.llm import (chat, decontaminate, divergence, language, licenses, lm_score, merkle, near_dups,
                              packing, quality, spelling, substring)
 
 _SQL: dict[str, str] = {}
@@ -90,6 +90,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted(words))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 _ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '</turn>', '\t'), '###', '\h')"
 _SQL["op5_chat_format"] = rf"""
 WITH extra(conv_id, turn, role, text) AS (
@@ -167,11 +171,44 @@ chain(word, here, following) AS (
 SELECT link.word, form, here AS root, n, n_near, form_n
 FROM link JOIN chain ON link.word = chain.word AND following IS NULL"""
 
+_SQL["op12_source_divergence"] = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+use AS (SELECT row, lang, source, unnest(terms) AS term FROM doc),
+kept AS (SELECT lang, term FROM use GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+here AS (SELECT DISTINCT lang, source FROM doc),
+cell AS (SELECT lang, source, term, count(*) AS c FROM use JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (
+  SELECT here.lang, here.source, kept.term, coalesce(c, 0)::HUGEINT AS c
+  FROM here JOIN kept USING (lang) LEFT JOIN cell USING (lang, source, term)),
+p AS (
+  SELECT *, 1 + (1000000000 * (c + 2)) // (sum(c) OVER g + 2 * count(*) OVER g) AS p
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+whole AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM dense GROUP BY ALL),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (c + 2)) // (sum(c) OVER g + 2 * count(*) OVER g) AS q
+  FROM whole WINDOW g AS (PARTITION BY lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+term AS (
+  SELECT p.lang, p.source, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM here a JOIN here b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10"""
+
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_best_fit_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_chat_format,
     op6_near_duplicates, op7_lm_score, op8_license_scan, op9_substring_dedup, op10_quality,
-    op11_spelling_variants]
+    op11_spelling_variants, op12_source_divergence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
