@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.llm import (chat, decontaminate, divergence, language, licenses, lm_score, merkle, near_dups,
-                             packing, quality, spelling, substring)
+                             packing, quality, spelling, substring, topk)
 
 _SQL: dict[str, str] = {}
 
@@ -94,6 +94,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.nearest(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 _ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '</turn>', '\t'), '###', '\h')"
 _SQL["op5_chat_format"] = rf"""
 WITH extra(conv_id, turn, role, text) AS (
@@ -204,11 +209,26 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM ranked QUALIFY part = 'pair' OR rank <= 10"""
 
+_SQL["op13_exact_top_k"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.row <> c.row WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW w AS (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) QUALIFY rank <= 5"""
+
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_best_fit_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_chat_format,
     op6_near_duplicates, op7_lm_score, op8_license_scan, op9_substring_dedup, op10_quality,
-    op11_spelling_variants, op12_source_divergence]
+    op11_spelling_variants, op12_source_divergence,
+    op13_exact_top_k]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
