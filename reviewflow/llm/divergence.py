@@ -365,12 +365,9 @@ def counts(docs: DataFrame, machines: DataFrame, limits: list[bytes]) -> DataFra
 # Figures
 
 def share(count: str, n: str, v: str) -> Column:
-    """``1 + floor(10^9 (count + 2) / (n + 2 v))`` in whole numbers of any size."""
-    return F.expr(f"1 + ({SCALE} * CAST({count} + 2 AS DECIMAL(28, 0))) div CAST({n} + 2 * {v} AS DECIMAL(28, 0))")
-
-
-def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return (p - q) ** 2 // (p + q)
+    """``1 + floor(10^9 (count + 2) / (n + 2 v))`` in whole numbers of any size; null where there are no terms."""
+    return F.expr(f"1 + ({SCALE} * CAST({count} + 2 AS DECIMAL(28, 0))) div "
+                  f"CAST(nullif({n} + 2 * {v}, 0) AS DECIMAL(28, 0))")
 
 
 def _pairs(key: tuple, table: pa.Table) -> pa.Table:
