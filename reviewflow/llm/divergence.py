@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewflow.llm.words import give_back, slices
+from reviewflow.llm.words import gather, give_back, slices
 from reviewflow.session import scratch_dir
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms of a shard, and bytes of text whose terms one task of a shard takes in, both on average.
-SHARD_TERMS, SHARD_BYTES = 16_384, 64 << 20
+SHARD_TERMS, SHARD_BYTES = 16_384, 8 << 20
 MOST_SHARDS = 20_000
 #: Sampled terms for each border, and characters of a border.
 SAMPLED, BORDER = 8, 1000
@@ -48,17 +47,70 @@ SCALE = 1_000_000_000
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """lang, source and text without nulls, text small from A to Z."""
-    none = F.lit("")
-    return docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"),
-                       F.translate(F.coalesce("text", none), UPPER, UPPER.lower()).alias("text"))
+    """lang, source and text without nulls."""
+    return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+class Tokens(NamedTuple):
+    """Terms of some texts: the distinct ones in order, the number of each occurrence's term, and its text."""
+
+    distinct: pa.Array
+    code: np.ndarray
+    row: np.ndarray
+
+
+def tokens(texts: pa.Array) -> Tokens:
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    raw = raw + (((raw - 65) < 26).astype(np.uint8) << 5)
+    inside = (raw >= 128) | ((raw - 97) < 26)
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    between = offsets[(offsets > 0) & (offsets < len(raw))]
+    begin[between] = inside[between]
+    end[between - 1] = inside[between - 1]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    ends = np.concatenate([[0], np.cumsum(end - begin)])
+    found = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])]).dictionary_encode()
+    order = pc.sort_indices(found.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return Tokens(found.dictionary.take(order), rank[found.indices.to_numpy()],
+                  np.searchsorted(offsets, begin, side="right") - 1)
+
+
+def _numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values in order, and which of them each row has."""
+    found = column.dictionary_encode()
+    order = pc.sort_indices(found.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return found.dictionary.take(order), rank[found.indices.to_numpy()]
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each slice and language hold each term."""
+    for batch in slices(batches):
+        terms, code, row = tokens(batch.column("text"))
+        langs, lang = _numbered(batch.column("lang"))
+        once = np.unique(row * max(1, len(terms)) + code)
+        row, code = np.divmod(once, max(1, len(terms)))
+        cell, n = np.unique(lang[row] * max(1, len(terms)) + code, return_counts=True)
+        lang, code = np.divmod(cell, max(1, len(terms)))
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(lang)), terms.take(pa.array(code)).cast(pa.large_string()).cast(pa.string()),
+             pa.array(n, pa.int64())], names=["lang", "term", "n"])
+        give_back()
 
 
 def kept_terms(docs: DataFrame, least: int = 10) -> DataFrame:
     """lang, term: terms that at least ``least`` documents of the language hold; of ``named`` rows."""
-    term = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term")
-    return docs.select("lang", term).groupBy("lang", "term").count().where(F.col("count") >= least) \
-        .select("lang", "term")
+    return docs.select("lang", "text").mapInArrow(_held, "lang string, term string, n long") \
+        .groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "term")
 
 
 # Shards
@@ -80,16 +132,12 @@ def borders(kept: DataFrame) -> list[bytes]:
     return found[SAMPLED::SAMPLED]
 
 
-def _shards(lang: str, terms: list[bytes], limits: list[bytes]) -> np.ndarray:
-    """Shard of each of the sorted terms of a language."""
-    key = lambda i: _key(lang, terms[i])
-    low, high = bisect_right(limits, key(0)), bisect_right(limits, key(len(terms) - 1))
-    cuts = [bisect_left(range(len(terms)), x, key=key) for x in limits[low:high]]
-    return low + np.searchsorted(np.array(cuts, np.int64), np.arange(len(terms)), side="right")
-
-
-def _key(lang: str, term: bytes) -> bytes:
-    return f"{lang[:BORDER]}\0{term.decode()[:BORDER]}".encode()
+def _shards(lang: str, terms: pa.Array, codes: np.ndarray, limits: list[bytes]) -> np.ndarray:
+    """Shard of each of the terms ``codes``, in order, of a language."""
+    key = lambda i: f"{lang[:BORDER]}\0{terms[codes[i]].as_py().decode()[:BORDER]}".encode()
+    low, high = bisect_right(limits, key(0)), bisect_right(limits, key(len(codes) - 1))
+    cuts = [bisect_left(range(len(codes)), x, key=key) for x in limits[low:high]]
+    return low + np.searchsorted(np.array(cuts, np.int64), np.arange(len(codes)), side="right")
 
 
 # Transducers
@@ -230,62 +278,43 @@ def _shard_column(key: Column, limits: list[bytes]) -> Column:
 
 # Counting
 
-def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All terms of the texts, and the text each is of."""
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = (raw >= 128) | (((raw | 32) - 97) < 26)
-    begin, end = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1]
-    end[:-1] &= ~inside[1:]
-    between = offsets[(offsets > 0) & (offsets < len(raw))]
-    begin[between] = inside[between]
-    end[between - 1] = inside[between - 1]
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    ends = np.concatenate([[0], np.cumsum(end - begin)])
-    terms = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
-    return terms, np.searchsorted(offsets, begin, side="right") - 1
-
-
 def _sent(batches: Iterator[pa.RecordBatch], limits: list[bytes], salts: int) -> Iterator[pa.RecordBatch]:
-    """The terms of each slice with their counts: for each shard the groups, and packed terms of all."""
+    """The terms of each slice, each once for a language, packed for each shard, with their counts by source."""
     schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("langs", pa.list_(pa.string())),
                         ("sources", pa.list_(pa.string())), ("packed", pa.binary())])
     for turn, batch in enumerate(slices(batches)):
-        terms, row = _terms(batch.column("text"))
+        terms, code, row = tokens(batch.column("text"))
         if not len(terms):
             continue
-        lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
-        counted = pa.table({
-            "lang": pa.array(lang.indices.to_numpy()[row]), "source": pa.array(source.indices.to_numpy()[row]),
-            "term": terms}).group_by(["lang", "source", "term"]).aggregate([([], "count_all")]) \
-            .sort_by([("lang", "ascending"), ("term", "ascending")])
-        of, at = counted.column("lang").to_numpy(), counted.column("source").to_numpy()
-        n, held = counted.column("count_all").to_numpy(), counted.column("term").to_pylist()
-        shard = np.zeros(len(of), np.int64)
-        for code in np.unique(of):
-            a, b = np.searchsorted(of, [code, code + 1])
-            shard[a:b] = _shards(langs[code], held[a:b], limits)
-        del counted, terms, row
+        (langs, lang), (sources, source) = (_numbered(batch.column(c)) for c in ("lang", "source"))
+        values = np.frombuffer(terms.buffers()[2], np.uint8)
+        starts = np.frombuffer(terms.buffers()[1], np.int64)[:len(terms) + 1]
+        cell, n = np.unique((lang[row] * len(terms) + code) * len(sources) + source[row], return_counts=True)
+        # Counts come by language, then term, then source; so do the terms of a language.
+        entry, source = np.divmod(cell, len(sources))
+        own, entry = np.unique(entry, return_inverse=True)
+        lang, code = np.divmod(own, len(terms))
+        shard = np.zeros(len(own), np.int64)
+        for at in np.unique(lang):
+            a, b = np.searchsorted(lang, [at, at + 1])
+            shard[a:b] = _shards(langs[int(at)].as_py(), terms, code[a:b], limits)
         out = {c: [] for c in schema.names}
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0])
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            here = order[a:b]
-            groups, group = np.unique(np.stack([of[here], at[here]]), axis=1, return_inverse=True)
-            some = [held[i] for i in here.tolist()]
-            head = np.array([group.ravel(), [len(x) for x in some], n[here]], np.int64)
-            out["shard"].append(int(shard[here[0]]))
+        by_shard = np.argsort(shard[entry], kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(shard[entry][by_shard]) > 0])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by_shard)]):
+            here = by_shard[a:b]
+            mine, which = np.unique(entry[here], return_inverse=True)
+            from_, of = np.unique(source[here], return_inverse=True)
+            in_, speech = np.unique(lang[mine], return_inverse=True)
+            head = [np.array([len(mine), len(here)]), np.diff(starts)[code[mine]], speech, which, of, n[here]]
+            out["shard"].append(int(shard[mine[0]]))
             out["salt"].append(turn % salts)
-            out["langs"].append([langs[i] for i in groups[0]])
-            out["sources"].append([sources[i] for i in groups[1]])
-            out["packed"].append(np.int64(b - a).tobytes() + head.tobytes() + b"".join(some))
+            out["langs"].append(langs.take(pa.array(in_)).to_pylist())
+            out["sources"].append(sources.take(pa.array(from_)).to_pylist())
+            out["packed"].append(b"".join(x.astype(np.int64).tobytes() for x in head)
+                                 + gather(values, starts, code[mine]).tobytes())
         yield pa.RecordBatch.from_pydict(out, schema=schema)
-        del held, out
+        del terms, code, row, cell, out
         give_back()
 
 
@@ -317,21 +346,23 @@ def _through(key: tuple, known: pa.Table, texts: pa.Table) -> pa.Table:
     """Counts by term number of the packed terms of one shard."""
     machines = {r["lang"]: (Transducer.unpacked(r["packed"]), _Sums(r["n_terms"])) for r in known.to_pylist()}
     for langs, sources, packed in zip(*(texts.column(c).to_pylist() for c in ("langs", "sources", "packed"))):
-        k = int(np.frombuffer(packed, np.int64, 1)[0])
-        group, length, n = np.frombuffer(packed, np.int64, 3 * k, 8).reshape(3, k)
-        raw = np.frombuffer(packed, np.uint8, -1, 8 + 24 * k)
+        n_terms, n_counts = np.frombuffer(packed, np.int64, 2)
+        length, speech = np.frombuffer(packed, np.int64, 2 * n_terms, 16).reshape(2, n_terms)
+        which, of, n = np.frombuffer(packed, np.int64, 3 * n_counts, 16 + 16 * n_terms).reshape(3, n_counts)
+        raw = np.frombuffer(packed, np.uint8, -1, 16 + 16 * n_terms + 24 * n_counts)
         begin = np.cumsum(length) - length
-        # Groups are numbered by language, and terms come by language.
-        for lang in dict.fromkeys(langs):
+        for at, lang in enumerate(langs):
             if lang not in machines:
                 continue
             machine, sums = machines[lang]
-            mine = np.array([x == lang for x in langs])[group]
-            number = machine.numbers(raw, begin[mine], length[mine])
-            ids = np.array([sums.sources.setdefault(s, len(sums.sources)) if x == lang else -1
-                            for x, s in zip(langs, sources)])
+            # Terms of a language lie together, and so do their counts.
+            a, b = np.searchsorted(speech, [at, at + 1])
+            number = machine.numbers(raw, begin[a:b], length[a:b])
+            i, j = np.searchsorted(which, [a, b])
+            number = number[which[i:j] - a]
+            ids = np.array([sums.sources.setdefault(x, len(sums.sources)) for x in sources])
             hit = number >= 0
-            sums.add(ids[group[mine]][hit], number[hit], n[mine][hit])
+            sums.add(ids[of[i:j]][hit], number[hit], n[i:j][hit])
     out = []
     for lang, (_, sums) in machines.items():
         code, n = sums.reduced()
