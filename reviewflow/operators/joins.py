@@ -9,23 +9,37 @@ from operator import add
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 # Rows and bytes of text of one key that a single task may take on the many side of a left join.
 HOT_ROWS, PART_BYTES = 1_000_000, 1 << 30
-# Ids that may be sent to every executor: about 100 MB for text ids of 36 characters.
-SENT_IDS = 1_000_000
+# Ids that may be sent to every executor, and their bytes: a million text ids of 36 characters take 50 MB.
+SENT_IDS, SENT_BYTES = 1_000_000, 128 << 20
 # Rows per side of one block in a blocked all-against-all comparison.
 BLOCK_ROWS = 4096
 
 
-def send_if_small(ids: DataFrame, rows: int = SENT_IDS) -> DataFrame:
-    """Mark a frame of ids for broadcast when a count shows that it is small enough.
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, StructType):
+        return reduce(add, [value_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(8))
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 16
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def send_if_small(ids: DataFrame, rows: int = SENT_IDS, most_bytes: int = SENT_BYTES) -> DataFrame:
+    """Mark a frame of ids for broadcast when a count of rows and bytes shows that it is small enough.
 
     Without the mark the planner knows only the size of the unfiltered table, and would shuffle
     the large table on the other side before it finds out. Beyond the limit the frame stays
     unmarked: both sides shuffle and the adaptive skew join splits hot keys.
     """
-    return F.broadcast(ids) if ids.count() <= rows else ids
+    size = reduce(add, [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in ids.schema.fields], F.lit(0))
+    n, total = ids.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return F.broadcast(ids) if n <= rows and (total or 0) <= most_bytes else ids
 
 
 def left_join_many(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

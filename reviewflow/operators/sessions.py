@@ -194,10 +194,10 @@ def close_sessions(sessions: DataFrame, results: DataFrame, as_of) -> DataFrame:
     """Close the sessions that have a result: duration, status and label.
 
     ``results``: session_id, label, error (one row per session). Others stay as they are. The
-    duration column is a 32-bit number of ms, so a session open for over 24 days gets its maximum.
+    duration column is a 32-bit number of ms, so a session open for over 24 days gets its maximum. Sessions
+    that are kept as a ``KeyedTable`` are closed in the folders of the results alone (``rewrite``).
     """
-    outcome = send_if_small(results.select(F.col("session_id").alias("_session"),
-                                           F.struct("label", "error").alias("_result")))
+    outcome = results.select(F.col("session_id").alias("_session"), F.struct("label", "error").alias("_result"))
     closed, error = F.col("_result").isNotNull(), F.nullif(F.col("_result.error"), F.lit(""))
     now = as_of_column(as_of, sessions, STARTED)
     new = {

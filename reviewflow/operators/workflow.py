@@ -106,10 +106,10 @@ def archive(sessions: DataFrame, as_of=None, months: int = 6) -> DataFrame:
 def apply_updates(current: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Current table with ``columns`` taken from ``updates`` where the key has one.
 
-    ``updates`` holds one row per key. An update to NULL counts as an update. Few updates are sent to the
-    scan, so the table is not shuffled for them.
+    ``updates`` holds one row per key. An update to NULL counts as an update. The whole table is read and
+    given back; a table that is kept as a ``KeyedTable`` takes updates into the folders they touch.
     """
-    new = send_if_small(updates.select(F.col(key).alias("_key"), F.struct(*columns).alias("_new")))
+    new = updates.select(F.col(key).alias("_key"), F.struct(*columns).alias("_new"))
     hit = F.col("_new").isNotNull()
     return current.join(new, F.col(key) == F.col("_key"), "left").select(*[
         F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)

@@ -11,6 +11,16 @@ from reviewflow.operators import workflow as w
 from reviewflow.plans.dashboard import NOW
 from reviewflow.plans.registry import query
 from reviewflow.schemas import SESSION_CHILDREN
+from reviewflow.session import scratch_dir
+from reviewflow.sources.keyed import KeyedTable
+
+# Folders of the tables that are changed in place here; on a cluster one for each 100 MB.
+BUCKETS = 16
+
+
+def kept(t, df: DataFrame, key: str) -> KeyedTable:
+    return KeyedTable.create(df, scratch_dir(t.spark, "kept") + "/table", key, BUCKETS)
+
 
 query("l3_start_workflows", """
     SELECT id AS session_id, 'processing' AS workflow_state, 'email_classification' AS current_step,
@@ -80,17 +90,56 @@ def draft_edits(t):
         F.when(F.col("quality") == 1, F.length("text") + 8).alias("final_draft_length"))
 
 
-query("s5_apply_updates", """
+_DRAFTS_EDITED = """
     SELECT dg.session_id, draft_content,
         CASE WHEN l.doc_id IS NULL THEN final_draft_content WHEN quality = 1 THEN 'Edited: ' || text END
             AS final_draft_content,
         CASE WHEN quality = 1 THEN CAST(length(text) + 8 AS INT) END AS final_draft_length
     FROM draft_generations dg LEFT JOIN labels l ON dg.session_id = l.doc_id
-    LEFT JOIN documents d ON l.doc_id = d.doc_id""")(
-    lambda t: w.apply_updates(
-        t["draft_generations"].select("session_id", "draft_content", "final_draft_content",
-                                      F.lit(None).cast("int").alias("final_draft_length")),
-        draft_edits(t), "session_id", ["final_draft_content", "final_draft_length"]))
+    LEFT JOIN documents d ON l.doc_id = d.doc_id"""
+
+
+def drafts(t):
+    return t["draft_generations"].select("session_id", "draft_content", "final_draft_content",
+                                         F.lit(None).cast("int").alias("final_draft_length"))
+
+
+query("s5_apply_updates", _DRAFTS_EDITED)(lambda t: w.apply_updates(
+    drafts(t), draft_edits(t), "session_id", ["final_draft_content", "final_draft_length"]))
+
+
+def drafts_in_place(t):
+    table = kept(t, drafts(t), "session_id")
+    table.update(draft_edits(t), ["final_draft_content", "final_draft_length"])
+    return table.read()
+
+
+query("s5_update_in_place", _DRAFTS_EDITED)(drafts_in_place)
+
+query("s5_upsert_in_place", """
+    SELECT session_id, CASE WHEN session_id % 10 = 0 THEN 'archived' ELSE workflow_state END AS workflow_state,
+        CASE WHEN session_id % 10 = 0 THEN 'none' ELSE current_step END AS current_step FROM email_workflows
+    UNION ALL SELECT -1 - o_orderkey, 'archived', 'none' FROM orders WHERE o_orderkey % 10 = 0""")(
+    lambda t: upserted(t))
+
+
+def upserted(t):
+    table = kept(t, t["email_workflows"], "session_id")
+    tenth = t["orders"].filter("o_orderkey % 10 = 0").select(
+        F.explode(F.array("o_orderkey", -1 - F.col("o_orderkey"))).alias("session_id"),
+        F.lit("archived").alias("workflow_state"), F.lit("none").alias("current_step"))
+    table.upsert(tenth)
+    return table.read()
+
+
+def workflows_in_place(t):
+    table = kept(t, t["email_workflows"], "session_id")
+    feedback = t["quality_feedback"]
+    table.rewrite(feedback.select("session_id"), lambda rows: w.workflow_from_feedback(rows, feedback))
+    return table.read()
+
+
+query("l4_workflow_in_place", DUCK_WORKFLOW)(workflows_in_place)
 
 query("s5_mailed_flags", f"""
     SELECT qf.id, qf.session_id, action IS NOT NULL AND action = 'approved' AS gmail_draft_created

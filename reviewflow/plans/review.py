@@ -8,6 +8,7 @@ from reviewflow.operators import dashboard as d
 from reviewflow.operators import review as r
 from reviewflow.operators import sessions as s
 from reviewflow.plans.dashboard import NOW
+from reviewflow.plans.lifecycle import kept
 from reviewflow.plans.registry import query, rounded
 from reviewflow.sources.driver_tables import _LABEL
 
@@ -206,7 +207,7 @@ def node_marks(t):
 query("f6_node_durations", DURATIONS_SQL)(lambda t: s.node_durations(node_marks(t)))
 
 
-query("f7_close_sessions", f"""
+CLOSED_SQL = f"""
     SELECT es.* REPLACE (
         CASE WHEN cr.session_id IS NULL THEN processing_completed_at ELSE {NOW} END
             AS processing_completed_at,
@@ -220,8 +221,21 @@ query("f7_close_sessions", f"""
         CASE WHEN cr.session_id IS NULL THEN classification ELSE predicted_label END
             AS classification)
     FROM email_sessions es LEFT JOIN classification_results cr
-        ON es.id = cr.session_id AND es.status = 'processing'""")(
-    lambda t: s.close_sessions(t["email_sessions"], _results(t), None))
+        ON es.id = cr.session_id AND es.status = 'processing'"""
+query("f7_close_sessions", CLOSED_SQL)(lambda t: s.close_sessions(t["email_sessions"], _results(t), None))
+
+
+def closed_in_place(t):
+    """Sessions kept in buckets; only the buckets of sessions with a result are read and written."""
+    table = kept(t, t["email_sessions"], "id")
+    now = F.lit(t["email_sessions"].agg(F.max(s.STARTED)).first()[0]).cast("timestamp_ntz")
+    results = _results(t)
+    table.rewrite(results.select("session_id"), lambda rows: s.close_sessions(rows, results, now))
+    return table.read()
+
+
+query("f7_close_in_place", CLOSED_SQL)(closed_in_place)
+
 
 
 def _results(t):
