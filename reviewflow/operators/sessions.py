@@ -177,7 +177,11 @@ def node_durations(marks: DataFrame) -> DataFrame:
     without a start gives nothing, nor does a start without an end. A run of over 24 days gets the largest
     number of the 32-bit column.
     """
-    ended = paired_marks(marks).filter("mark = 'end' AND _before = 'start'")
+    return durations_of(paired_marks(marks).filter("mark = 'end' AND _before = 'start'"))
+
+
+def durations_of(ended: DataFrame) -> DataFrame:
+    """Durations from end marks with the time of their start, ``_since``."""
     return ended.select(
         "session_id", "node_name", "run", F.col("_since").alias("started_at"),
         F.col("at").alias("completed_at"), "success",
@@ -185,11 +189,6 @@ def node_durations(marks: DataFrame) -> DataFrame:
         .alias("duration_ms"))
 
 
-def open_starts(marks: DataFrame) -> DataFrame:
-    """The start marks that still wait for their end."""
-    return paired_marks(marks).filter("mark = 'start' AND _after IS NULL").select(*marks.columns)
-
-
 def close_sessions(sessions: DataFrame, results: DataFrame, as_of) -> DataFrame:
     """Close the sessions that have a result: duration, status and label.
 

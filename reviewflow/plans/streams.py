@@ -15,6 +15,7 @@ from reviewflow.sources.driver_tables import BASE, Tables
 from reviewflow.sources.mail import mail_stream
 from reviewflow.streaming import ingest as si
 from reviewflow.streaming import live
+from reviewflow.streaming import sessions as ss
 from reviewflow.streaming.runs import current, finish, to_files
 
 
@@ -106,8 +107,8 @@ def decisions(t):
     path = scratch_dir(t.spark, "decisions")
     mails = streams(t)["mails"].select(F.lpad(F.col("message_id").cast("string"), 12, "0").alias("message_id"),
                                        "body", "sender_email", "received_at")
-    finish(si.session_state(mails, path, trigger=None))
-    return _retyped(t.spark.read.parquet(f"{path}/rows").drop("batch_id"), "timestamp", "timestamp_ntz")
+    finish(ss.session_state(mails, path, trigger=None))
+    return _retyped(t.spark.read.parquet(f"{path}/rows"), "timestamp", "timestamp_ntz")
 
 
 
@@ -121,16 +122,25 @@ query("t4_workflow_stream", DUCK_WORKFLOW)(live_state)
 
 
 def in_polls(t, df, time_col: str, polls: int = 4):
-    """``df`` as a stream of some files, which arrive in the order of their time."""
+    """``df`` as a stream of some polls in the order of time, rows without a time in the first.
+
+    Every poll is written as the same number of files, and the stream takes that many at once.
+    """
     path = scratch_dir(t.spark, "polls")
+    files = t.spark.sparkContext.defaultParallelism
     df = _retyped(df, "timestamp_ntz", "timestamp")
     low, high = df.agg(F.min(time_col), F.max(time_col)).first()
-    width = (high - low) / polls if low is not None else None
-    for n in range(polls if low is not None else 0):
-        part = df.filter(F.col(time_col) >= F.lit(low + n * width)) if n else df
-        part = part.filter(F.col(time_col) < F.lit(low + (n + 1) * width)) if n < polls - 1 else part
-        part.coalesce(1).write.parquet(f"{path}/poll={n}")
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/poll=*")
+    if low is None:
+        polls = 1
+    for n in range(polls):
+        part = df
+        if n:
+            part = part.filter(F.col(time_col) >= F.lit(low + n * (high - low) / polls))
+        if n < polls - 1:
+            before = F.col(time_col) < F.lit(low + (n + 1) * (high - low) / polls)
+            part = part.filter(before if n else before | F.col(time_col).isNull())
+        part.repartition(files).write.parquet(f"{path}/poll={n}")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/poll=*")
 
 
 def state_of(t, start, label: str):
@@ -168,8 +178,7 @@ for _name, _hours, _step in (("t5_health_stream", 1, 5), ("t5_health_stream_day"
 def streamed_durations(t):
     path = scratch_dir(t.spark, "durations")
     finish(live.node_duration_stream(in_polls(t, node_marks(t), "at"), path, trigger=None))
-    rows = t.spark.read.parquet(f"{path}/rows").drop("batch_id")
-    return _retyped(rows, "timestamp", "timestamp_ntz")
+    return _retyped(live.streamed_durations(t.spark, path), "timestamp", "timestamp_ntz")
 
 
 query("t6_node_duration_stream", DURATIONS_SQL)(streamed_durations)

@@ -49,6 +49,12 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder, so that reading it gives no rows where none were written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 

@@ -1,4 +1,4 @@
-"""Continuous mail intake and session state."""
+"""Continuous mail intake."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reviewflow.functions.text import email_hash
 from reviewflow.operators.ingest import decide, first_copies, intake
 from reviewflow.operators.joins import send_if_small
-from reviewflow.streaming.runs import POLL, folded, to_batches
+from reviewflow.streaming.runs import POLL, to_batches
 
 MEMORY = "1 hour"
 # Mail hashes of a poll that are put into the filter of the log's scan.
@@ -106,47 +105,3 @@ def dedupe_stream(mails: DataFrame, memory: str = MEMORY) -> DataFrame:
     """Each message id once; ids are forgotten after ``memory`` of event time."""
     return mails.withWatermark("received_at", memory) \
                 .dropDuplicatesWithinWatermark(["message_id"])
-
-
-_STATUS = "email_hash STRING, status STRING"
-
-
-def _decide_poll(rows: DataFrame, state: DataFrame | None):
-    """Statuses after a poll, and the decision on each hash that has mail in it."""
-    mail = F.col("closed_as").isNull()
-    seen = rows.groupBy("email_hash").agg(
-        F.count_if(mail).alias("copies"),
-        F.min(F.when(mail, F.struct("received_at", "message_id"))).alias("_first"),
-        F.max(F.when(~mail, F.struct("received_at", "closed_as"))).alias("_closing"))
-    if state is None:
-        state = rows.sparkSession.createDataFrame([], _STATUS)
-    both = seen.join(state.withColumnRenamed("status", "_status"), "email_hash", "full_outer")
-    arrived = F.coalesce("copies", F.lit(0)) > 0
-    both = both.withColumn("decision", F.when(arrived, F.when(F.col("_status").isNull(), "new").when(
-        F.col("_status") == "completed", "skip").otherwise("retry")))
-    both = both.withColumn("status", F.when(~arrived, F.col("_status")).when(
-        F.col("decision") == "skip", "completed").otherwise("processing"))
-    after = F.when(F.col("status").isNotNull() & F.col("_closing").isNotNull(),
-                   F.col("_closing.closed_as")).otherwise(F.col("status"))
-    return (both.select("email_hash", after.alias("status")).filter("status IS NOT NULL"),
-            both.filter(arrived).select("email_hash", "_first.message_id", "_first.received_at", "copies",
-                                        "decision", "status"))
-
-
-def session_state(mails: DataFrame, path: str, closes: DataFrame | None = None,
-                  trigger: str | None = POLL):
-    """Decision per poll and mail hash (new, retry, skip), given out under ``path``.
-
-    ``mails``: message_id, body, sender_email, received_at. ``closes``: email_hash, closed_as,
-    received_at, the ends of sessions. The state of a hash is one status; a poll works off all its hashes
-    together.
-    """
-    events = mails.select(
-        email_hash(F.col("body"), F.col("sender_email")).alias("email_hash"),
-        F.col("message_id").cast("string"), F.col("received_at").cast("timestamp"),
-        F.lit(None).cast("string").alias("closed_as"))
-    if closes is not None:
-        events = events.unionByName(closes.select(
-            "email_hash", F.lit(None).cast("string").alias("message_id"),
-            F.col("received_at").cast("timestamp"), "closed_as"))
-    return folded(events, _decide_poll, path, trigger)

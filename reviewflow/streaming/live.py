@@ -6,41 +6,85 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.operators.ingest import FRESH_SECONDS
-from reviewflow.operators.sessions import node_durations, open_starts
-from reviewflow.operators.workflow import FEEDBACK_STATES, _advance, last_action
-from reviewflow.streaming.runs import POLL, current, folded
+from reviewflow.operators.sessions import durations_of, paired_marks
+from reviewflow.operators.workflow import FEEDBACK_STATES, _advance
+from reviewflow.session import delete_dir, make_dir
+from reviewflow.sources.keyed import KeyedTable
+from reviewflow.streaming.runs import POLL, counted, to_batches
 
 STEP = "5 minutes"
 
 
+# Kept beside a workflow: the action that its state comes from, so that an older one that comes late changes nothing.
+ACTED = ("acted_at", "acted_id")
+
+
 def workflow_stream(feedback: DataFrame, path: str, trigger: str | None = POLL):
-    """Fold feedback into the last effective action of each session, one current state."""
-    def fold(rows: DataFrame, state: DataFrame | None):
-        kept = rows.filter(F.col("human_action").isin(*FEEDBACK_STATES)) \
-                   .select("session_id", "created_at", "id", "human_action")
-        kept = kept if state is None else kept.unionByName(state)
-        newest = F.max(F.struct("created_at", "id", "human_action")).alias("_last")
-        return kept.groupBy("session_id").agg(newest).select("session_id", "_last.*"), None
+    """Log the last effective action of each session of a poll.
 
-    return folded(feedback, fold, path, trigger)
+    No state is kept: the last of the last actions is the last. A poll reads and writes its own rows alone;
+    ``settle_workflows`` takes logged polls into a kept table and deletes them.
+    """
+    def poll(rows: DataFrame, batch_id: int) -> None:
+        newest = F.max(F.struct("created_at", "id", "human_action")).alias("_last")
+        rows.filter(F.col("human_action").isin(*FEEDBACK_STATES)).groupBy("session_id").agg(newest) \
+            .select("session_id", "_last.*").write.mode("overwrite").parquet(f"{path}/actions/batch_id={batch_id}")
+
+    return to_batches(feedback, poll, path, trigger)
+
+
+def _advanced(workflows: DataFrame, actions: DataFrame) -> DataFrame:
+    """Workflow rows after the logged actions that are newer than those they come from."""
+    newest = actions.groupBy(F.col("session_id").alias("_session")).agg(
+        F.max(F.struct("created_at", "id", "human_action")).alias("_newest"))
+    if not set(ACTED) <= set(workflows.columns):
+        last = newest.select("_session", F.col("_newest.human_action").alias("_last"))
+        return _advance(workflows, last, FEEDBACK_STATES, ["workflow_state", "current_step"])
+    acted = F.struct(F.col("acted_at").alias("created_at"), F.col("acted_id").alias("id"))
+    later = F.col("acted_at").isNull() | (F.struct("_newest.created_at", "_newest.id") > acted)
+    last = workflows.join(newest, F.col("session_id") == F.col("_session")).where(later).select(
+        "_session", F.col("_newest.human_action").alias("_last"), F.col("_newest.created_at").alias("_at"),
+        F.col("_newest.id").alias("_id"))
+    stated = _advance(workflows, last.select("_session", "_last"), FEEDBACK_STATES,
+                      ["workflow_state", "current_step"])
+    times = last.select(F.col("_session").alias("_of"), "_at", "_id")
+    return stated.join(times, F.col("session_id") == F.col("_of"), "left").select(*[
+        F.coalesce("_at" if c == "acted_at" else "_id", c).alias(c) if c in ACTED else F.col(c)
+        for c in workflows.columns])
 
 
 def live_workflows(spark: SparkSession, workflows: DataFrame, path: str) -> DataFrame:
-    """Workflow rows after everything folded so far; equals the batch operator on the whole log."""
-    last = last_action(current(spark, path), F.col("human_action"), FEEDBACK_STATES)
-    return _advance(workflows, last, FEEDBACK_STATES, ["workflow_state", "current_step"])
+    """Workflow rows after everything logged so far; equals the batch operator on the whole log.
+
+    ``workflows`` with the columns ``ACTED`` may have taken in some of the actions before.
+    """
+    return _advanced(workflows, spark.read.parquet(f"{path}/actions"))
+
+
+def settle_workflows(table: KeyedTable, path: str) -> list[int]:
+    """Take all logged polls but the newest into the kept workflows, then delete them; returns their numbers.
+
+    The table has the columns ``ACTED``, null at first. Only the folders of sessions with an action are read and
+    written. Polls that are taken in again, after a failure, change nothing.
+    """
+    log = table.spark.read.parquet(f"{path}/actions")
+    polls = sorted(r[0] for r in log.select("batch_id").distinct().collect())[:-1]
+    if polls:
+        old = log.where(F.col("batch_id").isin(polls)).drop("batch_id")
+        table.rewrite(old.select("session_id"), lambda rows: _advanced(rows, old))
+    for n in polls:
+        delete_dir(table.spark, f"{path}/actions/batch_id={n}")
+    return polls
 
 
 def health_stream(sessions: DataFrame, path: str, time_col: str = "processing_started_at",
                   step: str = STEP, trigger: str | None = POLL):
     """Keep rows and failures per ``step``. Late rows are added to their step; none is dropped."""
-    def fold(rows: DataFrame, state: DataFrame | None):
-        new = rows.filter(F.col(time_col).isNotNull()).groupBy(F.window(time_col, step).start.alias("step")) \
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col(time_col).isNotNull()).groupBy(F.window(time_col, step).start.alias("step")) \
             .agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("errors"))
-        both = new if state is None else new.unionByName(state)
-        return both.groupBy("step").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors")), None
 
-    return folded(sessions, fold, path, trigger)
+    return counted(sessions, count, ["step"], path, trigger)
 
 
 def health_windows(steps: DataFrame, length: str = "1 hour", step: str = STEP) -> DataFrame:
@@ -56,18 +100,14 @@ def health_windows(steps: DataFrame, length: str = "1 hour", step: str = STEP) -
 def feedback_stream(feedback: DataFrame, path: str, trigger: str | None = POLL):
     """Keep counts and sums per day. Late rows are added to their day; none is dropped."""
     acted = lambda a: F.count_if(F.col("human_action") == a).alias(f"{a}_count")
-    sums = ("total_feedback", "ratings", "rating_sum", "approved_count", "edited_count", "rejected_count",
-            "scores", "score_sum")
 
-    def fold(rows: DataFrame, state: DataFrame | None):
-        new = rows.groupBy(F.to_date("created_at").alias("feedback_date")).agg(
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.to_date("created_at").alias("feedback_date")).agg(
             F.count("*").alias("total_feedback"), F.count("human_rating").alias("ratings"),
             F.sum("human_rating").alias("rating_sum"), acted("approved"), acted("edited"), acted("rejected"),
             F.count("final_quality_score").alias("scores"), F.sum("final_quality_score").alias("score_sum"))
-        both = new if state is None else new.unionByName(state)
-        return both.groupBy("feedback_date").agg(*[F.sum(c).alias(c) for c in sums]), None
 
-    return folded(feedback, fold, path, trigger)
+    return counted(feedback, count, ["feedback_date"], path, trigger)
 
 
 def feedback_days(days: DataFrame) -> DataFrame:
@@ -78,19 +118,39 @@ def feedback_days(days: DataFrame) -> DataFrame:
         (F.col("score_sum") / F.col("scores")).alias("avg_quality_score"))
 
 
-def node_duration_stream(marks: DataFrame, path: str, trigger: str | None = POLL):
+def node_duration_stream(marks: DataFrame, path: str, trigger: str | None = POLL, limit: str | None = None):
     """Durations as the end marks arrive, by the same pairing as ``node_durations``.
 
-    Starts that wait for their end are the state, however long they wait. Marks of a run are expected in
-    the order of time over polls; within a poll they are put in order.
+    Starts that wait for their end are the state. They wait however long, or ``limit`` behind the latest mark
+    if the caller gives one (an interval); those given up are written under ``given_up``. Marks of a run are
+    expected in the order of time over polls; within a poll they are put in order. All marks of a poll are paired
+    once and written once, durations and starts apart.
     """
     names = ["session_id", "node_name", "run", "mark", "at", "success"]
 
-    def fold(rows: DataFrame, state: DataFrame | None):
-        known = rows.select(*names) if state is None else rows.select(*names).unionByName(state)
-        return open_starts(known), node_durations(known)
-
-    return folded(marks, fold, path, trigger)
+    def poll(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        known = rows.select(*names)
+        if batch_id:
+            known = known.unionByName(spark.read.schema(known.schema).parquet(
+                f"{path}/state/batch_id={batch_id - 1}/kind=waiting"))
+        ended = (F.col("mark") == "end") & (F.col("_before") == "start")
+        waiting = (F.col("mark") == "start") & F.col("_after").isNull()
+        latest = F.lit(None) if limit is None else rows.agg(F.max("at")).scalar() - F.expr(f"INTERVAL {limit}")
+        kind = F.when(ended, "ended").when(waiting & (F.col("at") < latest), "given_up").when(waiting, "waiting")
+        paired_marks(known).select(*names, "_since", kind.alias("kind")).filter("kind IS NOT NULL") \
+            .write.mode("overwrite").partitionBy("kind").parquet(f"{path}/state/batch_id={batch_id}")
+        for n in ("ended", "waiting"):
+            make_dir(spark, f"{path}/state/batch_id={batch_id}/kind={n}")
+        if batch_id:
+            delete_dir(spark, f"{path}/state/batch_id={batch_id - 1}/kind=waiting")
+
+    return to_batches(marks, poll, path, trigger)
+
+
+def streamed_durations(spark: SparkSession, path: str) -> DataFrame:
+    """The durations that ``node_duration_stream`` has found so far."""
+    return durations_of(spark.read.parquet(f"{path}/state").filter("kind = 'ended'"))
 
 
 def late_counts(events: DataFrame, time_col: str, arrived: Column | None = None,
