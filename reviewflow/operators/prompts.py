@@ -146,6 +146,45 @@ def assign_variants(sessions: DataFrame, split: float, key: str = "id") -> DataF
         "variant", F.when(place < round(split * 10000), "a").otherwise("b"))
 
 
+def daily_tests(configs: DataFrame, last_day) -> DataFrame:
+    """prompt_name, day, tests: the active tests of each prompt and day, the one that wins first.
+
+    Of overlapping tests the one started last wins, then the one of the smallest id. A test runs from its start
+    up to its end, without an end (or beyond) up to ``last_day``, a column or date; it makes a row for each day.
+    """
+    start, end = F.col("start_date"), F.col("end_date")
+    last = F.least(F.to_date(F.coalesce(end, F.lit(last_day))), F.to_date(F.lit(last_day)))
+    days = F.explode(F.sequence(F.to_date(start), last)).alias("day")
+    test = F.struct(F.negate(F.unix_micros(start.cast("timestamp"))).alias("order"), F.col("id").alias("test_id"),
+                    F.col("start_date"), F.col("end_date"), F.round(F.col("traffic_split") * 10000).alias("split"),
+                    F.col("variant_a_version_id").alias("a"), F.col("variant_b_version_id").alias("b"))
+    running = configs.filter(F.col("is_active") & start.isNotNull() & (F.to_date(start) <= last)
+                             & (end.isNull() | (end > start)))
+    return running.select("prompt_name", test.alias("test"), days).groupBy("prompt_name", "day") \
+        .agg(F.sort_array(F.collect_list("test")).alias("tests"))
+
+
+def assign_configured(uses: DataFrame, configs: DataFrame, key: str = "session_id",
+                      time_col: str = "created_at") -> DataFrame:
+    """``uses`` with test_id, variant and version_id of the test that runs for its prompt at its time, if any.
+
+    The configuration gives prompt, dates, split and versions. Uses meet their tests by prompt and day, one row
+    for each, so the join is one by equality and multiplies nothing. A session has one variant in a test, by a
+    stable hash of both. A prompt and day hold few tests: they are configuration.
+    """
+    last = uses.select(F.max(time_col)).scalar()
+    tests = daily_tests(configs, last).withColumnRenamed("prompt_name", "_prompt")
+    joined = uses.join(tests, (F.col("prompt_name") == F.col("_prompt")) & (F.to_date(time_col) == F.col("day")), "left")
+    runs = F.get(F.filter("tests", lambda x: (x["start_date"] <= F.col(time_col)) & (
+        x["end_date"].isNull() | (F.col(time_col) < x["end_date"]))), F.lit(0))
+    digest = F.md5(F.concat_ws(":", F.col("_test.test_id").cast("string"), F.col(key).cast("string")))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000
+    first = place < F.col("_test.split")
+    return joined.withColumn("_test", runs).select(
+        *uses.columns, F.col("_test.test_id").alias("test_id"), F.when(first, "a").when(~first, "b").alias("variant"),
+        F.when(first, F.col("_test.a")).otherwise(F.col("_test.b")).alias("version_id"))
+
+
 def compare_variants(usage: DataFrame, variants: DataFrame) -> DataFrame:
     """Use of each variant; ``variants``: session_id, variant."""
     chosen = variants.select(F.col("session_id").alias("_session"), "variant")

@@ -62,27 +62,25 @@ def share(part: str, whole: str) -> str:
 
 
 _EXTRACTION = f"""
-    WITH line AS (SELECT CAST(l_discount >= 0.05 AS INT) AS hit, CAST(l_linestatus = 'F' AS INT) AS ok,
-            CAST(l_quantity AS INT) AS docs FROM lineitem SEMI JOIN {ordered(30)} ON l_orderkey = k)
-    SELECT count(*) AS total_attempts, CAST(coalesce(sum(hit), 0) AS BIGINT) AS client_matches,
-        CAST(coalesce(sum(ok), 0) AS BIGINT) AS successful_extractions,
-        sum(docs) / nullif(count(*), 0) AS avg_docs_found,
-        {share("coalesce(sum(ok), 0)", "count(*)")} AS success_rate FROM line"""
+    SELECT count(*) AS total_attempts, count(*) FILTER (l_discount >= 0.05) AS client_matches,
+        count(*) FILTER (l_linestatus = 'F') AS successful_extractions,
+        avg(CAST(l_quantity AS INT)) AS avg_docs_found,
+        {share("count(*) FILTER (l_linestatus = 'F')", "count(*)")} AS success_rate
+    FROM lineitem SEMI JOIN {ordered(30)} ON l_orderkey = k"""
 query("a6_extraction_stats", _EXTRACTION)(lambda t: d.extraction_stats(t))
 
 query("a7_match_trend", f"""
-    SELECT CAST(es.processing_started_at AS DATE) AS date, count(*) AS total_attempts,
-        count(*) FILTER (client_matched) AS matches
-    FROM document_extractions de JOIN email_sessions es ON de.session_id = es.id
-    WHERE {started(30, 'es.')} GROUP BY ALL""")(lambda t: d.match_trend(t))
+    SELECT date, count(*) AS total_attempts, count(*) FILTER (l_discount >= 0.05) AS matches
+    FROM lineitem JOIN {ordered(30)} ON l_orderkey = k GROUP BY date""")(lambda t: d.match_trend(t))
 
 # Drafts follow the document ids, which end early; a long period reaches them.
 DRAFT_DAYS = 3650
 
 _SIZED = f"""(SELECT n_chars, lang <> 'en' AS used, n_chars // 2 AS around, date
     FROM documents JOIN {ordered(DRAFT_DAYS)} ON doc_id = k)"""
-_GRADE = """CASE WHEN n_chars NOT BETWEEN 100 AND 800 THEN if(n_chars < 100, 0.2E0, 0.6E0)
-    WHEN n_chars < 200 THEN 0.5E0 WHEN n_chars > 500 THEN 0.8E0 ELSE 1.0E0 END"""
+# The bands of the template score, by length.
+_GRADE = """CASE WHEN n_chars < 100 THEN 0.2E0 WHEN n_chars < 200 THEN 0.5E0 WHEN n_chars <= 500 THEN 1.0E0
+    WHEN n_chars <= 800 THEN 0.8E0 ELSE 0.6E0 END"""
 query("a8_draft_stats", f"""
     SELECT count(*) AS total_drafts, avg(n_chars) AS avg_length,
         round(avg({_GRADE}), 6) AS avg_template_score, count(*) FILTER (used) AS context_usage_count,
@@ -91,7 +89,7 @@ query("a8_draft_stats", f"""
     lambda t: rounded(d.draft_stats(t, DRAFT_DAYS), "avg_template_score"))
 
 query("a9_draft_trend", f"""
-    SELECT date, round(sum({_GRADE}) / count(*), 6) AS avg_quality, count(*) AS draft_count
+    SELECT date, round(avg({_GRADE}), 6) AS avg_quality, count(*) AS draft_count
     FROM {_SIZED} GROUP BY date""")(lambda t: rounded(d.draft_trend(t, DRAFT_DAYS), "avg_quality"))
 
 query("a10_length_hist", f"""
@@ -104,7 +102,7 @@ _RUNS = f"""(SELECT 'node_' || l_linenumber AS node_name, floor(l_extendedprice)
         l_returnflag IN ('A', 'N') AS ok, date FROM lineitem JOIN {ordered(7)} ON l_orderkey = k)"""
 _NODES = f"""
     SELECT node_name, count(*) AS executions, avg(ms) AS avg_duration, count(*) FILTER (ok) AS successful,
-        count(*) - count(*) FILTER (ok) AS failed FROM {_RUNS} GROUP BY node_name"""
+        count(*) FILTER (NOT ok) AS failed FROM {_RUNS} GROUP BY node_name"""
 query("a11_node_stats", _NODES)(lambda t: d.node_stats(t))
 
 query("a12_node_trend", f"SELECT date, node_name, avg(ms) AS avg_duration FROM {_RUNS} GROUP BY ALL")(

@@ -127,3 +127,40 @@ query("i2_compare_variants", f"""
     lambda t: rounded(p.compare_variants(t["prompt_usage"], p.assign_variants(
         t["email_sessions"].select(F.col("id").alias("session_id")), 0.3, "session_id")),
         "avg_score"))
+
+
+def configured(t):
+    """Uses of prompts, and tests with dates: a third are active, some have no end, many overlap."""
+    configs = t["ab_test_configs"].withColumns({
+        "start_date": F.expr("TIMESTAMP_NTZ'1995-01-02 06:00:00' + make_interval(0, 0, 0, CAST(id % 2400 AS INT))"),
+        "end_date": F.expr("""CASE WHEN id % 11 <> 0 THEN TIMESTAMP_NTZ'1995-01-02 18:00:00'
+            + make_interval(0, 0, 0, CAST(id % 2400 + id % 50 AS INT)) END""")})
+    names = t["prompt_versions"].select(F.col("id").alias("_id"), "prompt_name")
+    uses = t["prompt_usage"].join(names, F.col("prompt_version_id") == F.col("_id")).select(
+        "session_id", "node_name", "prompt_name", "created_at", "execution_time_ms")
+    return p.assign_configured(uses, configs)
+
+
+_CONFIGURED = """
+    WITH cfg AS (SELECT id, prompt_name, variant_a_version_id AS a, variant_b_version_id AS b, traffic_split,
+            TIMESTAMP '1995-01-02 06:00:00' + to_days(CAST(id % 2400 AS INT)) AS since,
+            CASE WHEN id % 11 <> 0 THEN TIMESTAMP '1995-01-02 18:00:00'
+                + to_days(CAST(id % 2400 + id % 50 AS INT)) END AS until
+        FROM ab_test_configs WHERE is_active),
+    used AS (SELECT row_number() OVER () AS n, session_id, node_name, prompt_name, created_at, execution_time_ms
+        FROM prompt_usage JOIN prompt_versions v ON prompt_version_id = v.id),
+    met AS (SELECT u.*, c.id AS test_id, a, b, traffic_split FROM used u LEFT JOIN cfg c
+        ON u.prompt_name = c.prompt_name AND since <= created_at AND (until IS NULL OR created_at < until)
+        QUALIFY row_number() OVER (PARTITION BY n ORDER BY since DESC, c.id) = 1),
+    placed AS (SELECT *, CAST('0x' || substr(md5(test_id || ':' || session_id), 1, 8) AS BIGINT) % 10000
+        < traffic_split * 10000 AS first FROM met),
+    chosen AS (SELECT session_id, node_name, prompt_name, created_at, execution_time_ms, test_id,
+        CASE WHEN first THEN 'a' WHEN NOT first THEN 'b' END AS variant,
+        CASE WHEN first THEN a WHEN NOT first THEN b END AS version_id FROM placed)
+"""
+query("i2_configured_variants", _CONFIGURED + "SELECT * FROM chosen")(configured)
+query("i2_configured_comparison", _CONFIGURED + """
+    SELECT test_id, variant, version_id, count(*) AS uses, avg(execution_time_ms) AS avg_ms
+    FROM chosen WHERE test_id IS NOT NULL GROUP BY ALL""")(
+    lambda t: configured(t).filter("test_id IS NOT NULL").groupBy("test_id", "variant", "version_id").agg(
+        F.count("*").alias("uses"), F.avg("execution_time_ms").alias("avg_ms")))

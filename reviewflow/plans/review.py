@@ -97,22 +97,52 @@ query("j6_overdue_sessions", f"""
     FROM ({OVER}) WHERE o_orderkey % 5 = 0 AND over_at + INTERVAL 1 DAY < {ORDERS_NOW}""")(
     lambda t: rounded(s.overdue_sessions(t), "hours_pending"))
 
-query("a14_interaction_stats", f"""
+_CLICKED = f"""
+    WITH clicks AS (
+        SELECT CASE event_type WHEN 'view' THEN 'selection' ELSE 'button_click' END AS interaction_type,
+            CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'edit'
+                WHEN 'view' THEN 'rate_' || (event_id % 5 + 1) ELSE 'feedback' END AS action_value,
+            event_type, user_id, event_id // 2 AS session, floor(value * 10) AS ms
+        FROM events WHERE ts >= {EVENTS_NOW} - INTERVAL 30 DAY)"""
+query("a14_interaction_stats", _CLICKED + """
     SELECT interaction_type, action_value, count(*) AS interaction_count,
-        count(DISTINCT user_id) AS unique_users,
-        coalesce(avg(response_time_ms), 0) AS avg_response_time
-    FROM slack_interactions WHERE created_at >= {CLICK_NOW} - INTERVAL 30 DAY
-    GROUP BY interaction_type, action_value""")(lambda t: r.interaction_stats(t))
+        count(DISTINCT user_id) AS unique_users, coalesce(avg(ms), 0) AS avg_response_time
+    FROM clicks GROUP BY interaction_type, action_value""")(lambda t: r.interaction_stats(t))
 
-query("a15_reviewer_engagement", f"""
-    WITH recent AS (FROM events WHERE ts + INTERVAL 30 DAY >= {EVENTS_NOW})
+_ENGAGED = _CLICKED + """
     SELECT 'user' || user_id AS user_name, count(*) AS total_interactions,
-        len(list_distinct(list(event_id // 2))) AS sessions_reviewed,
-        avg(floor(value * 10)) FILTER (event_type <> 'view') AS avg_response_time,
-        count(*) FILTER (event_type = 'view') AS ratings_given, count(*) FILTER (event_type = 'purchase') AS approvals,
+        count(DISTINCT session) AS sessions_reviewed,
+        avg(ms) FILTER (event_type <> 'view') AS avg_response_time,
+        count(*) FILTER (event_type = 'view') AS ratings_given,
+        count(*) FILTER (event_type = 'purchase') AS approvals,
         count(*) FILTER (event_type = 'error') AS rejections
-    FROM recent GROUP BY user_id""")(
-    lambda t: r.reviewer_engagement(t))
+    FROM clicks GROUP BY user_id"""
+query("a15_reviewer_engagement", _ENGAGED)(lambda t: r.reviewer_engagement(t))
+
+
+def near(counted, exact, keys, column):
+    """Rows of ``exact``, each with whether the count from sketches is within two per cent, or one, of it."""
+    other = counted.select(*keys, F.col(column).alias("_other"))
+    off = F.abs(F.col("_other") - F.col(column))
+    return exact.join(other, keys, "left").select(
+        *keys, column, (off <= F.greatest(F.lit(1), 0.02 * F.col(column))).alias("close"))
+
+
+def sketched(t):
+    return r.interaction_days(t["slack_interactions"])
+
+
+# Sketches of distinct counts have no counterpart in the checker: the exact count, and that they are close to it.
+query("a14_sketched_users", _CLICKED + """
+    SELECT interaction_type, action_value, count(DISTINCT user_id) AS unique_users, true AS close
+    FROM clicks GROUP BY interaction_type, action_value""")(
+    lambda t: near(r.interaction_stats_of_days(sketched(t)), r.interaction_stats(t),
+                   ["interaction_type", "action_value"], "unique_users"))
+query("a15_sketched_sessions", _CLICKED + """
+    SELECT 'user' || user_id AS user_name, count(DISTINCT session) AS sessions_reviewed, true AS close
+    FROM clicks GROUP BY user_id""")(
+    lambda t: near(r.engagement_of_days(r.engagement_days(t["slack_interactions"])), r.reviewer_engagement(t),
+                   ["user_name"], "sessions_reviewed"))
 
 # Feedback reaches the lower session ids, whose start dates are spread over all years.
 APPROVAL_DAYS = 3650
@@ -141,18 +171,18 @@ query("w1_rating_dist", f"""
 query("a17_workflow_summary", f"""
     SELECT ['pending_review', 'approved', 'rejected', 'edited', 'draft_created'][o_orderkey % 5 + 1]
             AS workflow_state, count(*) AS session_count,
-        round(sum(date_diff('second', over_at, {ORDERS_NOW})) / count(*) / 3600, 6) AS avg_hours_in_state
+        round(avg(date_diff('second', over_at, {ORDERS_NOW})) / 3600, 6) AS avg_hours_in_state
     FROM ({OVER}) WHERE over_at + INTERVAL 7 DAY >= {ORDERS_NOW} GROUP BY o_orderkey % 5""")(
     lambda t: rounded(r.workflow_summary(t), "avg_hours_in_state"))
 
 query("a18_feedback_daily", """
-    SELECT CAST(date_trunc('day', created_at) AS DATE) AS feedback_date,
-        count(*) AS total_feedback, avg(human_rating) AS avg_rating,
-        count(CASE WHEN human_action = 'approved' THEN 1 END) AS approved_count,
-        count(CASE WHEN human_action = 'edited' THEN 1 END) AS edited_count,
-        count(CASE WHEN human_action = 'rejected' THEN 1 END) AS rejected_count,
+    SELECT CAST(ts AS DATE) AS feedback_date, count(*) AS total_feedback,
+        avg(event_id % 5 + 1) FILTER (event_type IN ('purchase', 'error', 'view')) AS avg_rating,
+        count(*) FILTER (event_type = 'purchase') AS approved_count,
+        count(*) FILTER (event_type = 'click') AS edited_count,
+        count(*) FILTER (event_type = 'error') AS rejected_count,
         round(avg(final_quality_score), 6) AS avg_quality_score
-    FROM quality_feedback GROUP BY 1""")(
+    FROM events JOIN (SELECT id, final_quality_score FROM quality_feedback) ON id = event_id GROUP BY 1""")(
     lambda t: rounded(r.feedback_daily(t), "avg_quality_score"))
 
 query("w4_feedback_history", """

@@ -208,3 +208,17 @@ query("t7_late_counts", """
     lambda t: live.late_counts(
         t["events"].withColumn("_at", F.expr("ts + make_interval(0,0,0,0,0,0, floor(value * 10))")),
         "ts", F.col("_at")).withColumn("hour", F.col("hour").cast("timestamp_ntz")))
+
+
+def late_metrics(t):
+    path = scratch_dir(t.spark, "late")
+    seen = t["events"].withColumn("_at", F.expr("ts + make_interval(0,0,0,0,0,0, floor(value * 10))"))
+    finish(live.drop_late_stream(in_polls(t, seen, "ts"), "ts", path, F.col("_at"), trigger=None))
+    return t.spark.read.parquet(f"{path}/metrics").groupBy("metric_name").agg(
+        F.sum("metric_value").alias("metric_value"))
+
+
+query("t7_late_metrics", """
+    SELECT unnest(['late_events_read', 'late_events_kept', 'late_events_dropped']) AS metric_name,
+        CAST(unnest([count(*), count(*) FILTER (floor(value * 10) <= 300),
+            count(*) FILTER (NOT floor(value * 10) <= 300)]) AS DOUBLE) AS metric_value FROM events""")(late_metrics)

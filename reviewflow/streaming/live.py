@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.operators.ingest import FRESH_SECONDS
@@ -163,6 +165,30 @@ def late_counts(events: DataFrame, time_col: str, arrived: Column | None = None,
         .select("hour", "events", (F.col("events") - F.coalesce("_kept", F.lit(0))).alias("late"))
 
 
+def drop_late_stream(events: DataFrame, time_col: str, path: str, arrived: Column | None = None,
+                     seconds: int = FRESH_SECONDS, trigger: str | None = POLL):
+    """Write the events in time under ``rows`` and what was read, kept and dropped under ``metrics``.
+
+    The counts are observed while a poll is written, not worked out again; ``metrics`` has the columns of
+    ``system_metrics``. A repeated poll writes the same folders.
+    """
+    def poll(rows: DataFrame, batch_id: int) -> None:
+        seen, kept = Observation(), Observation()
+        read = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        drop_late(read, time_col, arrived, seconds).observe(kept, F.count(F.lit(1)).alias("n")) \
+            .write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        n, left = seen.get["n"], kept.get["n"]
+        figures = {"late_events_read": n, "late_events_kept": left, "late_events_dropped": n - left}
+        tags = json.dumps({"batch_id": batch_id, "seconds": seconds})
+        rows.sparkSession.createDataFrame(
+            [(f"{name}-{batch_id}", name, float(v), "events", tags) for name, v in figures.items()],
+            "id STRING, metric_name STRING, metric_value DOUBLE, metric_unit STRING, tags STRING") \
+            .withColumn("timestamp", F.current_timestamp()).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/metrics/batch_id={batch_id}")
+
+    return to_batches(events, poll, path, trigger)
+
+
 def drop_late(events: DataFrame, time_col: str, arrived: Column | None = None,
               seconds: int = FRESH_SECONDS) -> DataFrame:
     """Events whose time lies within ``seconds`` of their arrival, before or after.

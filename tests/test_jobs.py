@@ -536,3 +536,46 @@ def test_scan_of_a_text_with_very_many_matches(spark):
     few = scan_patterns(df.filter("length(text) < 10"), {"x": "x", "gap": "\\n+"})
     assert rows(few.select("type", "line", "match")) == [
         ("gap", 1, "\n\n"), ("gap", 3, "\n"), ("x", 3, "x"), ("x", 3, "x"), ("x", 4, "x")]
+
+
+def test_configured_variants_take_the_test_started_last(spark):
+    at = lambda n: DAY + dt.timedelta(hours=n)
+    configs = spark.createDataFrame([
+        (1, "p", "a1", "b1", 0.5, True, at(0), at(200)), (2, "p", "a2", "b2", 0.0, True, at(50), at(60)),
+        (3, "p", "a3", "b3", 1.0, True, at(50), at(55)), (4, "p", "a4", "b4", 1.0, False, at(52), None),
+        (5, "q", "a5", "b5", 1.0, True, at(0), None), (6, "q", "a6", "b6", 1.0, True, at(90), at(80)),
+        (7, "r", "a7", "b7", 1.0, True, None, None)],
+        "id LONG, prompt_name STRING, variant_a_version_id STRING, variant_b_version_id STRING, "
+        "traffic_split DOUBLE, is_active BOOLEAN, start_date TIMESTAMP, end_date TIMESTAMP")
+    uses = [(s_, n, at(h)) for s_, (n, h) in enumerate([
+        ("p", -1), ("p", 49), ("p", 50), ("p", 57), ("p", 60), ("p", 200), ("q", 1000), ("r", 3), (None, 3)])]
+    uses.append((99, "p", None))
+    df = spark.createDataFrame(uses, "session_id LONG, prompt_name STRING, created_at TIMESTAMP")
+    got = {v.session_id: (v.test_id, v.variant, v.version_id) for v in p.assign_configured(df, configs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: None, 1: 1, 2: 2, 3: 2, 4: 1, 5: None, 6: 5, 7: None, 8: None,
+                                                 99: None}
+    assert got[2] == (2, "b", "b2") and got[6] == (5, "a", "a5") and got[0] == (None, None, None)
+    many = spark.range(4000).select(F.col("id").alias("session_id"), F.lit("p").alias("prompt_name"),
+                                    F.lit(at(1)).alias("created_at"))
+    share = p.assign_configured(many, configs).filter("variant = 'a' AND version_id = 'a1'").count() / 4000
+    assert abs(share - 0.5) < 0.04
+
+
+def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
+    n = 60_000
+    clicks = spark.range(n).select(
+        F.col("id").alias("session_id"), (F.col("id") * 7919 % 20_011).alias("user_id"),
+        F.lit("button_click").alias("interaction_type"), F.lit("approve").alias("action_value"),
+        F.concat(F.lit("user"), F.col("id") % 2).alias("user_name"), (F.col("id") % 100).cast("int").alias("response_time_ms"),
+        (F.lit(DAY) + F.make_dt_interval(F.floor(F.col("id") * 40 / n).cast("int"))).alias("created_at"))
+    days = r.interaction_days(clicks)
+    assert days.count() == 40
+    last = DAY + dt.timedelta(days=39)
+    for length in (0, 9, 39):
+        want = clicks.filter(F.col("created_at") >= last - dt.timedelta(days=length))
+        row = r.interaction_stats_of_days(days, length).first()
+        users = want.select("user_id").distinct().count()
+        assert row.interaction_count == want.count() and abs(row.unique_users - users) <= 0.02 * users
+        got = {v.user_name: v for v in r.engagement_of_days(r.engagement_days(clicks), length).collect()}
+        assert all(abs(v.sessions_reviewed - v.total_interactions) <= 0.02 * v.total_interactions for v in got.values())
+        assert sum(v.approvals for v in got.values()) == want.count()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewflow.operators import sessions as s
 from reviewflow.operators import workflow as w
+from reviewflow.schemas import schema
 from reviewflow.session import scratch_dir
 from reviewflow.sources.keyed import KeyedTable
 from reviewflow.streaming import live
@@ -117,3 +118,19 @@ def test_starts_are_given_up_after_the_limit_of_the_caller(spark):
         else:
             lost = spark.read.parquet(f"{path}/state").filter("kind = 'given_up'")
             assert [r.session_id for r in lost.collect()] == [1]
+
+
+def test_late_events_are_counted_poll_by_poll(spark):
+    kinds = "ts TIMESTAMP, seen TIMESTAMP"
+    at = lambda n: DAY + dt.timedelta(minutes=n)
+    polls = [[(at(0), at(1)), (at(0), at(6)), (at(9), at(0))], [(at(3), at(3))], [(at(1), at(60)), (None, at(1))]]
+    path = scratch_dir(spark, "late-metrics")
+    finish(live.drop_late_stream(polled(spark, polls, kinds), "ts", path, F.col("seen"), trigger=None))
+    metrics = spark.read.parquet(f"{path}/metrics")
+    got = {}
+    for r in metrics.collect():
+        got.setdefault(r.batch_id, {})[r.metric_name.rsplit("_", 1)[1]] = r.metric_value
+    assert got == {0: {"read": 3, "kept": 1, "dropped": 2}, 1: {"read": 1, "kept": 1, "dropped": 0},
+                   2: {"read": 2, "kept": 0, "dropped": 2}}
+    assert spark.read.parquet(f"{path}/rows").count() == 2
+    assert set(metrics.columns) == {*schema("system_metrics").fieldNames(), "batch_id"}
