@@ -32,6 +32,8 @@ from reviewflow.llm.words import (LAST_ID, U, Words, give_back, hashes_of, rolle
 RUN = 3
 #: Bytes of text for which one more bucket is made.
 BUCKET_BYTES = 4 << 20
+#: Bytes of packed strings that are put together before they are compressed and sent.
+WAITING_BYTES = 48 << 20
 SPANS = "key long, tag int, start long, stop long"
 _SENT = "bucket int, key long, tag int, start long, stop long, packed binary"
 _SPAN_ARROW = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()),
@@ -96,8 +98,35 @@ def _span_batch(key, tag, start, stop) -> dict:
             "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())}
 
 
+class _Waiting:
+    """Packed strings of several slices, put together by bucket before they are sent."""
+
+    def __init__(self):
+        self.parts: dict[int, list[tuple[np.ndarray, bytes]]] = {}
+        self.size = 0
+        self.squeeze = zstandard.ZstdCompressor(level=6)
+
+    def add(self, bucket: int, head: np.ndarray, text: bytes) -> None:
+        self.parts.setdefault(bucket, []).append((head, text))
+        self.size += len(text) + head.nbytes
+
+    def sent(self) -> pa.RecordBatch:
+        blobs = []
+        for parts in self.parts.values():
+            head = np.concatenate([h for h, _ in parts], axis=1)
+            blobs.append(self.squeeze.compress(np.int64(head.shape[1]).tobytes() + head.tobytes()
+                                               + b" ".join([t for _, t in parts])))
+        k = len(blobs)
+        out = pa.RecordBatch.from_pydict({
+            "bucket": pa.array(list(self.parts), pa.int32()), "key": pa.nulls(k, pa.int64()),
+            "tag": pa.nulls(k, pa.int32()), "start": pa.nulls(k, pa.int64()),
+            "stop": pa.nulls(k, pa.int64()), "packed": pa.array(blobs, pa.binary())})
+        self.parts, self.size = {}, 0
+        return out
+
+
 def _send(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
+    waiting = _Waiting()
     for batch in slices(batches):
         words = split_words(batch.column("text"))
         own = hashes_of(words)
@@ -129,19 +158,15 @@ def _send(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterat
         lengths = at[last] - at[first] + width
         raw = words.raw.tobytes()
         lo, hi = words.begin[place[first]], words.end[place[last] + width - 1]
-        blobs = []
         for i, j in zip(cuts, cuts[1:]):
             s = order[i:j]
-            n = lengths[s]
-            text = b" ".join([raw[x:y] for x, y in zip(lo[s].tolist(), hi[s].tolist())])
-            head = np.concatenate([key[row[first[s]]], at[first[s]], n, tag[row[first[s]]]])
-            blobs.append(squeeze.compress(np.int64(len(s)).tobytes() + head.astype(np.int64).tobytes()
-                                          + text))
-        k = len(blobs)
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array(bucket[order][cuts[:-1]]), "key": pa.nulls(k, pa.int64()),
-            "tag": pa.nulls(k, pa.int32()), "start": pa.nulls(k, pa.int64()),
-            "stop": pa.nulls(k, pa.int64()), "packed": pa.array(blobs, pa.binary())})
+            head = np.stack([key[row[first[s]]], at[first[s]], lengths[s], tag[row[first[s]]]]).astype(np.int64)
+            waiting.add(int(bucket[s[0]]), head,
+                        b" ".join([raw[x:y] for x, y in zip(lo[s].tolist(), hi[s].tolist())]))
+        if waiting.size >= WAITING_BYTES:
+            yield waiting.sent()
+    if waiting.parts:
+        yield waiting.sent()
 
 
 def _meet(table: pa.Table, width: int) -> pa.Table:
@@ -193,9 +218,12 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(lambda t: _meet(t, width), SPANS)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n_words, n_removed, kept = [], [], []
+        rest = batch.column("rest")
+        doc = pa.StructArray.from_arrays(
+            [batch.column("text") if c == "text" else rest.field(c) for c in columns], columns)
         texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
         for text, spans in zip(texts.to_pylist(), batch.column("spans").to_pylist()):
             words = text.split()  # bytes are split at ASCII white space
@@ -210,7 +238,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b" ".join(words))
         digests = [hashlib.sha256(x).hexdigest() for x in kept]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            [doc, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
              pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
             names=["doc", "n_words", "n_removed", "kept", "kept_sha256"])
 
@@ -220,15 +248,17 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     left, joined by one space) and kept_sha256."""
     spans = repeated_spans(docs, width).groupBy("key", "tag").agg(
         F.collect_list(F.col("start") * (1 << 31) + F.col("stop") - F.col("start")).alias("spans"))
+    # The text goes through the join once, beside the other columns.
     own = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), "text",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("key"),
         F.hash(F.coalesce("text", F.lit(""))).alias("tag"))
-    joined = own.join(spans, ["key", "tag"], "left").select("doc", "text", "spans")
-    schema = T.StructType([joined.schema["doc"], T.StructField("n_words", T.LongType()),
+    joined = own.join(spans, ["key", "tag"], "left").select("rest", "text", "spans")
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
                            T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(_apply, schema)
+    columns = docs.columns
+    return joined.mapInArrow(lambda it: _apply(it, columns), schema)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
