@@ -51,14 +51,14 @@ _encoders: dict = {}
 
 
 def _encoder(path: str):
-    """The tokenizer of a worker and the ids it remembers."""
+    """The tokenizer of a worker, its control strings, and the ids it remembers."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _encoders[path] = tokenizer, {}
+        control = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _encoders[path] = tokenizer, control, {}
     return _encoders[path]
 
 
@@ -66,13 +66,18 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     """Ids of each word as 32-bit numbers.
 
     The tokenizer never joins ids over white space, nor over the border between a letter and a sign
-    that follows, and drops case, so stem and signs are looked up apart.
+    that follows, and drops case, so stem and signs are looked up apart. What follows a letter counts in its
+    small form: that of U+0130 ends in a mark. A word with a control string, which gets the id of that
+    string, is looked up whole.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, control, known = _encoder(path)
     cores = []
     for word in words:
+        if any(c in word for c in control):
+            cores.append((word, ""))
+            continue
         core = word.rstrip(SIGNS)
-        if len(core) < len(word) and not core[-1:].isalpha():
+        if len(core) < len(word) and not core.lower()[-1:].isalpha():
             core = word
         cores.append((core.lower() if core.isascii() else core, word[len(core):]))
     new = {part for pair in cores for part in pair} - known.keys()
