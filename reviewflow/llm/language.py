@@ -18,7 +18,7 @@ letter gets it; null ids count as the text "" in the fold and stay null; repeate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import partial
 from typing import NamedTuple
 
@@ -242,14 +242,18 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit(docs.where(fold() != 1).select("doc_id", "lang", "text"), sample)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], model, targets: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, most=AT_ONCE):
-        lang = told(batch.column("text"), model and model.value)["lang_pred"]
-        yield batch.filter(pc.not_equal(lang, UNKNOWN))
+        lang = told(batch.column("text"), model.value)["lang_pred"]
+        yield batch.filter(pc.is_in(lang, pa.array(sorted(targets), pa.string())))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a language (no letter, no text) go; others stay."""
+def stage(spark, docs: DataFrame, sf_dir: str, targets: Collection[str] | None = None) -> DataFrame:
+    """Pipeline stage: documents stay whose predicted language is one of ``targets``, by default all those
+    learned; so texts without a letter go. Where nothing can be learned, for want of labels, nothing can be
+    rejected and all documents stay."""
     model = learned(docs)
-    sent = None if model is None else spark.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_kept, model=sent), docs.schema)
+    if model is None:
+        return docs
+    kept = frozenset(model.langs if targets is None else targets)
+    return docs.mapInArrow(partial(_kept, model=spark.sparkContext.broadcast(model), targets=kept), docs.schema)
