@@ -16,8 +16,9 @@ is one pass over the documents, which are not shuffled.
 
 Defined results: a null text has no words and no leak; items without words match nothing; an item of
 fewer than five words has one shingle; a document shorter than an item is one window; items of over
-``LONGEST`` words are searched piece by piece and leak if a piece does; null ids stay null; repeated
-items and documents give a row each; an empty table on either side gives no leak.
+``LONGEST`` words are searched piece by piece, and the best windows of all pieces together are compared with
+the whole item; null ids stay null; repeated ids, items and documents give a row each, into however many
+blocks the items are cut; an empty table on either side gives no leak.
 """
 
 from __future__ import annotations
@@ -65,6 +66,9 @@ class SizeClass(NamedTuple):
 
 class Index(NamedTuple):
     ids: list
+    owner: list[int]  # the item that a piece is of
+    whole: Counter  # shingles of an item, all its pieces together
+    pieces: Counter  # pieces of an item
     bags: list[Counter]
     classes: list[SizeClass]
 
@@ -119,7 +123,7 @@ def nearest_size(n: int) -> int:
 def index(ids: list, texts: list[str | None]) -> Index:
     """Fingerprints of a block of items in tables by block value."""
     owner, parts = [], []
-    for item, text in zip(ids, texts):
+    for item, text in enumerate(texts):
         for part in _pieces((text or "").encode().split()):
             owner.append(item)
             parts.append(part)
@@ -143,7 +147,10 @@ def index(ids: list, texts: list[str | None]) -> Index:
         classes.append(SizeClass(width, size, max(1, size // 12), prints, np.array(items),
                                  (np.diff(heads) > 0).reshape(4, 1 << 16), heads,
                                  of[order].astype(np.int32)))
-    return Index(owner, [Counter(h.tolist()) for h in hashed], classes)
+    whole: Counter = Counter()
+    for item, h in zip(owner, hashed):
+        whole[item] += len(h)
+    return Index(ids, owner, whole, Counter(owner), [Counter(h.tolist()) for h in hashed], classes)
 
 
 def _lookup(c: SizeClass, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,22 +230,32 @@ def search(texts: pa.Array, idx: Index, least: float) -> list[tuple]:
                     bag = idx.bags[i]
                     found = _best(hashed[starts[r]:starts[r + 1]], bag, int(at[h]), int(at[t - 1]),
                                   c.size, c.step)
-                    key = (r, idx.ids[i])
-                    if found[0] >= least and found[0] > best.get(key, (0.0,))[0]:
-                        best[key] = *found, width, int(distance[h:t].min())
-    return [(r, item, s, start, n + width - 1, d)
-            for (r, item), (s, start, n, width, d) in best.items()]
+                    alone = idx.pieces[idx.owner[i]] == 1
+                    if found[0] >= (least if alone else 0) and found[0] > best.get((r, i), (0.0,))[0]:
+                        best[r, i] = *found, width, int(distance[h:t].min())
+    out, parts = [], {}
+    for (r, i), (s, start, n, common, width, d) in best.items():
+        if idx.pieces[idx.owner[i]] == 1:
+            out.append((r, idx.ids[idx.owner[i]], s, start, n + width - 1, d))
+        else:
+            parts.setdefault((r, idx.owner[i]), []).append((start, start + n + width - 1, n, common, d))
+    for (r, item), found in parts.items():
+        start, end, n, common, d = zip(*found)
+        s = sum(common) / (idx.whole[item] + sum(n) - sum(common))
+        if s >= least:
+            out.append((r, idx.ids[item], s, min(start), max(end) - min(start), min(d)))
+    return out
 
 
 def _best(text: np.ndarray, bag: Counter, first: int, last: int, size: int, step: int) -> tuple:
-    """Weighted Jaccard similarity, first shingle and shingles of the best window near some hits."""
+    """Weighted Jaccard similarity, first shingle, shingles and common ones of the best window near some hits."""
     n = min(sum(bag.values()), len(text))
     slack = abs(n - size) + step
     a, b = max(0, first - slack), max(0, min(last + slack, len(text) - n))
     a = min(a, b)
     span = text[a:b + n].tolist()
     if sum(x in bag for x in span) * 2 < n:
-        return 0.0, 0, n
+        return 0.0, 0, n, 0
     window = Counter(span[:n])
     common = sum(min(w, bag[x]) for x, w in window.items() if x in bag)
     total = sum(bag.values()) + n
@@ -251,7 +268,7 @@ def _best(text: np.ndarray, bag: Counter, first: int, last: int, size: int, step
         common += window[new] <= bag[new] if new in bag else 0
         if common > best:
             best, at = common, a + k + 1
-    return best / (total - best), at, n
+    return best / (total - best), at, n, best
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
@@ -267,7 +284,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
         return
     dealt = items.withColumn("part", F.expr(f"pmod(xxhash64(item_id, text), {parts})"))
     for part in range(parts):
-        rows = dealt.where(F.col("part") == part).distinct().collect()
+        rows = dealt.where(F.col("part") == part).collect()
         if rows:
             yield index([r[0] for r in rows], [r[1] for r in rows])
 

@@ -57,7 +57,6 @@ def encoded(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -94,6 +93,21 @@ def test_packing_of_odd_rows(odd, none):
     assert packing.pack_documents(none, packing.default_tokenizer()).collect() == []
 
 
+def test_packing_gives_the_ids_of_the_plain_tokenizer():
+    """Words of letters with odd small forms, marks, signs and control strings."""
+    rng = np.random.default_rng(6)
+    signs = ["İ", "ı", "ß", "Σ", "e\u0301", "ﬁ", "日本", "'s", "'", ".", ",", "|>", "<|", "<|endoftext|>",
+             "<|startoftext|>", "a", "B", "9", " ", "\t", "\u00a0", "!", "%", "_", "🙂", "\u0301"]
+    texts = ["DENİZLİ, İ.", "x<|endoftext|>y", "<|EndOfText|>"]
+    texts += ["".join(rng.choice(signs, int(rng.integers(1, 12)))) for _ in range(4000)]
+    ids, starts = packing.token_ids(packing.pa.array(texts), packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    plain_tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for text, a, b in zip(texts, starts, [*starts[1:], len(ids)]):
+        assert ids[a:b].tolist() == [*plain_tokenizer.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
 def test_packed_sequences_give_the_ids_back(docs, by_id):
     few = docs.where("doc_id < 20")
     pieces = packing.pack_documents(few, packing.default_tokenizer())
@@ -197,6 +211,31 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert decontaminate.without_leaks(odd, no_items).count() == len(plain.ODD)
 
 
+@pytest.mark.parametrize("items_at_once", [1, 30, 2000])
+def test_decontamination_keeps_items_of_one_id_apart(spark, odd, monkeypatch, items_at_once):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", items_at_once)
+    items = spark.createDataFrame(
+        [(1, "one two three"), (1, "a text without an id, of some more words"), (1, "one two three"),
+         (None, "one two three"), (None, "a text without an id, of some more words"), (None, None), (2, "zzz qqq")],
+        "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect())
+    assert found == Counter({(9, 1): 4, (9, None): 2, (10, 1): 2, (10, None): 1, (None, 1): 1, (None, None): 1})
+
+
+def test_decontamination_compares_a_long_item_as_a_whole(spark):
+    rng = np.random.default_rng(8)
+    item = [f"w{k}" for k in rng.integers(0, 1 << 40, 1000)]
+    edited = [f"e{k}" if k % 97 == 0 else w for k, w in enumerate(item)]
+    rows = [(1, " ".join(item[:200])), (2, " ".join(item)), (3, "before " * 30 + " ".join(edited) + " after" * 9),
+            (4, " ".join(item[:700]))]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                                spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {2, 3}
+    by_doc = {r.doc_id: r for r in found}
+    assert by_doc[2].similarity == 1 and (by_doc[2].start, by_doc[2].n_words) == (0, 1000)
+    assert abs(by_doc[3].similarity - plain.similarity(plain.bag(" ".join(edited)), plain.bag(" ".join(item)))) < 0.02
+
+
 # Language
 
 def test_language_on_held_out_rows(docs):
@@ -225,6 +264,21 @@ def test_language_of_odd_rows(docs, odd, none):
     assert language.stage(docs.sparkSession, odd, "").columns == odd.columns
 
 
+def test_language_stage_keeps_all_where_nothing_is_learned(docs, odd):
+    without = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(repr, language.stage(docs.sparkSession, without, "").collect())) == \
+        sorted(map(repr, without.collect()))
+
+
+def test_language_stage_keeps_the_languages_asked_for(docs):
+    kept = language.stage(docs.sparkSession, docs, "", ["en", "de"])
+    told = language.predict(docs, language.learned(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == \
+        sorted(r.doc_id for r in told.where("lang_pred in ('en', 'de')").collect())
+    langs = Counter(r.lang for r in kept.collect())
+    assert langs["en"] and langs["de"] and langs["fr"] + langs["es"] <= 0.02 * kept.count()
+
+
 def test_mixed_text_is_ambiguous(spark, docs):
     texts = {r.lang: " ".join(x for (x,) in docs.where(F.col("lang") == r.lang).select("text").limit(3).collect())
              for r in docs.select("lang").distinct().collect()}

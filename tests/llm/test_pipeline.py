@@ -42,3 +42,16 @@ def test_run_is_the_stages_in_order(spark, small):
     whole = corpus_pipeline.run(spark, small)
     assert whole.count() and "sequence_id" in whole.columns
     assert entry.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    items = spark.createDataFrame([(1, "one two three"), (2, None)], "item_id long, text string")
+    for name, docs, left in (("odd", plain.odd_table(spark, extra=False), {8, 12, None}),
+                             ("unlabelled", plain.odd_table(spark, extra=False).selectExpr(
+                                 "doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars"),
+                              {5, 7, 8, 11, 12, None}),
+                             ("none", plain.empty_table(spark), set())):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in pieces} == left, name
