@@ -2,6 +2,12 @@
 
 The pipeline is held against a brute-force version in ``tests/llm``; its stages learn from data, which
 SQL cannot express.
+
+Defined results: texts that are null or hold no letter go at the first stage if any language could be learned,
+and stay if no row has a label; of equal or near texts, empty ones included, the row of the least id stays, a
+null id after all others and one row where ids repeat; a document that loses all its words stays as an empty one;
+a text of any length is one document throughout; other columns are kept by all stages but the last; an empty
+table gives no pieces.
 """
 
 from __future__ import annotations
