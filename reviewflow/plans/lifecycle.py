@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from reviewflow.operators import workflow as w
 from reviewflow.plans.dashboard import NOW
 from reviewflow.plans.registry import query
-from reviewflow.schemas import SESSION_CHILDREN
+from reviewflow.schemas import DAY, SESSION_CHILDREN
 from reviewflow.session import scratch_dir
 from reviewflow.sources.keyed import KeyedTable
+from reviewflow.sources.logs import drop_days
 
 # Folders of the tables that are changed in place here; on a cluster one for each 100 MB.
 BUCKETS = 16
@@ -70,10 +72,22 @@ query("l7_touch", f"""
         F.col("status") == "failed",
         t["email_sessions"].select(F.max("processing_started_at")).scalar()))
 
-query("l8_drop_old", """
+_LAST_DAYS = """
     SELECT * FROM slack_interactions
-    WHERE created_at >= (SELECT max(created_at) FROM slack_interactions) - INTERVAL 10 DAY""")(
-    lambda t: w.drop_old(t["slack_interactions"], None, 10))
+    WHERE created_at >= (SELECT max(created_at) FROM slack_interactions) - INTERVAL 10 DAY"""
+query("l8_drop_old", _LAST_DAYS)(lambda t: w.drop_old(t["slack_interactions"], None, 10))
+
+
+def days_dropped(t):
+    """The log in day folders, of which those before the edge are deleted."""
+    log, path = t["slack_interactions"], scratch_dir(t.spark, "days")
+    log.withColumn(DAY, F.to_date("created_at")).hint("rebalance", DAY).write.partitionBy(DAY).parquet(path)
+    edge = log.agg(F.max("created_at")).first()[0] - timedelta(days=10)
+    drop_days(t.spark, path, edge, "created_at")
+    return t.spark.read.parquet(path).drop(DAY)
+
+
+query("l8_drop_days", _LAST_DAYS)(days_dropped)
 
 query("l9_archive", f"""
     SELECT * REPLACE (CASE WHEN processing_completed_at < {NOW} - INTERVAL 6 MONTH

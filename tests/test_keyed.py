@@ -1,5 +1,6 @@
-"""Tables that are changed in place: only the folders of the changed keys are read and written."""
+"""Tables and logs that are changed in place: only the folders that a change touches are read and written."""
 
+import datetime as dt
 import glob
 import os
 
@@ -7,9 +8,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from reviewflow.functions.ranking import _dealt, number_in_group
 from reviewflow.operators import workflow as w
+from reviewflow.schemas import DAY
 from reviewflow.session import scratch_dir
 from reviewflow.sources.keyed import BUCKET, KeyedTable
+from reviewflow.sources.logs import drop_days
 
 
 def files(table):
@@ -75,3 +79,30 @@ def test_an_empty_table_takes_rows(spark):
     assert table.read().collect() == []
     table.upsert(spark.createDataFrame([("x", "y", (1, ["z"]))], empty.schema))
     assert [tuple(r) for r in table.read().collect()] == [("x", "y", (1, ["z"]))]
+
+
+def test_retention_deletes_whole_days_and_rewrites_the_edge(spark):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    data = [(d * 10 + h, at(d, h)) for d in range(1, 9) for h in range(3)] + [(999, None)]
+    path = scratch_dir(spark, "retention")
+    spark.createDataFrame(data, "id long, created_at timestamp").withColumn(DAY, F.to_date("created_at")) \
+        .coalesce(1).write.partitionBy(DAY).parquet(path)
+    stat = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/{DAY}=*/*.parquet")}
+    before = stat()
+    assert drop_days(spark, path, at(4, 1), "created_at") == [f"{DAY}=2024-01-0{d}" for d in (1, 2, 3)]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == sorted(
+        i for i, t in data if t is None or t >= at(4, 1))
+    after = stat()
+    untouched = {f for f in before if not any(f"2024-01-0{d}" in f for d in (1, 2, 3, 4))}
+    assert len(untouched) == 5 and all(after[f] == before[f] for f in untouched)
+    again = stat()
+    assert drop_days(spark, path, at(4, 1), "created_at") == [] and stat() == again
+
+
+def test_text_ids_of_a_common_beginning_are_numbered_in_even_runs(spark):
+    ids = spark.range(9000).select(F.lit("g").alias("g"), F.format_string(
+        "a-very-long-common-beginning-%08d", F.col("id") * 7919 % 9000).alias("id"))
+    dealt = _dealt(ids, ["g"], "id", 1000).groupBy("_run").count()
+    assert dealt.count() >= 8 and max(r["count"] for r in dealt.collect()) <= 2000
+    numbered = number_in_group(ids, ["g"], "id", "n", run=1000).collect()
+    assert [r.n for r in sorted(numbered, key=lambda r: r.id)] == list(range(1, 9001))
