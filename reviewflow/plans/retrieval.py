@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewflow.operators import retrieval as rv
+from reviewflow.operators.vector_index import MOST_LISTS, build_index, search_index
 from reviewflow.plans.registry import query, rounded
+from reviewflow.session import scratch_dir
 
-query("v1_top_k_threads", """
+_TOP_THREADS = """
     SELECT query_id, vec_id, rank, email_thread, round(similarity, 6) AS similarity
     FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
                 ORDER BY similarity DESC, vec_id) AS INT) AS rank
@@ -15,10 +17,25 @@ query("v1_top_k_threads", """
                     round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9)
                         AS similarity
                 FROM email_threads q, email_threads e WHERE q.vec_id <> e.vec_id))
-    WHERE rank <= 5""")(
-    lambda t: rounded(rv.top_k_threads(t["email_threads"], t["email_threads"], 5, skip_self=True)
-                      .join(t["email_threads"].select("vec_id", "email_thread"), "vec_id"),
-                      "similarity"))
+    WHERE rank <= 5"""
+
+
+def named(t, found):
+    return rounded(found.join(t["email_threads"].select("vec_id", "email_thread"), "vec_id"), "similarity")
+
+
+query("v1_top_k_threads", _TOP_THREADS)(
+    lambda t: named(t, rv.top_k_threads(t["email_threads"], t["email_threads"], 5, skip_self=True)))
+
+
+def indexed(t, probes):
+    path = scratch_dir(t.spark, "threads")
+    build_index(t["email_threads"], path)
+    return search_index(t["email_threads"], path, 5, probes, skip_self=True)
+
+
+# All lists of the index probed: exact.
+query("v1_index_all_lists", _TOP_THREADS)(lambda t: named(t, indexed(t, MOST_LISTS)))
 
 
 def thread_records(t):

@@ -4,12 +4,16 @@ import datetime as dt
 import glob
 import os
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from reviewflow.functions.ranking import _dealt, number_in_group
+from reviewflow.operators import vector_index
 from reviewflow.operators import workflow as w
+from reviewflow.operators.retrieval import top_k_threads
+from reviewflow.operators.vector_index import build_index, search_index
 from reviewflow.schemas import DAY
 from reviewflow.session import scratch_dir
 from reviewflow.sources.keyed import BUCKET, KeyedTable
@@ -106,3 +110,36 @@ def test_text_ids_of_a_common_beginning_are_numbered_in_even_runs(spark):
     assert dealt.count() >= 8 and max(r["count"] for r in dealt.collect()) <= 2000
     numbered = number_in_group(ids, ["g"], "id", "n", run=1000).collect()
     assert [r.n for r in sorted(numbered, key=lambda r: r.id)] == list(range(1, 9001))
+
+
+def test_recall_of_the_vector_index(spark, small):
+    threads = spark.read.parquet(f"{small}/embeddings.parquet")
+    path = scratch_dir(spark, "index")
+    build_index(threads, path)
+    assert spark.read.parquet(f"{path}/lists").count() == threads.count()
+    exact = {(r.query_id, r.vec_id) for r in top_k_threads(threads, threads, 5, skip_self=True).collect()}
+    found = {(r.query_id, r.vec_id) for r in search_index(threads, path, 5, skip_self=True).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    rng = np.random.default_rng(3)
+    groups = rng.normal(size=(30, 16)).repeat(40, axis=0) + rng.normal(size=(1200, 16)) * 0.15
+    grouped = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(groups)], "vec_id long, embedding array<double>")
+    build_index(grouped, f"{path}-grouped")
+    exact = {(r.query_id, r.vec_id) for r in top_k_threads(grouped, grouped, 5, skip_self=True).collect()}
+    found = {(r.query_id, r.vec_id) for r in search_index(grouped, f"{path}-grouped", 5, 4, skip_self=True).collect()}
+    assert len(found & exact) >= 0.97 * len(exact)
+    few = threads.where("vec_id < 3")
+    one = search_index(few, path, 5, probes=1)
+    assert {r.query_id for r in one.collect()} == {0, 1, 2}
+
+
+def test_the_vector_index_leaves_out_what_has_no_direction_and_deals_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "PART_ROWS", 10)
+    same = [(i, [1.0, 0.0]) for i in range(95)]
+    odd = [(200, [0.0, 0.0]), (201, None), (202, [1.0]), (203, [float("nan"), 1.0]), (204, [None, 1.0])]
+    df = spark.createDataFrame([*same, (150, [0.6, 0.8]), *odd], "vec_id long, embedding array<double>")
+    path = scratch_dir(spark, "index")
+    build_index(df, path, lists=2)
+    assert {r.vec_id for r in spark.read.parquet(f"{path}/lists").collect()} == {*range(95), 150}
+    got = search_index(df.where("vec_id in (7, 150, 201)"), path, 3, probes=2, skip_self=True).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [
+        (7, 1, 0), (7, 2, 1), (7, 3, 2), (150, 1, 0), (150, 2, 1), (150, 3, 2)]
