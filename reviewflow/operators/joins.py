@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
+from reviewflow.session import scratch_dir
+
 # Rows and bytes of text of one key that a single task may take on the many side of a left join.
 HOT_ROWS, PART_BYTES = 1_000_000, 1 << 30
+# Rows that a key with as many as a task may take has in the sample that hot keys are looked for in, about.
+SEEN_ROWS = 2000
 # Ids that may be sent to every executor, and their bytes: a million text ids of 36 characters take 50 MB.
 SENT_IDS, SENT_BYTES = 1_000_000, 128 << 20
 # Rows per side of one block in a blocked all-against-all comparison.
@@ -46,7 +50,8 @@ def left_join_many(left: DataFrame, right: DataFrame, left_key: str, right_key:
                    hot_rows: int = HOT_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """Left join to a 1:N table in which one key may own most rows.
 
-    Keys with more than ``hot_rows`` rows or ``part_bytes`` of text are found by a grouped count.
+    Keys with more than ``hot_rows`` rows or ``part_bytes`` of text are found in a sample of the rows, large
+    enough that such a key has about ``SEEN_ROWS`` in it; which keys are found decides the plan, not the result.
     Their rows are dealt out to numbered parts by the number of the row in its input partition, so
     they spread evenly whatever they hold, and the left row is repeated once per part. Every part of
     a hot key that stays empty would add an unmatched row, so those are dropped: a hot key always has
@@ -56,11 +61,16 @@ def left_join_many(left: DataFrame, right: DataFrame, left_key: str, right_key:
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in right.schema.fields
              if f.dataType.simpleString() == "string" and f.name != right_key]
     size = reduce(add, texts, F.lit(0)).cast("long")
-    parts = F.greatest(F.ceil(F.col("_rows") / F.lit(hot_rows)),
-                       F.ceil(F.col("_bytes") / F.lit(part_bytes))).cast("int")
-    hot = right.groupBy(right_key).agg(F.count("*").alias("_rows"), F.sum(size).alias("_bytes")) \
-        .select(F.col(right_key).alias("_hot"), parts.alias("_parts")).filter("_parts > 1")
-    hot = hot.filter(F.col("_hot").isNotNull())
+    share = min(1.0, SEEN_ROWS / hot_rows)
+    parts = F.greatest(F.ceil(F.col("_rows") / F.lit(hot_rows * share)),
+                       F.ceil(F.col("_bytes") / F.lit(part_bytes * share))).cast("int")
+    seen = right if share == 1 else right.sample(share, seed=1)
+    hot = seen.groupBy(right_key).agg(F.count("*").alias("_rows"), F.sum(size).alias("_bytes")) \
+        .select(F.col(right_key).alias("_hot"), parts.alias("_parts")).filter("_parts > 1 AND _hot IS NOT NULL")
+    # Written once: both sides must deal by the same parts.
+    at = scratch_dir(right.sparkSession, "hot")
+    hot.write.parquet(at)
+    hot = right.sparkSession.read.parquet(at)
     kept = [c for c in right.columns if c != right_key]
     if hot.isEmpty():
         many = right.select(F.col(right_key).alias("_right_key"),

@@ -61,15 +61,33 @@ def _line_feeds(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+# Put around matches; a text that holds it is cut at its matches a second time instead.
+MARK = "\u0001"
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (type, place, line feeds before it since the last match, own line feeds, match)."""
+    """Array of (type, place, line feeds before it since the last match, own line feeds, match).
+
+    The pattern runs once: it sets a mark on either side of its matches, and the text is cut at the marks. Every
+    second piece is a match.
+    """
     regex = F.lit(f"(?i){pattern}")
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    between = F.transform(F.split(text, f"(?i){pattern}", -1), _line_feeds)
-    return F.transform(F.arrays_zip(found.alias("match"), F.slice(between, F.lit(1), F.size(found)).alias("since")),
-                       lambda m, i: F.struct(F.lit(kind).alias("type"), i.alias("place"),
-                                             m["since"].alias("since"),
-                                             _line_feeds(m["match"]).alias("own"), m["match"].alias("match")))
+
+    def cut(pieces: Column) -> Column:
+        return F.struct(F.filter(pieces, lambda x, i: i % 2 == 1).alias("found"),
+                        F.filter(pieces, lambda x, i: i % 2 == 0).alias("between"))
+
+    def listed(parts: Column) -> Column:
+        since = F.slice(F.transform(parts["between"], _line_feeds), F.lit(1), F.size(parts["found"]))
+        return F.transform(F.arrays_zip(parts["found"].alias("match"), since.alias("since")),
+                           lambda m, i: F.struct(F.lit(kind).alias("type"), i.alias("place"),
+                                                 m["since"].alias("since"),
+                                                 _line_feeds(m["match"]).alias("own"), m["match"].alias("match")))
+
+    marked = F.split(F.regexp_replace(text, regex, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    twice = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("found"),
+                     F.split(text, f"(?i){pattern}", -1).alias("between"))
+    return let(F.when(text.contains(MARK), twice).otherwise(let(marked, cut)), listed)
 
 
 def scan_patterns(docs: DataFrame, patterns: dict[str, str] | None = None, id_col: str = "doc_id",
@@ -86,8 +104,8 @@ def scan_patterns(docs: DataFrame, patterns: dict[str, str] | None = None, id_co
 
     def search(text, low):
         return F.concat(*[
-            F.when(low.contains(words[kind]) if kind in words else text.rlike(f"(?i){pattern}"),
-                   _matches(text, kind, pattern)).otherwise(none)
+            F.when(low.contains(words[kind]), _matches(text, kind, pattern)).otherwise(none)
+            if kind in words else _matches(text, kind, pattern)
             for kind, pattern in patterns.items()])
 
     low = F.lower(text_col) if words else F.lit("")

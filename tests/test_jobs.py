@@ -310,7 +310,6 @@ def test_node_durations_need_both_marks(spark):
          ("s", "n", 2, "end", at(2), True), ("s", "n", 3, "start", at(2), None)],
         "session_id STRING, node_name STRING, run INT, mark STRING, at TIMESTAMP, success BOOLEAN")
     assert rows(s.node_durations(marks).select("run", "duration_ms", "success")) == [(1, 2000, True)]
-    assert rows(s.open_starts(marks).select("run")) == [(3,)]
     again = spark.createDataFrame(
         [("s", "n", 1, m, at(n), ok) for m, n, ok in [
             ("start", 0, None), ("end", 5, True), ("start", 9, None), ("start", 20, None), ("end", 21, False),
@@ -579,3 +578,17 @@ def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
         got = {v.user_name: v for v in r.engagement_of_days(r.engagement_days(clicks), length).collect()}
         assert all(abs(v.sessions_reviewed - v.total_interactions) <= 0.02 * v.total_interactions for v in got.values())
         assert sum(v.approvals for v in got.values()) == want.count()
+
+
+def test_matches_and_lines_in_texts_that_hold_the_mark(spark):
+    import re
+
+    from reviewflow.operators.scan import MARK, scan_patterns
+
+    texts = [(1, "a1\nb22\n\nc3 a1a1"), (2, f"{MARK}a1{MARK}\nb22{MARK}"), (3, ""), (4, "nothing"), (5, None),
+             (6, "$0 \\ a1\n$1")]
+    patterns = {"digits": "[a-z]\\d+", "words": "[A-Z]+\\d*\\n?"}
+    df = spark.createDataFrame(texts, "doc_id INT, text STRING")
+    want = [(i, kind, t.count("\n", 0, m.start()) + 1, m.group()) for i, t in texts for kind, pat in patterns.items()
+            for m in re.finditer(f"(?i){pat}", t or "")]
+    assert rows(scan_patterns(df, patterns)) == sorted(want, key=repr)
