@@ -2,43 +2,45 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 RECORDS = "ARRAY<STRUCT<id: STRUCT<record_id: STRING>, values: MAP<STRING, STRING>>>"
 ENTRY = "ARRAY<MAP<STRING, STRING>>"
 
 
-# Rows before a page that a sort may drop on one task; beyond, the page's range of keys is found first.
+# Rows before a page that a sort may drop on one task; beyond, the part of the table around the page is found first.
 NEAR_ROWS = 10_000
-RANGES = 200
+# Key values drawn to guess where a page lies, about, and what is taken on either side of the guess, as a share.
+DRAWN, MARGIN = 4000, 0.03
 
 
 def page(df: DataFrame, keys: list[str], number: int, size: int) -> DataFrame:
-    """Page ``number`` in the order of ``keys``.
+    """Page ``number`` in the order of ``keys``, of any types.
 
-    For a deep page by a number, the rows of each of some ranges of the first key are counted, and only
-    the ranges that hold the page are sorted.
+    A deep page is guessed from a sample to lie between two values of the keys. The rows before both are
+    counted, which settles whether the guess is right (else it is widened), and only those between are sorted. All keys
+    together are compared, so one value of the first may hold most rows.
     """
     skipped = (number - 1) * size
-    first = F.col(keys[0])
-    if skipped > NEAR_ROWS and isinstance(df.schema[keys[0]].dataType, NumericType):
-        cuts = df.agg(F.percentile_approx(first, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
-        place = reduce(add, [(first >= F.lit(c)).cast("int") for c in sorted(set(cuts or []))], F.lit(0))
-        place = F.coalesce(place, F.lit(-1))
-        wanted, before, earlier = [], 0, 0
-        for p, n in sorted(df.groupBy(place.alias("p")).count().collect()):
-            if before + n <= skipped:
-                earlier += n
-            elif before < skipped + size:
-                wanted.append(p)
-            before += n
-        df, skipped = df.filter(place.isin(wanted)), skipped - earlier
-    return df.orderBy(*keys).offset(skipped).limit(size)
+    if skipped <= NEAR_ROWS:
+        return df.orderBy(*keys).offset(skipped).limit(size)
+    n = df.count()
+    drawn = df.select(*keys).sample(min(1.0, DRAWN / max(1, n)), seed=1).orderBy(*keys).collect()
+    whole = F.struct(*keys)
+    bound = lambda row: F.struct(*[F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
+    margin = MARGIN
+    while True:
+        a = min(len(drawn) - 1, math.floor(len(drawn) * (skipped / max(1, n) - margin)))
+        b = math.ceil(len(drawn) * ((skipped + size) / max(1, n) + margin))
+        after = whole >= bound(drawn[a]) if a > 0 else F.lit(True)
+        until = whole < bound(drawn[b]) if b < len(drawn) else F.lit(True)
+        before, upto = df.agg(F.count_if(~after), F.count_if(until)).first()
+        if before <= skipped and (upto >= skipped + size or b >= len(drawn)):
+            return df.filter(after & until).orderBy(*keys).offset(skipped - before).limit(size)
+        margin *= 4
 
 
 def page_after(df: DataFrame, keys: list[str], last: list | None, size: int) -> DataFrame:

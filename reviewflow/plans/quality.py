@@ -199,6 +199,12 @@ query("w8_page", """
     lambda t: crm.page(t["customer"], ["c_acctbal", "c_custkey"], 3, 100)
     .select("c_custkey", "c_name"))
 
+# A deep page by a text of which each value has a third of the rows.
+_LINE = ["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+query("w8_deep_page", f"""
+    SELECT {", ".join(_LINE)} FROM lineitem ORDER BY ALL LIMIT 500 OFFSET 45000""")(
+    lambda t: crm.page(t["lineitem"].select(*_LINE), _LINE, 91, 500))
+
 
 def crm_records(t):
     """A reply per customer: expired and current entries, options, empty lists."""

@@ -507,6 +507,11 @@ def test_deep_page_and_seek(spark):
         want = df.orderBy("k", "i").offset((number - 1) * 100).limit(100)
         assert [tuple(v) for v in crm.page(df, ["k", "i"], number, 100).collect()] == \
             [tuple(v) for v in want.collect()]
+    texts = df.select(F.when(F.col("i") % 3 == 0, "hot").otherwise(F.format_string("begin-%06d", "k")).alias("k"), "i")
+    for number in (150, 400, 500, 501):
+        want = texts.orderBy("k", "i").offset((number - 1) * 100).limit(100)
+        assert [tuple(v) for v in crm.page(texts, ["k", "i"], number, 100).collect()] == \
+            [tuple(v) for v in want.collect()]
     known = df.filter("k IS NOT NULL")
     first = crm.page_after(known, ["k", "i"], None, 10).collect()
     second = crm.page_after(known, ["k", "i"], list(first[-1]), 10).collect()
