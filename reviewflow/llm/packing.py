@@ -71,13 +71,15 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
     string, is looked up whole.
     """
     tokenizer, control, known = _encoder(path)
+    every = "\n".join(words)
+    control = [c for c in control if c in every]
     cores = []
     for word in words:
-        if any(c in word for c in control):
+        if control and any(c in word for c in control):
             cores.append((word, ""))
             continue
         core = word.rstrip(SIGNS)
-        if len(core) < len(word) and not core.lower()[-1:].isalpha():
+        if len(core) < len(word) and not core[-1:].lower()[-1:].isalpha():
             core = word
         cores.append((core.lower() if core.isascii() else core, word[len(core):]))
     new = {part for pair in cores for part in pair} - known.keys()
