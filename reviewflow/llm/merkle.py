@@ -1,6 +1,8 @@
 """Document fingerprints: a Merkle tree over the paragraphs and sections of a text.
 
-A paragraph is a line, or a sentence of it; a paragraph whose hash is divisible by ``SECTION`` closes
+A paragraph is a line, or a sentence of it. One of over ``LONG`` characters (a list, a log, a text without
+sentence marks) is cut by its content, after words whose hash is divisible by ``PIECE``, and after ``MOST`` words at
+the latest, so an edit changes the piece that holds it and no piece before. A paragraph whose hash is divisible by ``SECTION`` closes
 a section, so an edit moves no section border but its own. A leaf is the hash of a paragraph, a section
 the hash of its leaves, the root a SHA-256 of the length and the sections. The fingerprint is the
 root, a colon, and the sections, each as its hash and its leaves, so two fingerprints tell whether the
@@ -21,18 +23,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewflow.functions.binding import let
+
 #: A section ends after a paragraph whose hash is divisible by this.
 SECTION = 8
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 #: Where a text is cut: at line ends and after sentences.
-CUT = r"\n+|(?<=[.!?])[ \t]+"
+CUT = r"\n+|(?<=[.!?])[ \t]+|(?<=[\u3002\uff01\uff1f])"
+#: Characters from which on a paragraph is cut further; where its words end; words of a piece, on average and at most.
+LONG, WORD_END, PIECE, MOST = 600, r"(?<=[\s\u3001\uff0c\uff1b;,|])", 16, 64
+
+
+def pieces(paragraph: Column) -> Column:
+    """A long paragraph in pieces that its content decides."""
+    def cut(words: Column) -> Column:
+        last = F.size(words) - 1
+        closing = F.transform(words, lambda w, i: F.when((F.crc32(w) % PIECE == 0) | (i == last), i))
+        return let(F.filter(closing, lambda i: i.isNotNull()), lambda ends: joined(words, ends))
+
+    def joined(words: Column, ends: Column) -> Column:
+        whole = F.transform(ends, lambda end, k: F.struct(
+            F.when(k > 0, F.get(ends, k - 1) + 1).otherwise(0).alias("start"), end.alias("end")))
+        short = F.flatten(F.transform(whole, lambda x: F.transform(
+            F.sequence(x["start"], x["end"], F.lit(MOST)),
+            lambda a: F.struct(a.alias("start"), F.least(a + MOST - 1, x["end"]).alias("end")))))
+        return F.transform(short, lambda x: F.array_join(
+            F.slice(words, x["start"] + 1, x["end"] - x["start"] + 1), ""))
+
+    return F.filter(let(F.split(paragraph, WORD_END), cut), lambda p: p != "")
 
 
 def leaves(text: Column) -> Column:
-    """Hashes of the paragraphs of a text, in order."""
+    """Hashes of the paragraphs of a text, and of the pieces of long ones, in order."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), CUT), lambda p: p != "")
-    return F.transform(parts, lambda p: F.xxhash64(p))
+    short = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > LONG, pieces(p)).otherwise(F.array(p))))
+    return F.transform(short, lambda p: F.xxhash64(p))
 
 
 def sections(hashes: Column) -> Column:

@@ -307,6 +307,50 @@ def test_fingerprints_and_edited_texts(docs, by_id):
     assert np.mean([r.near_edited > r.near_next for r in rows.values()]) > 0.9
 
 
+def plain_leaves(text):
+    import xxhash
+
+    out = []
+    for part in re.split(r"\n+|(?<=[.!?])[ \t]+|(?<=[\u3002\uff01\uff1f])", text or ""):
+        if len(part) <= merkle.LONG:
+            out.append(part)
+            continue
+        words, piece = re.split(r"(?<=[\s\u3001\uff0c\uff1b;,|])", part, flags=re.ASCII), []
+        for word in words:
+            piece.append(word)
+            if zlib.crc32(word.encode()) % merkle.PIECE == 0 or len(piece) == merkle.MOST:
+                out.append("".join(piece))
+                piece = []
+        out.append("".join(piece))
+    return {xxhash.xxh64(p.encode(), seed=42).hexdigest() for p in out if p}
+
+
+def test_likeness_is_that_of_plain_leaves(spark, by_id):
+    """Also of texts of one line, which are cut by their content."""
+    rng = np.random.default_rng(12)
+    texts = {i: by_id[i] for i in range(40)}
+    texts |= {100 + i: " ".join(f"w{k}" for k in rng.integers(0, 500, 700)) for i in range(5)}
+    texts |= {200: "word " * 400, 201: "、".join(f"字{k}" for k in rng.integers(0, 500, 900)), 202: "話" * 900, 203: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in merkle.edited(df).collect()}
+    ids = sorted(texts)
+
+    def likeness(a, b):
+        x, y = plain_leaves(a), plain_leaves(b)
+        return 1.0 if (a or "") == (b or "") else min(len(x & y) / max(1, len(x | y)), 0.999999)
+
+    for k, i in enumerate(ids):
+        text, after = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
+        half = len(text) // 2
+        assert set(re.findall("[0-9a-f]{16}", re.sub("[0-9a-f]{16}=", "", rows[i].fingerprint.split(":")[1]))) \
+            == plain_leaves(text)
+        assert abs(rows[i].near_edited - likeness(text, text[:len(text) - half] + after[:half])) < 1e-9
+        assert abs(rows[i].near_next - likeness(text, after)) < 1e-9
+    # Half of the text stays, so a third of the pieces of both are common, but for chance.
+    assert np.mean([rows[i].near_edited for i in range(100, 105)]) > 0.25
+    assert rows[200].near_edited > 0 and rows[201].near_edited > 0.15
+
+
 def test_differing_branches_locate_the_edit(spark):
     lines = [f"line {i} of the text" for i in range(100)]
     changed = [*lines[:40], "an edited line", *lines[41:]]
