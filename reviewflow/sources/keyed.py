@@ -26,8 +26,9 @@ class KeyedTable:
 
     About 100 MB a folder are good: a change costs as much as the folders it touches. Keys are unique; a
     null key is kept but never matched. One writer at a time; a reader that must not see a change half
-    done reads before or after it. A lost executor's tasks are run again; files are exchanged only when all
-    new ones are written.
+    done reads before or after it. A lost executor's tasks are run again: folders are exchanged only when all
+    new files are written. They are exchanged one by one, so a driver lost in that moment can leave one missing, its
+    rows in the staging folder beside the others.
     """
 
     def __init__(self, spark: SparkSession, path: str):
