@@ -404,8 +404,8 @@ def share(count: str, n: str, v: str) -> Column:
 def _pairs(key: tuple, table: pa.Table) -> pa.Table:
     """Sums over a block of terms for each pair of sources of two tiles (or of one, twice named)."""
     lang, _, first, second = (x.as_py() for x in key)
-    source = table.column("source").combine_chunks().dictionary_encode()
-    names, index = source.dictionary, source.indices.to_numpy()
+    # In order of the names, not of arrival: a pair must be named one way round in all blocks.
+    names, index = _numbered(table.column("source").combine_chunks())
     tile, at, p, width = (table.column(c).to_numpy() for c in ("tile", "at", "p", "width"))
     # One row of each source has the share of the terms it lacks, the others those it has.
     alone = at < 0

@@ -9,6 +9,7 @@ from itertools import pairwise
 from math import floor, isfinite
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import compare, duck
 
@@ -200,6 +201,17 @@ def test_a_transducer_is_minimal_and_numbers_terms_in_order():
     assert len(machine.final) == len({frozenset(x) for x in rest.values()})
 
 
+def test_pairs_are_named_one_way_round_however_the_rows_of_a_block_arrive():
+    """Blocks of terms are shuffled by themselves, so the same sources may come in another order in each."""
+    key = tuple(pa.scalar(x) for x in ("en", 0, 0, 0))
+    rows = [("b", -1, 5), ("a", -1, 7), ("c", -1, 9), ("a", 1, 20), ("c", 0, 30)]
+    found = [{(r["source"], r["item"], r["value"]) for r in divergence._pairs(key, pa.table({
+        "source": [s for s, _, _ in order], "tile": [0] * len(order), "at": [at for _, at, _ in order],
+        "p": [p for _, _, p in order], "width": [2] * len(order)})).to_pylist()} for order in (rows, rows[::-1])]
+    assert found[0] == found[1]
+    assert {(s, i) for s, i, _ in found[0]} == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
 def test_divergence_of_odd_rows(odd, none):
     docs = [(r.text, r.lang, r.source) for r in odd.collect()]
     for least in (1, 10):
