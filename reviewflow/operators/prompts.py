@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from heapq import heappop, heappush
+from itertools import pairwise
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from reviewflow.functions.period import rate, within
 from reviewflow.functions.ranking import ID_RUN, number_in_group
 from reviewflow.operators.dashboard import rows
-from reviewflow.operators.joins import left_join_many
+from reviewflow.operators.joins import left_join_many, send_if_small
+from reviewflow.session import scratch_dir
 
 # How a seeded version is described.
 SEED_NOTE, SEED_AUTHOR = "Initial version", "system"
+# Blocks of days have up to 2 ** LEVELS days, more than a date can be apart.
+LEVELS = 22
 
 
 def _with(df: DataFrame, *names: str) -> list[str]:
@@ -146,41 +154,110 @@ def assign_variants(sessions: DataFrame, split: float, key: str = "id") -> DataF
         "variant", F.when(place < round(split * 10000), "a").otherwise("b"))
 
 
-def daily_tests(configs: DataFrame, last_day) -> DataFrame:
-    """prompt_name, day, tests: the active tests of each prompt and day, the one that wins first.
+def _micros(at) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def _midnight(number) -> Column:
+    """Start of the day of a number, in microseconds."""
+    return _micros(F.date_from_unix_date(number))
+
+
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _won(since: pd.Series, until: pd.Series) -> pd.Series:
+    """Times since, until and place of the first piece that runs between them; pieces come best first."""
+    def sweep(begin, end):
+        order = sorted(range(len(begin)), key=begin.__getitem__)
+        times = sorted({*begin, *end})
+        out, running, at = [], [], 0
+        for now, then in pairwise(times):
+            while at < len(order) and begin[order[at]] <= now:
+                heappush(running, order[at])
+                at += 1
+            while running and end[running[0]] <= now:
+                heappop(running)
+            if running and out and out[-1][1:] == [now, running[0]]:
+                out[-1][1] = then
+            elif running:
+                out.append([now, then, running[0]])
+        return out
+
+    return pd.Series([sweep(x.tolist(), y.tolist()) for x, y in zip(since, until)])
+
+
+def winning_tests(configs: DataFrame, first_day, last_day) -> DataFrame:
+    """prompt_name, day, since, until, test_id, split, a, b: the active test that wins a prompt between two times
+    (microseconds) of a day; the times do not overlap.
 
     Of overlapping tests the one started last wins, then the one of the smallest id. A test runs from its start
-    up to its end, without an end (or beyond) up to ``last_day``, a column or date; it makes a row for each day.
+    up to its end, if it has one. Over whole days a test is cut into blocks of 1, 2, 4, ... days, and the best test of a
+    block goes on to its days, so a long test makes a few rows; its first and last day are pieces. Of equal
+    pieces the best remains, and of a day's pieces the times that each wins.
     """
     start, end = F.col("start_date"), F.col("end_date")
-    last = F.least(F.to_date(F.coalesce(end, F.lit(last_day))), F.to_date(F.lit(last_day)))
-    days = F.explode(F.sequence(F.to_date(start), last)).alias("day")
-    test = F.struct(F.negate(F.unix_micros(start.cast("timestamp"))).alias("order"), F.col("id").alias("test_id"),
+    low, high = (F.unix_date(F.lit(x).cast("date")) for x in (first_day, last_day))
+    test = F.struct(F.negate(_micros(start)).alias("order"), F.col("id").alias("test_id"),
                     F.col("start_date"), F.col("end_date"), F.round(F.col("traffic_split") * 10000).alias("split"),
                     F.col("variant_a_version_id").alias("a"), F.col("variant_b_version_id").alias("b"))
-    running = configs.filter(F.col("is_active") & start.isNotNull() & (F.to_date(start) <= last)
-                             & (end.isNull() | (end > start)))
-    return running.select("prompt_name", test.alias("test"), days).groupBy("prompt_name", "day") \
-        .agg(F.sort_array(F.collect_list("test")).alias("tests"))
+    running = configs.filter(F.col("is_active") & start.isNotNull() & (end.isNull() | (end > start))).select(
+        "prompt_name", test.alias("test"), F.unix_date(F.to_date(start)).alias("first"),
+        F.unix_date(F.to_date(end)).alias("final"), _micros(start).alias("since"), _micros(end).alias("until")) \
+        .filter((F.col("first") <= high) & (F.col("final").isNull() | (F.col("final") >= low)))
+
+    begun = F.col("first") + (F.col("since") > _midnight(F.col("first"))).cast("int")
+    whole = running.groupBy("prompt_name", F.greatest(begun, low).alias("from"),
+                            F.least("final", high + 1).alias("to")).agg(F.min("test").alias("test")) \
+        .filter(F.col("from") < F.col("to")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))) \
+        .withColumns({"from": F.expr("shiftright(from + shiftleft(1, level) - 1, level)"),
+                      "to": F.expr("shiftright(to, level)")}).filter("from < to")
+    blocks = whole.withColumn("block", F.explode(F.array_compact(F.array(
+        F.when(F.col("from") % 2 != 0, F.col("from")), F.when(F.col("to") % 2 != 0, F.col("to") - 1))))) \
+        .groupBy("prompt_name", "level", "block").agg(F.min("test").alias("test"))
+    days = blocks.withColumn("day", F.explode(F.expr(
+        "sequence(shiftleft(block, level), shiftleft(block + 1, level) - 1)"))) \
+        .groupBy("prompt_name", "day").agg(F.min("test").alias("test")) \
+        .select("prompt_name", "day", _midnight(F.col("day")).alias("since"),
+                _midnight(F.col("day") + 1).alias("until"), "test")
+
+    edges = F.array_distinct(F.array(
+        F.struct(F.col("first").alias("day"), "since",
+                 F.least("until", _midnight(F.col("first") + 1)).alias("until")),
+        F.struct(F.col("final").alias("day"), F.greatest("since", _midnight(F.col("final"))).alias("since"), "until")))
+    pieces = running.select("prompt_name", "test", F.explode(edges).alias("piece")) \
+        .select("prompt_name", "test", "piece.*").filter((F.col("since") < F.col("until")) & F.col("day").between(low, high)) \
+        .groupBy("prompt_name", "day", "since", "until").agg(F.min("test").alias("test"))
+
+    held = days.unionByName(pieces).groupBy("prompt_name", "day").agg(
+        F.sort_array(F.collect_list(F.struct("test", "since", "until"))).alias("pieces")) \
+        .withColumn("won", _won(F.col("pieces.since"), F.col("pieces.until")))
+    won = F.transform("won", lambda x: F.struct(x[0].alias("since"), x[1].alias("until"), F.get(
+        F.col("pieces"), x[2].cast("int"))["test"].alias("test")))
+    return held.select("prompt_name", F.date_from_unix_date("day").alias("day"), F.inline(won)) \
+        .select("prompt_name", "day", "since", "until", "test.test_id", "test.split", "test.a", "test.b")
 
 
 def assign_configured(uses: DataFrame, configs: DataFrame, key: str = "session_id",
                       time_col: str = "created_at") -> DataFrame:
     """``uses`` with test_id, variant and version_id of the test that runs for its prompt at its time, if any.
 
-    The configuration gives prompt, dates, split and versions. Uses meet their tests by prompt and day, one row
-    for each, so the join is one by equality and multiplies nothing. A session has one variant in a test, by a
-    stable hash of both. A prompt and day hold few tests: they are configuration.
+    The configuration gives prompt, dates, split and versions. Uses meet the winning tests by prompt and day, of
+    which at most one has their time, so the join is one by equality and multiplies nothing. A session has one
+    variant in a test, by a stable hash of both. The winning tests, at most twice as many as tests and days of
+    prompts, are written once and sent if they are few.
     """
-    last = uses.select(F.max(time_col)).scalar()
-    tests = daily_tests(configs, last).withColumnRenamed("prompt_name", "_prompt")
-    joined = uses.join(tests, (F.col("prompt_name") == F.col("_prompt")) & (F.to_date(time_col) == F.col("day")), "left")
-    runs = F.get(F.filter("tests", lambda x: (x["start_date"] <= F.col(time_col)) & (
-        x["end_date"].isNull() | (F.col(time_col) < x["end_date"]))), F.lit(0))
+    first, last = uses.agg(F.to_date(F.min(time_col)), F.to_date(F.max(time_col))).first()
+    at = scratch_dir(uses.sparkSession, "tests")
+    winning_tests(configs, first, last).withColumnsRenamed({"prompt_name": "_prompt", "day": "_day"}) \
+        .select("_prompt", "_day", "since", "until", F.struct("test_id", "split", "a", "b").alias("_test")) \
+        .withColumnsRenamed({"since": "_since", "until": "_until"}).write.parquet(at)
+    tests = send_if_small(uses.sparkSession.read.parquet(at))
+    used = _micros(F.col(time_col))
+    joined = uses.join(tests, (F.col("prompt_name") == F.col("_prompt")) & (F.to_date(time_col) == F.col("_day"))
+                       & (used >= F.col("_since")) & (used < F.col("_until")), "left")
     digest = F.md5(F.concat_ws(":", F.col("_test.test_id").cast("string"), F.col(key).cast("string")))
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000
     first = place < F.col("_test.split")
-    return joined.withColumn("_test", runs).select(
+    return joined.select(
         *uses.columns, F.col("_test.test_id").alias("test_id"), F.when(first, "a").when(~first, "b").alias("variant"),
         F.when(first, F.col("_test.a")).otherwise(F.col("_test.b")).alias("version_id"))
 

@@ -565,6 +565,39 @@ def test_configured_variants_take_the_test_started_last(spark):
     assert abs(share - 0.5) < 0.04
 
 
+def test_configured_tests_of_any_times_and_number(spark):
+    rng = np.random.default_rng(5)
+    hours = [0, 0, 6, 18, 23.5]
+    at = lambda: DAY + dt.timedelta(days=int(rng.integers(-3, 40)), hours=float(rng.choice(hours)))
+    long = [0, 1, 12, 24, 36, 700, 4000]
+    configs = []
+    for i in range(400):
+        start = at()
+        end = None if i % 9 == 0 else start + dt.timedelta(hours=int(rng.choice(long)))
+        configs.append((int(rng.integers(0, 300)), f"p{i % 3}", "a", "b", 1.0, i % 5 > 0, start, end))
+    uses = [(i, f"p{rng.integers(0, 4)}", at() + dt.timedelta(microseconds=int(rng.integers(-1, 2)))) for i in range(600)]
+    df = spark.createDataFrame(uses, "session_id LONG, prompt_name STRING, created_at TIMESTAMP")
+    kind = ("id LONG, prompt_name STRING, variant_a_version_id STRING, variant_b_version_id STRING, traffic_split DOUBLE, "
+            "is_active BOOLEAN, start_date TIMESTAMP, end_date TIMESTAMP")
+    got = {v.session_id: v.test_id for v in p.assign_configured(df, spark.createDataFrame(configs, kind)).collect()}
+    for session, name, time in uses:
+        runs = [(-c[6].timestamp(), c[0]) for c in configs if c[1] == name and c[5] and c[6] <= time
+                and (c[7] is None or time < c[7])]
+        assert got[session] == (min(runs)[1] if runs else None)
+    assert sum(x is not None for x in got.values()) > 300 and len(got) == len(uses)
+    none = p.assign_configured(df.limit(0), spark.createDataFrame(configs, kind))
+    assert none.count() == 0
+
+    # However many tests run on a day, it holds only those that win at some time.
+    many = spark.range(3000).select(
+        "id", F.lit("p").alias("prompt_name"), F.lit("a").alias("variant_a_version_id"),
+        F.lit("b").alias("variant_b_version_id"), F.lit(0.5).alias("traffic_split"), F.lit(True).alias("is_active"),
+        (F.lit(DAY) + F.make_dt_interval((F.col("id") % 30).cast("int"), F.lit(6))).alias("start_date"),
+        F.lit(None).cast("timestamp").alias("end_date"))
+    won = p.winning_tests(many, DAY.date(), DAY.date() + dt.timedelta(days=99)).collect()
+    assert len(won) == 30 + 29 + 70 and {x.test_id for x in won} == set(range(30))
+
+
 def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
     n = 60_000
     clicks = spark.range(n).select(
