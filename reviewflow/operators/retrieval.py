@@ -15,10 +15,10 @@ from reviewflow.operators.joins import block_count, blocked_pairs, send_if_small
 # Query vectors that may be sent to every executor: rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 16_384, 64 * 1024 * 1024
 VECTOR_BLOCK = 4096
-# Passes over the threads that a large batch of queries may take.
-MOST_PASSES = 64
-# Similarities a task holds at once: 32 MB.
-HELD_SIMILARITIES = 4_000_000
+# Passes over the threads that a large batch of queries may take, and how much larger they may become.
+MOST_PASSES, LARGER_PASS = 64, 8
+# Similarities a task holds at once: 16 MB. Pairs of vectors that it multiplies in full at once.
+HELD_SIMILARITIES, HELD_PAIRS = 4_000_000, 65_536
 # Similarities that agree to this many digits are a tie, which the lower id wins.
 TIE_DIGITS = 9
 
@@ -34,33 +34,63 @@ def _unit(vectors) -> np.ndarray:
 def _best(query_ids, query_units, thread_ids, thread_units, k: int, skip_self: bool):
     """The k best threads of each query as columns: query id, thread id, similarity.
 
-    Works through the queries a few at a time, so the similarities held at once stay small.
+    Works through the queries a few at a time, so the similarities held at once stay small. Vectors without a
+    direction have no similarity.
     """
     order = np.argsort(thread_ids, kind="stable")
+    order = order[np.isfinite(thread_units[order]).all(axis=1)]
     ids, units = thread_ids[order], thread_units[order]
+    asked = np.isfinite(query_units).all(axis=1)
+    query_ids, query_units = query_ids[asked], query_units[asked]
     step = max(1, HELD_SIMILARITIES // max(1, len(ids)))
-    parts = [_best_of_few(query_ids[i:i + step], query_units[i:i + step], ids, units, k, skip_self)
-             for i in range(0, len(query_ids), step)]
+    rough = units.astype(np.float32)
+    parts = [_best_of_few(query_ids[i:i + step], query_units[i:i + step], ids, units, rough, k, skip_self)
+             for i in range(0, max(1, len(query_ids)), step)]
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
-def _best_of_few(query_ids, query_units, ids, units, k: int, skip_self: bool):
-    sims = np.round(query_units @ units.T, TIE_DIGITS)
+def _best_of_few(query_ids, query_units, ids, units, rough, k: int, skip_self: bool):
+    """Rough products in single precision rule out the pairs that cannot be among the best, by more than their
+    error; the others are worked out in full."""
+    sims = query_units.astype(np.float32) @ rough.T
     if skip_self:
-        sims[query_ids[:, None] == ids[None, :]] = np.nan
-    sims = np.where(np.isnan(sims), -np.inf, sims)
+        low, high = (np.searchsorted(ids, query_ids, side) for side in ("left", "right"))
+        own = np.repeat(np.arange(len(low)), high - low)
+        sims[own, np.arange(len(own)) - np.repeat(np.cumsum(high - low) - high, high - low)] = -np.inf
     if len(ids) > k:
-        floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-        at, col = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
+        error = 2.0 ** -23 * (units.shape[1] + 8)
+        floor = _kth(sims, k) - np.float32(2 * error)
+        at, col = np.divmod(np.flatnonzero(sims >= floor[:, None]), len(ids))
+        known = sims[at, col] > -2
+        at, col = at[known], col[known]
     else:
-        at, col = np.nonzero(np.isfinite(sims))
-    value = sims[at, col]
+        at, col = np.nonzero(sims > -2)
+    value = np.empty(len(at))
+    for i in range(0, len(at), HELD_PAIRS):
+        few = slice(i, i + HELD_PAIRS)
+        value[few] = np.round(np.einsum("ij,ij->i", query_units[at[few]], units[col[few]]), TIE_DIGITS)
     by = np.lexsort((col, -value, at))
     at, col, value = at[by], col[by], value[by]
     keep = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
     return query_ids[at[keep]], ids[col[keep]], value[keep]
 
 
+def _kth(sims: np.ndarray, k: int) -> np.ndarray:
+    """At most the k-th largest of each row: that of the largest of groups of columns, of which there are
+    enough to come close to it."""
+    groups = max(128, 16 * k)
+    width = sims.shape[1] // groups
+    if width > 1:
+        sims = sims[:, :width * groups].reshape(len(sims), width, groups).max(axis=1)
+    return np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+
+
+def _kept(found: pd.DataFrame, thread_id: str, k: int) -> pd.DataFrame:
+    """The k best rows of each query."""
+    found = found.sort_values(["query_id", "similarity", thread_id], ascending=[True, False, True])
+    return found[found.groupby("query_id").cumcount() < k]
+
+
 def _schema(queries: DataFrame, threads: DataFrame, query_id: str, thread_id: str) -> str:
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     return (f"query_id {kind(queries, query_id)}, {thread_id} {kind(threads, thread_id)}, "
@@ -95,10 +125,7 @@ def top_k_threads(queries: DataFrame, threads: DataFrame, k: int = 2, query_id:
                 found = pd.DataFrame(dict(zip(("query_id", thread_id, "similarity"), _best(
                     query_ids, units, pdf[thread_id].to_numpy(), _unit(pdf[vector]), k,
                     skip_self))))
-                kept = found if kept is None else pd.concat([kept, found])
-                kept = kept.sort_values(["query_id", "similarity", thread_id],
-                                        ascending=[True, False, True])
-                kept = kept[kept.groupby("query_id").cumcount() < k]
+                kept = _kept(found if kept is None else pd.concat([kept, found]), thread_id, k)
             if kept is not None:
                 yield kept
 
@@ -108,6 +135,10 @@ def top_k_threads(queries: DataFrame, threads: DataFrame, k: int = 2, query_id:
     n = queries.count()
     held = min(broadcast_rows, BROADCAST_BYTES // (8 * max(1, length or 1)))
     passes = -(-2 * n // held) if held and n > held else 1
+    # Beyond that many passes they become larger, while their bytes allow it.
+    larger = min(LARGER_PASS * broadcast_rows, BROADCAST_BYTES // (8 * max(1, length or 1)))
+    if passes > MOST_PASSES and -(-2 * n // max(1, larger)) <= MOST_PASSES:
+        passes = MOST_PASSES
     if not n:
         return threads.sparkSession.createDataFrame([], schema + ", rank int")
     if held and passes <= MOST_PASSES:

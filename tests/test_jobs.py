@@ -598,6 +598,25 @@ def test_configured_tests_of_any_times_and_number(spark):
     assert len(won) == 30 + 29 + 70 and {x.test_id for x in won} == set(range(30))
 
 
+def test_rough_products_leave_few_pairs_to_work_out():
+    rng = np.random.default_rng(4)
+    units = rng.normal(size=(4000, 16))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    sims = (units[:50] @ units.T).astype(np.float32)
+    floor = rv._kth(sims, 5)
+    assert (floor <= np.sort(sims, axis=1)[:, -5]).all() and (sims >= floor[:, None]).sum() < 50 * 8
+    # Copies, threads without a direction and the queries themselves.
+    units[3000:], units[7] = units[:1000], np.nan
+    ids = np.arange(4000) % 3500
+    got = {}
+    for q, i, value in zip(*rv._best(ids[:50], units[:50], ids, units, 5, True)):
+        got.setdefault(q, []).append((-value, i))
+    whole = np.round(units[:50] @ units.T, 9)
+    for q in range(50):
+        want = sorted((-whole[q, j], ids[j]) for j in range(4000) if ids[j] != q and np.isfinite(whole[q, j]))[:5]
+        assert got.get(q, []) == want
+
+
 def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
     n = 60_000
     clicks = spark.range(n).select(
