@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.operators.retrieval import _best, _top, _unit
+from reviewflow.operators.joins import block_count
+from reviewflow.operators.retrieval import _best, _kept, _top, _unit
 
 # Threads the centroids are fitted on, at most about; every thread is indexed.
 INDEX_SAMPLE = 20_000
@@ -22,8 +23,8 @@ MOST_LISTS = 4096
 # Share of the lists probed by default.
 UNGROUPED = 0.6
 ROUNDS = 15
-# Threads of one list that a task compares at once, and queries sent to one task.
-PART_ROWS = 50_000
+# Threads and queries that a task compares, and rows of its results at which it lets go of all but the best.
+PART_ROWS, QUERY_ROWS, HELD_FOUND = 50_000, 16_384, 1_000_000
 
 
 def _centroids(units: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -80,41 +81,91 @@ def search_index(queries: DataFrame, path: str, k: int = 2, probes: int | None =
 
     By default three fifths of the lists are probed. That is for vectors that form no groups, of which it finds 93 in
     a hundred of the five best; where they do form groups a few lists are enough.
-    Queries meet the threads list by list; a long list is dealt to several tasks, each of which returns at most
-    ``k`` threads for a query. Only lists that a query probes are read.
+    Lists lie one after another in parts of ``PART_ROWS`` threads, a long list in several. A query goes once to each part
+    that holds some of its lists, is compared there with those, and gets at most ``k`` threads of the part; a part meets
+    queries in blocks of ``QUERY_ROWS``, so a task holds one of each. Only lists that a query probes are read.
     """
     spark: SparkSession = queries.sparkSession
     told = spark.read.parquet(f"{path}/centroids").orderBy("list").toPandas()
     centers = np.stack(told["center"])
     sent = spark.sparkContext.broadcast(centers)
     probes = min(probes or math.ceil(UNGROUPED * len(centers)), len(centers))
+    every = probes == len(centers)
+    threads = spark.read.parquet(f"{path}/lists")
+    # Lists lie one after another, cut into parts; a list begins in the part of its first thread.
+    count = np.zeros(len(centers), np.int64)
+    for r in threads.groupBy("list").count().collect():
+        count[r["list"]] = r["count"]
+    start = np.cumsum(count) - count
+    first, last = start // PART_ROWS, (start + np.maximum(count, 1) - 1) // PART_ROWS
+
+    def nearest(vectors: pd.Series) -> np.ndarray:
+        return np.argsort(-(_unit(vectors) @ sent.value.T), axis=1, kind="stable")[:, :probes]
 
     @F.pandas_udf("array<int>")
     def probed(vectors: pd.Series) -> pd.Series:
-        order = np.argsort(-(_unit(vectors) @ sent.value.T), axis=1, kind="stable")[:, :probes]
-        return pd.Series(list(order.astype("int32")))
+        return pd.Series(list(nearest(vectors).astype("int32")))
+
+    @F.pandas_udf("array<array<int>>")
+    def placed(vectors: pd.Series) -> pd.Series:
+        """The parts that a query goes to: each with the lists that it probes there."""
+        def parts(lists):
+            held: dict[int, list[int]] = {}
+            for at in lists.tolist():
+                for part in range(first[at], last[at] + 1):
+                    held.setdefault(part, [part]).append(at)
+            return list(held.values())
+
+        return pd.Series([parts(lists) for lists in nearest(vectors)])
 
     asked = queries.filter((F.size(vector) == F.lit(centers.shape[1])) & _has_direction(vector)) \
         .select(F.col(query_id).alias("_query"), F.col(vector).alias("_asked"))
-    asked = asked.withColumn("list", F.explode(probed("_asked")))
-    threads = spark.read.parquet(f"{path}/lists")
-    sizes = threads.groupBy("list").count().select(
-        "list", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
-    # The rows of a list are dealt evenly to its parts; queries go to each part of a list they probe.
-    wanted = threads.join(F.broadcast(asked.select("list").distinct()), "list", "left_semi")
-    dealt = wanted.join(F.broadcast(sizes), "list").withColumn(
-        "part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")))
-    copied = asked.join(F.broadcast(sizes), "list").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    blocks = block_count(queries, QUERY_ROWS)
+    block = F.pmod(F.xxhash64("_query"), F.lit(blocks)).cast("int").alias("block")
+    if every:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(int(last[-1]))), lambda x: F.array(x))
+    else:
+        parts = placed("_asked")
+    copied = asked.select("_query", "_asked", block, F.explode(parts).alias("_lists")) \
+        .withColumn("part", F.col("_lists")[0])
+    wanted = threads if every else threads.join(
+        F.broadcast(asked.select(F.explode(probed("_asked")).alias("list")).distinct()), "list", "left_semi")
+    sizes = spark.createDataFrame(list(enumerate(zip(start.tolist(), count.tolist()))),
+                                  "list int, of struct<start: long, count: long>")
+    # The rows of a list are dealt evenly to its places, those of a part to each block of queries.
+    place = F.col("of.start") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("of.count"))
+    dealt = wanted.join(F.broadcast(sizes), "list").select(
+        "list", thread_id, vector, F.floor(place / PART_ROWS).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     schema = f"query_id {dict(queries.dtypes)[query_id]}, {thread_id} {dict(threads.dtypes)[thread_id]}, similarity double"
 
     def compare(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        names = ("query_id", thread_id, "similarity")
+        kept = pd.DataFrame({c: [] for c in names})
         if q.empty or t.empty:
-            return pd.DataFrame({"query_id": [], thread_id: [], "similarity": []})
-        return pd.DataFrame(dict(zip(("query_id", thread_id, "similarity"), _best(
-            q["_query"].to_numpy(), _unit(q["_asked"]), t[thread_id].to_numpy(), _unit(t[vector]), k, skip_self))))
-
-    found = copied.select("list", "part", "_query", "_asked").groupBy("list", "part").cogroup(
-        dealt.select("list", "part", thread_id, vector).groupBy("list", "part")).applyInPandas(
-            lambda q, t: compare(q, t), schema)
+            return kept
+        asked, units = _unit(q["_asked"]), _unit(t[vector])
+        asked_ids, thread_ids = q["_query"].to_numpy(), t[thread_id].to_numpy()
+
+        def best(of, among):
+            return pd.DataFrame(dict(zip(names, _best(
+                asked_ids[of], asked[of], thread_ids[among], units[among], k, skip_self))))
+
+        if every:
+            return best(slice(None), slice(None))
+        lists, probing = t["list"].to_numpy(), [x[1:] for x in q["_lists"]]
+        of = np.repeat(np.arange(len(q)), [len(x) for x in probing])
+        probing = np.concatenate(probing)
+        order = np.argsort(probing, kind="stable")
+        of, probing = of[order], probing[order]
+        found = []
+        for at in np.unique(lists):
+            low, high = np.searchsorted(probing, [at, at + 1])
+            found.append(best(of[low:high], np.flatnonzero(lists == at)))
+            if sum(map(len, found)) > HELD_FOUND:
+                found = [_kept(pd.concat(found), thread_id, k)]
+        return _kept(pd.concat(found), thread_id, k)
+
+    found = copied.select("part", "block", "_query", "_asked", "_lists").groupBy("part", "block").cogroup(
+        dealt.groupBy("part", "block")).applyInPandas(lambda q, t: compare(q, t), schema)
     return _top(found, thread_id, k)

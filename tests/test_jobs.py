@@ -17,6 +17,7 @@ from reviewflow.operators import quality as q
 from reviewflow.operators import retrieval as rv
 from reviewflow.operators import review as r
 from reviewflow.operators import sessions as s
+from reviewflow.operators import vector_index as vi
 from reviewflow.operators import workflow as w
 from reviewflow.operators.joins import left_join_many
 from reviewflow.schemas import LOG_SCHEMAS, schema
@@ -617,6 +618,31 @@ def test_rough_products_leave_few_pairs_to_work_out():
         assert got.get(q, []) == want
 
 
+@pytest.mark.parametrize("probes", [4, 20])
+def test_index_search_sends_a_query_once_to_a_part(spark, monkeypatch, probes):
+    rng = np.random.default_rng(6)
+    units = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(units)], "vec_id LONG, embedding ARRAY<FLOAT>")
+    path = scratch_dir(spark, "index")
+    vi.build_index(df, path, 20)
+    monkeypatch.setattr(vi, "PART_ROWS", 100)
+    monkeypatch.setattr(vi, "QUERY_ROWS", 150)
+    plain = vi.search_index(df, path, 3, probes, skip_self=True).collect()
+    units = rv._unit(units.astype("f4"))
+    centers = np.stack(spark.read.parquet(f"{path}/centroids").orderBy("list").toPandas()["center"])
+    held = spark.read.parquet(f"{path}/lists").toPandas()
+    own = dict(zip(held["vec_id"], held["list"]))
+    want = set()
+    for q in range(600):
+        near = set(np.argsort(-(units[q] @ centers.T), kind="stable")[:probes].tolist())
+        best = sorted((-round(float(units[q] @ units[j]), 9), j) for j in range(600) if j != q and own[j] in near)[:3]
+        want |= {(q, j, n + 1) for n, (_, j) in enumerate(best)}
+    assert {(x.query_id, x.vec_id, x["rank"]) for x in plain} == want
+    # What is shuffled after the search: three rows for a query and part, not for a query and list.
+    monkeypatch.setattr(vi, "_top", lambda found, *_: found)
+    assert vi.search_index(df, path, 3, probes, skip_self=True).count() <= 600 * 3 * 6
+
+
 def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
     n = 60_000
     clicks = spark.range(n).select(
