@@ -31,6 +31,8 @@ CLICK_STATES = {
 # Review results that become the session's status.
 STATUS_ACTIONS = ("approved", "rejected", "edited")
 ARCHIVABLE = ("completed", "approved", "rejected")
+# Rows of a child table that one task checks for removed sessions.
+TASK_ROWS = 2_000_000
 
 
 def start_workflows(new_sessions: DataFrame) -> DataFrame:
@@ -117,7 +119,23 @@ def apply_updates(current: DataFrame, updates: DataFrame, key: str, columns: lis
 
 
 def cascade_delete(t, removed_ids: DataFrame) -> dict[str, DataFrame]:
-    """Session children without the rows of removed sessions."""
-    gone = send_if_small(removed_ids.select(F.col(removed_ids.columns[0]).alias("_gone")).distinct())
-    return {name: t[name].join(gone, F.col("session_id") == F.col("_gone"), "left_anti")
-            for name in SESSION_CHILDREN if name in t}
+    """Session children without the rows of removed sessions.
+
+    Removed ids too many to send are dealt to so many tasks that each has at most about ``TASK_ROWS`` of them and of
+    the child's rows; a task holds its ids and the rows stream past, so neither is sorted. Ids shrink so well in a
+    shuffle that tasks joined by its bytes would hold tens of millions of rows.
+    """
+    ids = removed_ids.select(F.col(removed_ids.columns[0]).alias("_gone"))
+    n = ids.count()
+
+    def dealt(rows: int) -> DataFrame:
+        return ids.repartition(max(1, -(-max(n, rows) // TASK_ROWS)), "_gone").distinct()
+
+    gone = dealt(n)
+    sent = send_if_small(gone)
+
+    def without(df: DataFrame) -> DataFrame:
+        known = dealt(df.count()).hint("shuffle_hash") if sent is gone else sent
+        return df.join(known, F.col("session_id") == F.col("_gone"), "left_anti")
+
+    return {name: without(t[name]) for name in SESSION_CHILDREN if name in t}

@@ -643,6 +643,20 @@ def test_index_search_sends_a_query_once_to_a_part(spark, monkeypatch, probes):
     assert vi.search_index(df, path, 3, probes, skip_self=True).count() <= 600 * 3 * 6
 
 
+def test_many_removed_sessions_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(w, "TASK_ROWS", 100)
+    monkeypatch.setattr(w, "send_if_small", lambda ids: ids)
+    child = spark.range(500).select((F.col("id") % 90).alias("session_id"), "id").unionByName(
+        spark.createDataFrame([(None, 500)], "session_id LONG, id LONG"))
+    gone = spark.createDataFrame([(i % 45 * 2,) for i in range(250)] + [(None,)], "id LONG")
+    kept = w.cascade_delete({"node_executions": child}, gone)["node_executions"]
+    assert {r.id for r in kept.collect()} == {i for i in range(500) if i % 90 % 2} | {500}
+    assert kept.columns == child.columns
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "_gone#" in plan and ", 6), REPARTITION_BY_NUM" in plan
+
+
 def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
     n = 60_000
     clicks = spark.range(n).select(
