@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def _floats(blobs: pd.Series) -> pd.Series:
-    whole = lambda b: b is not None and len(b) % 4 == 0
-    return blobs.map(lambda b: np.frombuffer(b, dtype="<f4").tolist() if whole(b) else None)
+@F.arrow_udf(ArrayType(FloatType()))
+def _floats(blobs: pa.Array) -> pa.Array:
+    """The floats of all blobs are one buffer; no value of its own is made of any."""
+    length = pc.binary_length(blobs)
+    whole = pc.fill_null(pc.equal(pc.bit_wise_and(length, 3), 0), False)
+    ends = np.cumsum(pc.if_else(whole, length, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // 4
+    kept = blobs.filter(whole).cast(pa.large_binary())
+    values = np.zeros(0, "<f4")
+    if len(kept):
+        places = np.frombuffer(kept.buffers()[1], np.int64)[kept.offset:kept.offset + len(kept) + 1]
+        values = np.frombuffer(kept.buffers()[2] or b"", np.uint8)[places[0]:places[-1]].view("<f4")
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values), mask=pc.invert(whole))
 
 
 def decode_vector(df: DataFrame, col: str, out: str = "vector") -> DataFrame:

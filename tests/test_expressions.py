@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewflow.functions import scores as sc
 from reviewflow.functions import text as x
+from reviewflow.functions import vectors
 from reviewflow.functions.vectors import decode_vector
 from reviewflow.operators import ingest as g
 from reviewflow.operators import retrieval as rv
@@ -258,3 +261,23 @@ def test_fresh_only(spark):
     data = [(i, now + dt.timedelta(seconds=s)) for i, s in enumerate((-301, -300, 0, 300, 301))]
     df = spark.createDataFrame(data, "id INT, ts TIMESTAMP")
     assert [v for (v,) in rows(g.fresh_only(df, "ts", F.lit(now)).select("id"))] == [1, 2, 3]
+
+
+def _most_mb(work) -> float:
+    """Most MB of Python objects and numpy arrays held at once."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_vectors_are_decoded_without_a_value_each():
+    floats = np.arange(1000, dtype="<f4")
+    blobs = pa.array([floats.tobytes(), None, b"", b"abc"] * 1000, pa.binary())
+    got = []
+    assert _most_mb(lambda: got.append(vectors._floats.func(blobs))) < 10
+    assert got[0].slice(0, 4).to_pylist() == [floats.tolist(), None, [], None] == got[0].slice(3996).to_pylist()
+    assert vectors._floats.func(pa.array([None, b"x"], pa.binary())).to_pylist() == [None, None]
+    assert vectors._floats.func(blobs.slice(1, 4)).to_pylist() == [None, [], None, floats.tolist()]
