@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -59,14 +59,15 @@ def edit_type(distance: Column) -> Column:
     return F.when(distance > 0, named)
 
 
-@F.pandas_udf(IntegerType())
-def _differences(before: pd.Series, after: pd.Series) -> pd.Series:
+@F.arrow_udf(IntegerType())
+def _differences(before: pa.Array, after: pa.Array) -> pa.Array:
+    """Texts are taken from the batch one pair at a time."""
     def count(a: str, b: str) -> int:
         x, y = (np.frombuffer(v.encode("utf-32-le"), dtype="<u4") for v in (a, b))
         shared = min(len(x), len(y))
         return abs(len(x) - len(y)) + int(np.count_nonzero(x[:shared] != y[:shared]))
 
-    return pd.Series([count(a, b) for a, b in zip(before, after)], dtype="int32")
+    return pa.array((count(a.as_py(), b.as_py()) for a, b in zip(before, after)), pa.int32(), size=len(before))
 
 
 def edit_distance(before: Column, after: Column) -> Column:

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Texts are long: a batch for a Python worker ends at this size, however few rows it has.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 # For streams whose state outgrows memory: state beside the heap, saved as changes. Small state is
 # faster with Spark's own default.

@@ -281,3 +281,15 @@ def test_vectors_are_decoded_without_a_value_each():
     assert got[0].slice(0, 4).to_pylist() == [floats.tolist(), None, [], None] == got[0].slice(3996).to_pylist()
     assert vectors._floats.func(pa.array([None, b"x"], pa.binary())).to_pylist() == [None, None]
     assert vectors._floats.func(blobs.slice(1, 4)).to_pylist() == [None, [], None, floats.tolist()]
+
+
+def test_texts_are_compared_a_pair_at_a_time(spark):
+    long = pa.array(["é" * 5000] * 1000)
+    other = pa.array(["é" * 4000 + "x"] * 1000)
+    got = []
+    assert _most_mb(lambda: got.append(sc._differences.func(long, other))) < 2
+    assert got[0].to_pylist() == [1000] * 1000
+    # A batch for a worker ends by its bytes.
+    sized = F.arrow_udf(lambda x: pa.array([x.nbytes] * len(x), pa.int64()), "long")
+    texts = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), F.lit(20_000)).alias("text"))
+    assert texts.select(F.max(sized("text"))).first()[0] < 20 << 20
