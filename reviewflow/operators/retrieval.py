@@ -19,6 +19,8 @@ VECTOR_BLOCK = 4096
 MOST_PASSES, LARGER_PASS = 64, 8
 # Similarities a task holds at once: 16 MB. Pairs of vectors that it multiplies in full at once.
 HELD_SIMILARITIES, HELD_PAIRS = 4_000_000, 65_536
+# Pairs of mail and folder that one task counts shared words of.
+TASK_PAIRS = 2_000_000
 # Similarities that agree to this many digits are a tie, which the lower id wins.
 TIE_DIGITS = 9
 
@@ -210,14 +212,20 @@ def match_client(mails: DataFrame, folders: DataFrame, mail_id: str = "message_i
     A fixed stand-in for a choice made by a model. Equal counts go to the lower folder id.
     ``folders``: folder_id, name. Mails are cut to the words that occur in a folder name before
     anything is shuffled; then words meet by a join, hits are counted per mail and folder, and the
-    best folder of a mail is a grouped minimum.
+    best folder of a mail is a grouped minimum. Where the folder words can be sent, mails are dealt to tasks before
+    their words meet folders, so a task counts at most about ``TASK_PAIRS`` pairs of mail and folder.
     """
     named = folders.select("folder_id", "name", name_tokens(F.col("name")).alias("_words"))
     held = named.select("folder_id", F.explode("_words").alias("_word"))
     known = send_if_small(held.select("_word").distinct())
     worded = mails.select(mail_id, F.explode(name_tokens(F.col(text_col))).alias("_word")) \
                   .join(known, "_word", "left_semi")
-    shared = worded.join(send_if_small(held), "_word").groupBy(mail_id, "folder_id") \
+    sent = send_if_small(held)
+    if sent is not held:
+        # Words of a mail stay together, so pairs are counted where they arise, a bounded number in a task.
+        tasks = -(-mails.count() * folders.count() // TASK_PAIRS)
+        worded = worded.repartition(max(mails.sparkSession.sparkContext.defaultParallelism, tasks), mail_id)
+    shared = worded.join(sent, "_word").groupBy(mail_id, "folder_id") \
                    .agg(F.count("*").cast("int").alias("_shared"))
     best = shared.groupBy(F.col(mail_id).alias("_mail")).agg(
         F.min(F.struct((-F.col("_shared")).alias("n"), "folder_id")).alias("_best"))

@@ -657,6 +657,17 @@ def test_many_removed_sessions_are_dealt_to_tasks_by_rows(spark, monkeypatch):
     assert "_gone#" in plan and ", 6), REPARTITION_BY_NUM" in plan
 
 
+def test_pairs_of_mail_and_folder_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rv, "TASK_PAIRS", 7)
+    mails = spark.createDataFrame([(i, f"alpha w{i % 4} alpha") for i in range(40)] + [(40, None), (41, "zzz")],
+                                  "message_id LONG, body STRING")
+    folders = spark.createDataFrame([(i, f"Alpha W{i}") for i in (3, 2, 1)] + [(9, None)], "folder_id LONG, name STRING")
+    found = rv.match_client(mails, folders)
+    want = {i: (i % 4, 2) if i % 4 else (1, 1) for i in range(40)} | {40: (None, None), 41: (None, None)}
+    assert {r.message_id: (r.client_folder_id, r.shared_words) for r in found.collect()} == want
+    assert ", 24), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_of_days_merge_to_the_distinct_count_of_a_period(spark):
     n = 60_000
     clicks = spark.range(n).select(
